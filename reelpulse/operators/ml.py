@@ -8,6 +8,8 @@ the reference's; the clustering problem is the same either way.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
@@ -16,6 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import schema as S
+from ..session import checkpoint_dir
 from . import ordered
 
 
@@ -36,22 +39,37 @@ def standardize(features: DataFrame, cols=S.SEGMENT_FEATURES, suffix: str = "_z"
     return out
 
 
-def cluster_viewers(features: DataFrame, k: int = S.KMEANS_K, restarts: int = S.KMEANS_RESTARTS,
-                    seed: int = S.SEED, max_iter: int = 100) -> DataFrame:
-    """K-means on the standardized features; the restart with the lowest cost wins."""
+def fit_segmentation(features: DataFrame, k: int = S.KMEANS_K, restarts: int = S.KMEANS_RESTARTS,
+                     seed: int = S.SEED, max_iter: int = 100, parallelism: int = 4):
+    """P09 fit: k-means on the standardized features; the restart with the lowest cost wins.
+
+    Returns ``(model, data)`` where ``data`` is the features with the assembled
+    vector.  The scaled features are checkpointed (reliably, to the session's
+    checkpoint folder) so the restarts and the final assignment read one
+    materialized copy and a lost executor does not replay the feature lineage.
+    Restarts are independent Spark jobs submitted concurrently, ``parallelism``
+    at a time.
+    """
+    checkpoint_dir(features.sparkSession)
     scaled = standardize(features)
     vec = VectorAssembler(inputCols=[c + "_z" for c in S.SEGMENT_FEATURES], outputCol="_features")
-    data = vec.transform(scaled).select("user_id", "_features").cache()
-    best = None
-    for i in range(restarts):
+    data = vec.transform(scaled).drop(*[c + "_z" for c in S.SEGMENT_FEATURES]).checkpoint(eager=True)
+
+    def fit(i):
         model = KMeans(k=k, seed=seed + i, maxIter=max_iter, featuresCol="_features",
                        predictionCol="viewer_segment_id").fit(data)
-        cost = model.summary.trainingCost
-        if best is None or cost < best[0]:
-            best = (cost, model)
-    assigned = best[1].transform(data).select("user_id", F.col("viewer_segment_id").cast("int"))
-    data.unpersist()
-    return features.join(assigned, "user_id")
+        return model.summary.trainingCost, i, model
+
+    with ThreadPoolExecutor(max_workers=max(1, min(parallelism, restarts))) as pool:
+        fits = list(pool.map(fit, range(restarts)))
+    return min(fits, key=lambda x: (x[0], x[1]))[2], data
+
+
+def cluster_viewers(features: DataFrame, **kw) -> DataFrame:
+    """Features with their cluster id."""
+    model, data = fit_segmentation(features, **kw)
+    return (model.transform(data).drop("_features")
+            .withColumn("viewer_segment_id", F.col("viewer_segment_id").cast("int")))
 
 
 def name_segments(segmented: DataFrame) -> DataFrame:
@@ -137,7 +155,8 @@ def roc_auc(scored: DataFrame) -> DataFrame:
 
 def churn_pipeline(features: DataFrame, seed: int = S.SEED):
     """Dataset, split, fit, test scores and AUC."""
-    data = stratified_split(churn_dataset(features), seed=seed).cache()
+    checkpoint_dir(features.sparkSession)
+    data = stratified_split(churn_dataset(features), seed=seed).checkpoint(eager=True)
     vec, model = train_churn_model(data.filter(~F.col("is_test")), seed)
     test_scores = score(vec, model, data.filter(F.col("is_test")))
     return data, (vec, model), test_scores, roc_auc(test_scores)

@@ -12,6 +12,12 @@ Here the total order is split by a range partitioner instead:
    partition count) gives exclusive prefix offsets through a window over those
    few rows, and is broadcast back.
 
+The indexed partitions are materialized once with a reliable ``checkpoint()``
+(into the session's checkpoint folder) and both the count table and the rows
+read that copy.  Without it the input would be computed twice, and a shuffle
+output's row order - hence the range partitioner's sample and bounds - can
+differ between the two runs (or after an executor loss), breaking positions.
+
 Position = partition offset + index.  NTILE, PERCENTILE_CONT and mean tie ranks
 are formulas over positions.  Work per task is one range partition; no task
 sees more than its share of rows, whatever the skew of the sort values (ties
@@ -25,6 +31,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import checkpoint_dir
+
 _LOW_BITS = (1 << 33) - 1
 
 
@@ -46,6 +54,8 @@ def with_position(df: DataFrame, order: Sequence[Column | str], name: str = "pos
               .sortWithinPartitions(*order)
               .withColumn("_pid", F.spark_partition_id())
               .withColumn("_idx", F.monotonically_increasing_id().bitwiseAND(F.lit(_LOW_BITS))))
+    checkpoint_dir(df.sparkSession)
+    ranged = ranged.checkpoint(eager=True)
     counts = ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_cnt"))
     before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(
@@ -97,6 +107,8 @@ def exclusive_prefix_sum(df: DataFrame, order: Sequence[Column | str], weight: s
     """Add the sum of ``weight`` over all rows strictly before each row in ``order`` (unique)."""
     n = _num_partitions(df, num_partitions)
     ranged = df.repartitionByRange(n, *order).withColumn("_pid", F.spark_partition_id())
+    checkpoint_dir(df.sparkSession)
+    ranged = ranged.checkpoint(eager=True)
     sums = ranged.groupBy("_pid").agg(F.sum(weight).alias("_psum"))
     before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select("_pid", F.coalesce(F.sum("_psum").over(before), F.lit(0)).alias("_off"))

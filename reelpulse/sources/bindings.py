@@ -130,9 +130,8 @@ def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def event_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Binding E: watch_history from events (clock times over all 24 hours)."""
-    ev = read_table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value", "props")
+def bind_events(ev: DataFrame) -> DataFrame:
+    """Map an ``events``-shaped DataFrame (batch or streaming) to watch_history columns."""
     return ev.select(
         F.col("event_id").cast("string").alias("session_id"),
         F.col("user_id"),
@@ -144,6 +143,11 @@ def event_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def event_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Binding E: watch_history from events (clock times over all 24 hours)."""
+    return bind_events(read_table(spark, sf_dir, "events"))
+
+
 def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reviews: returned lineitems; rating 1..5 from the tax rate."""
     j = _lineitem_sessions(spark, sf_dir, returned_only=True)
