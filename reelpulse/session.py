@@ -45,17 +45,20 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
     return spark
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
+def checkpoint_dir(spark: SparkSession) -> str | None:
     """The shared folder for reliable checkpoints and written intermediate tables.
 
     Reads ``spark.checkpoint.dir`` from the session; only when it is unset (local
     tests) a fresh scratch folder is created and registered.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    if not configured:
-        configured = spark.sparkContext.getCheckpointDir()
+    try:
+        sc = spark.sparkContext
+    except Exception:          # a remote session: the server owns the checkpoint folder
+        return configured
+    configured = configured or sc.getCheckpointDir()
     if not configured:
         configured = tempfile.mkdtemp(prefix="reelpulse-ckpt-")
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(configured)
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(configured)
     return configured

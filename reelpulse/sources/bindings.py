@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schema as S
-from .tables import read_table
+from .tables import app_id, read_table
 
 # Fixed value maps of the binding (FIXTURES.md §3-§4).
 SEGMENT_TO_PLAN = [
@@ -80,9 +80,21 @@ def users(spark: SparkSession, sf_dir: str) -> DataFrame:
             ))
 
 
+_PLANS: dict[str, DataFrame] = {}
+
+
 def subscription_plans(spark: SparkSession) -> DataFrame:
-    """The four plans (fixed size; safe to broadcast)."""
-    return spark.createDataFrame(S.PLAN_ROWS, S.SUBSCRIPTION_PLANS)
+    """The four plans (fixed size; safe to broadcast), as a JVM-side literal relation."""
+    app = app_id(spark)
+    if app not in _PLANS:
+        _PLANS[app] = _plans_relation(spark)
+    return _PLANS[app]
+
+
+def _plans_relation(spark: SparkSession) -> DataFrame:
+    rows = [F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(row, S.SUBSCRIPTION_PLANS.fields)])
+            for row in S.PLAN_ROWS]
+    return spark.range(1).select(F.inline(F.array(*rows)))
 
 
 def content_library(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,9 +15,25 @@ TEST_TABLES = (
 )
 
 
-def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One driver test table.  Column pruning and filters reach the parquet scan."""
-    return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+_HANDLES: dict[tuple[str, str], DataFrame] = {}
+
+
+def app_id(spark: SparkSession) -> str:
+    return spark.conf.get("spark.app.id", "") or str(id(spark))
+
+
+def read_table(spark: SparkSession, sf_dir: str, name: str, refresh: bool = False) -> DataFrame:
+    """One driver test table.  Column pruning and filters reach the parquet scan.
+
+    The DataFrame handle (file listing and footer schema) is kept per Spark
+    application and path, so repeated queries in one session do not list and
+    read footers again; ``refresh=True`` re-reads after the files change.
+    """
+    path = os.path.join(sf_dir, f"{name}.parquet")
+    key = (app_id(spark), path)
+    if refresh or key not in _HANDLES:
+        _HANDLES[key] = spark.read.parquet(path)
+    return _HANDLES[key]
 
 
 def read_canonical(spark: SparkSession, path: str, table: str, fmt: str = "csv") -> DataFrame:
