@@ -96,12 +96,14 @@ def user_engagement(watch: DataFrame) -> DataFrame:
 
 
 def upgrade_candidates(watch: DataFrame, users: DataFrame, plans=S.UPGRADE_PLANS,
-                       pct: float = S.UPGRADE_PERCENTILE) -> DataFrame:
+                       pct: float = S.UPGRADE_PERCENTILE, approx: bool = False) -> DataFrame:
     """Q18: Basic/Standard viewers strictly above the exact ``pct`` percentile of hours
     among all viewers.  The percentile is an exact range-partitioned order
-    statistic, used as a scalar subquery."""
+    statistic, used as a scalar subquery; ``approx=True`` uses a one-pass
+    ``percentile_approx`` sketch instead (opt-in, not the reference's result)."""
     e = user_engagement(watch)
-    cut = ordered.percentile_cont(e, "watch_hours", pct, key=["user_id"])
+    cut = (e.agg(F.percentile_approx("watch_hours", pct, 10000)) if approx
+           else ordered.percentile_cont(e, "watch_hours", pct, key=["user_id"]))
     return (e.filter(F.col("watch_hours") > cut.scalar())
             .join(users.filter(F.col("subscription_type").isin(*plans))
                   .select("user_id", "country", "subscription_type"), "user_id")

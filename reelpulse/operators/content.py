@@ -131,7 +131,7 @@ def catalogue_saturation(content: DataFrame) -> DataFrame:
 
 
 def high_rating_low_discovery(watch: DataFrame, content: DataFrame, min_imdb=S.HIGH_IMDB,
-                              pct: float = S.DISCOVERY_PERCENTILE) -> DataFrame:
+                              pct: float = S.DISCOVERY_PERCENTILE, approx: bool = False) -> DataFrame:
     """Q31: imdb >= ``min_imdb`` titles with fewer sessions than the ``pct`` percentile
     of sessions over all titles (titles never watched count with 0)."""
     counts = watch.groupBy("content_id").agg(F.count("session_id").alias("_n"))
@@ -139,7 +139,8 @@ def high_rating_low_discovery(watch: DataFrame, content: DataFrame, min_imdb=S.H
             .join(counts, "content_id", "left")
             .withColumn("sessions", F.coalesce(F.col("_n"), F.lit(0)).cast("bigint"))
             .drop("_n"))
-    cut = ordered.percentile_cont(perf, "sessions", pct, key=["content_id"])
+    cut = (perf.agg(F.percentile_approx("sessions", pct, 10000).cast("double")) if approx
+           else ordered.percentile_cont(perf, "sessions", pct, key=["content_id"]))
     return (perf.filter((F.col("imdb_rating") >= min_imdb) & (F.col("sessions") < cut.scalar()))
             .withColumn("imdb_rating", F.col("imdb_rating").cast("double")))
 

@@ -25,10 +25,11 @@ def executive_kpis(watch: DataFrame, users: DataFrame, plans: DataFrame) -> Data
     )
 
 
-def daily_active_users(watch: DataFrame) -> DataFrame:
-    """Q02: per day distinct viewers, sessions and hours."""
+def daily_active_users(watch: DataFrame, approx: bool = False) -> DataFrame:
+    """Q02: per day distinct viewers, sessions and hours (``approx=True``: HyperLogLog++ sketch)."""
+    viewers = F.approx_count_distinct("user_id") if approx else F.count_distinct("user_id")
     return (watch.groupBy(F.to_date("watch_time").alias("watch_date"))
-            .agg(F.count_distinct("user_id").alias("dau"),
+            .agg(viewers.alias("dau"),
                  F.count(F.lit(1)).alias("sessions"),
                  X.hours("watch_duration").alias("watch_hours")))
 

@@ -207,8 +207,11 @@ register("f02_segment_summary")(lambda t: ML.segment_summary(segments(t)))
 register("f03_country_summary")(lambda t: A.country_summary(features(t), t.users))
 register("f04_top_titles")(lambda t: C.top_titles_by_minutes(
     t.watch.join(t.content.select("content_id", "title", "genre", "content_type"), "content_id"), 10))
+register("f04_top_titles_filtered")(lambda t: C.top_titles_by_minutes(filtered(t), 20))
 register("f05_genre_share_of_max")(lambda t: FD.share_of_max(
     C.genre_performance(enriched(t)), "genre", "watch_hours", "engagement_score", 8))
+register("f05_country_share_of_max")(lambda t: FD.share_of_max(
+    A.country_summary(features(t), t.users), "country", "watch_minutes", "watch_minutes", 8))
 register("f06_minmax_trend")(lambda t: FD.minmax_trend(K.monthly_kpis(enriched(t))))
 register("f07_filtered_sessions")(lambda t: filtered(t).select(
     "session_id", "user_id", "country", "genre", "subscription_type", "watch_duration", "revenue_usd"))
@@ -229,3 +232,4 @@ def _f14(t: Star) -> DataFrame:
 
 
 register("f16_top_genres_by_score")(lambda t: C.top_genres_by_score(C.genre_performance(enriched(t)), 10))
+register("f16_top_genres_by_score_app")(lambda t: C.top_genres_by_score(C.genre_performance(enriched(t)), 12))

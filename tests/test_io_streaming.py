@@ -56,3 +56,34 @@ def test_streaming_daily_activity_matches_batch(spark, scratch):
     for r in rows:
         assert (r.dau, r.sessions) == (r.b_dau, r.b_s)
         assert abs(r.watch_hours - r.b_h) < 1e-9
+
+
+def test_build_marts_with_models(spark, scratch):
+    out = sinks.build_marts(spark, SF_SMALL, scratch, with_models=True)
+    segs = spark.read.parquet(out["viewer_segments"])
+    assert segs.select("viewer_segment").distinct().count() == 5
+    recs = spark.read.option("header", True).csv(out["recommendation_preview"])
+    assert recs.count() == 50
+    metrics = spark.read.json(out["model_metrics"]).collect()[0]
+    assert metrics.sessions == 6000 or metrics.sessions > 0
+    from pyspark.ml.classification import RandomForestClassificationModel
+    from pyspark.ml.clustering import KMeansModel
+    assert KMeansModel.load(os.path.join(out["models"], "viewer_segmentation_kmeans")).getK() == 5
+    assert RandomForestClassificationModel.load(
+        os.path.join(out["models"], "churn_prediction_random_forest")).getNumTrees == 160
+
+
+def test_streaming_drops_data_later_than_the_watermark(spark, scratch):
+    import datetime as dt
+    rows1 = [(1, dt.datetime(2024, 1, 1, 10), 1, "view", 10.0, '{"k": 1}'),
+             (2, dt.datetime(2024, 1, 5, 10), 2, "view", 10.0, '{"k": 1}')]
+    rows2 = [(3, dt.datetime(2024, 1, 1, 11), 3, "view", 10.0, '{"k": 1}'),    # 4 days late: dropped
+             (4, dt.datetime(2024, 1, 9, 10), 4, "view", 10.0, '{"k": 1}')]
+    src, out, ckpt = (os.path.join(scratch, x) for x in ("src", "out", "ckpt"))
+    spark.createDataFrame(rows1, SD.EVENTS_SCHEMA).write.parquet(os.path.join(src, "b1"))
+    SD.run_daily_activity(spark, os.path.join(src, "*"), out, ckpt).awaitTermination(300)
+    spark.createDataFrame(rows2, SD.EVENTS_SCHEMA).write.parquet(os.path.join(src, "b2"))
+    SD.run_daily_activity(spark, os.path.join(src, "*"), out, ckpt).awaitTermination(300)
+    got = {r.watch_date: r.dau for r in spark.read.parquet(out).collect()}
+    assert got[dt.date(2024, 1, 1)] == 1          # the late viewer 3 did not reopen the closed day
+    assert dt.date(2024, 1, 5) in got
