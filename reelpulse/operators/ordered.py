@@ -36,10 +36,13 @@ from ..session import checkpoint_dir
 _LOW_BITS = (1 << 33) - 1
 
 
-def _num_partitions(df: DataFrame, num_partitions: int | None) -> int:
+def _range(df: DataFrame, order, num_partitions: int | None) -> DataFrame:
+    """Range-partition on ``order``.  Without an explicit count, AQE may coalesce
+    adjacent ranges into fewer partitions; each one is still a contiguous slice
+    of the order, which is all the position arithmetic needs."""
     if num_partitions:
-        return num_partitions
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        return df.repartitionByRange(num_partitions, *order)
+    return df.repartitionByRange(*order)
 
 
 def with_position(df: DataFrame, order: Sequence[Column | str], name: str = "pos",
@@ -49,8 +52,7 @@ def with_position(df: DataFrame, order: Sequence[Column | str], name: str = "pos
     ``order`` must be unique per row (append the row key to break ties).  When
     ``total`` is given, the row count of ``df`` is added under that name.
     """
-    n = _num_partitions(df, num_partitions)
-    ranged = (df.repartitionByRange(n, *order)
+    ranged = (_range(df, order, num_partitions)
               .sortWithinPartitions(*order)
               .withColumn("_pid", F.spark_partition_id())
               .withColumn("_idx", F.monotonically_increasing_id().bitwiseAND(F.lit(_LOW_BITS))))
@@ -105,8 +107,7 @@ def percentile_cont(df: DataFrame, value: str, q: float, key: Sequence[str] = ()
 def exclusive_prefix_sum(df: DataFrame, order: Sequence[Column | str], weight: str, name: str,
                          num_partitions: int | None = None) -> DataFrame:
     """Add the sum of ``weight`` over all rows strictly before each row in ``order`` (unique)."""
-    n = _num_partitions(df, num_partitions)
-    ranged = df.repartitionByRange(n, *order).withColumn("_pid", F.spark_partition_id())
+    ranged = _range(df, order, num_partitions).withColumn("_pid", F.spark_partition_id())
     checkpoint_dir(df.sparkSession)
     ranged = ranged.checkpoint(eager=True)
     sums = ranged.groupBy("_pid").agg(F.sum(weight).alias("_psum"))

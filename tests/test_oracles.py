@@ -7,6 +7,8 @@ from conftest import SF_SMALL
 from helpers import duck, duck_rows, same, spark_rows
 
 ORACLES = E.oracle_sql()
+# z-scores divide by a float mean/sd whose last bits depend on summation order in each engine.
+FLOAT_AGGREGATES = {"p08_standardized_features": 9}
 
 
 @pytest.fixture(scope="module")
@@ -20,7 +22,7 @@ def test_matches_oracle(spark, con, name):
     got = spark_rows(df)
     want = duck_rows(con, ORACLES[name])
     assert len(got[1]) == len(want[1])
-    assert same(got, want, digits=12), name
+    assert same(got, want, digits=FLOAT_AGGREGATES.get(name, 12)), name
 
 
 def test_every_oracle_has_a_query():
