@@ -232,3 +232,12 @@ def load_star(spark: SparkSession, sf_dir: str, binding: str = "S") -> Star:
     if binding not in ("S", "E"):
         raise ValueError("binding must be 'S' (lineitem sessions) or 'E' (event sessions)")
     return Star(spark, sf_dir, binding)
+
+
+def load_star_tables(spark: SparkSession, database: str = "reelpulse") -> Star:
+    """A Star over tables written by :func:`reelpulse.sources.sinks.materialize_star`."""
+    t = Star(spark, f"catalog:{database}")
+    for attr, table in (("users", "users"), ("plans", "subscription_plans"), ("content", "content_library"),
+                        ("watch", "watch_history"), ("reviews", "reviews")):
+        t._cache[attr] = spark.table(f"{database}.{table}")
+    return t

@@ -21,6 +21,7 @@ def spark():
          .config("spark.sql.session.timeZone", "UTC")
          .config("spark.ui.enabled", "false")
          .config("spark.ui.showConsoleProgress", "false")
+         .config("spark.sql.warehouse.dir", tempfile.mkdtemp(prefix="reelpulse-test-wh-"))
          .getOrCreate())
     s.sparkContext.setLogLevel("ERROR")
     # Tests run without a cluster-provided checkpoint folder: use a scratch one.

@@ -82,3 +82,27 @@ def test_hot_value_ntile_and_percentile(spark):
     assert got["t"].tolist() == want["t"].tolist()
     p = ordered.percentile_cont(df, "x", 0.8, key=["k"], num_partitions=6).collect()[0][0]
     assert p == pytest.approx(duckdb.sql("SELECT quantile_cont(x, 0.8) FROM pdf").fetchall()[0][0])
+
+
+def test_bucketed_star_joins_without_shuffling_the_fact(spark):
+    from helpers import duck, duck_rows
+    import __spark_entry__ as E
+    from reelpulse.sources import sinks
+    from reelpulse.sources.bindings import load_star_tables
+    from reelpulse.operators import kpi as K
+    sinks.materialize_star(spark, SF_SMALL, database="rp_test", buckets=4)
+    t = load_star_tables(spark, "rp_test")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")     # force the sort-merge path
+    try:
+        df = A.country_engagement(t.watch, t.users)
+        p = df._jdf.queryExecution().executedPlan().toString()
+        join_part = p[p.index("SortMergeJoin"):]
+        assert "Exchange hashpartitioning(user_id" not in join_part
+        got = spark_rows(df)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    want = duck_rows(duck(SF_SMALL), E.oracle_sql()["q11_country_engagement"])
+    assert same(got, want)
+    assert same(spark_rows(K.executive_kpis(t.watch, t.users, t.plans)),
+                duck_rows(duck(SF_SMALL), E.oracle_sql()["q01_executive_kpis"]))
