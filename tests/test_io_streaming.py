@@ -87,3 +87,22 @@ def test_streaming_drops_data_later_than_the_watermark(spark, scratch):
     got = {r.watch_date: r.dau for r in spark.read.parquet(out).collect()}
     assert got[dt.date(2024, 1, 1)] == 1          # the late viewer 3 did not reopen the closed day
     assert dt.date(2024, 1, 5) in got
+
+
+def test_hourly_sessions_on_batch_input(spark):
+    w = event_sessions(spark, SF_SMALL)
+    got = SD.hourly_sessions(w).groupBy(F.hour("hour_start").alias("h")).agg(
+        F.sum("sessions").alias("sessions"), F.sum("watch_hours").alias("watch_hours"))
+    want = K.hour_of_day(w)
+    rows = {r.h: (r.sessions, r.watch_hours) for r in got.collect()}
+    for r in want.collect():
+        assert rows[r.hour_of_day][0] == r.sessions
+        assert abs(rows[r.hour_of_day][1] - r.watch_hours) < 1e-6
+
+
+def test_canonical_json_and_parquet_readers(spark, scratch):
+    t = load_star(spark, SF_SMALL)
+    for fmt, writer in (("json", sinks.write_json), ("parquet", sinks.write_parquet)):
+        path = writer(t.content, os.path.join(scratch, f"content_{fmt}"))
+        back = read_canonical(spark, path, "content_library", fmt=fmt)
+        assert same(spark_rows(back), spark_rows(t.content))
