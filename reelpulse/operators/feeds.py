@@ -52,28 +52,32 @@ def minmax_trend(monthly: DataFrame, value: str = "watch_hours") -> DataFrame:
     return monthly.select("month", value, F.try_divide(F.col(value) - lo, hi - lo).alias("normalised"))
 
 
-def _first_values(enriched: DataFrame, column: str, n: int | None) -> DataFrame:
-    values = enriched.select(column).filter(F.col(column).isNotNull()).distinct()
-    return values.orderBy(column).limit(n) if n else values
-
-
 def filtered_sessions(enriched: DataFrame, countries: Sequence[str] | None = None,
                       genres: Sequence[str] | None = None, plans: Sequence[str] | None = None) -> DataFrame:
     """sessions whose country, genre and plan are all selected.
 
-    Explicit lists become ``isin`` filters; omitted lists use the defaults.
+    Explicit lists become ``isin`` filters.  Omitted country/genre lists default to
+    the first values in sorted order; both come from one distinct
+    (country, genre) aggregate, a table bounded by the two dimensions'
+    domains, and are applied as semi joins against at most 6 / 8 rows.  The
+    distinct table is cached so the defaults cost one pass over the sessions,
+    not one per list (its content is a set, so a recomputed block is identical).
     """
     out = enriched
+    if countries is None or genres is None:
+        pairs = enriched.select("country", "genre").distinct().cache()
     for column, chosen, default_n in (("country", countries, DEFAULT_COUNTRIES),
-                                      ("genre", genres, DEFAULT_GENRES),
-                                      ("subscription_type", plans, None)):
+                                      ("genre", genres, DEFAULT_GENRES)):
         if chosen is not None:
             out = out.filter(F.col(column).isin(list(chosen)))
-        elif default_n is not None:
-            # At most default_n rows: a bounded broadcast side.
-            out = out.join(F.broadcast(_first_values(enriched, column, default_n)), column, "left_semi")
         else:
-            out = out.filter(F.col(column).isNotNull())     # every value selected
+            first = (pairs.select(column).filter(F.col(column).isNotNull()).distinct()
+                     .orderBy(column).limit(default_n))
+            out = out.join(F.broadcast(first), column, "left_semi")
+    if plans is not None:
+        out = out.filter(F.col("subscription_type").isin(list(plans)))
+    else:
+        out = out.filter(F.col("subscription_type").isNotNull())     # every plan selected
     return out
 
 

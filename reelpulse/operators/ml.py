@@ -25,18 +25,23 @@ from . import ordered
 def standardize(features: DataFrame, cols=S.SEGMENT_FEATURES, suffix: str = "_z") -> DataFrame:
     """(x - mean) / population sd per column; 0 where the sd is 0.
 
-    The 2 x len(cols) statistics are scalar subqueries that Catalyst merges
-    into one aggregate over the features.
+    Fit/transform, as MLlib's scalers do: the per-user features are checkpointed
+    once (reliably), one aggregate over that copy gives the 2 x len(cols)
+    statistics (a single row of numbers to the driver), and the transform is a
+    projection with those numbers as literals.  The fact table is scanned once.
     """
-    stats = features.agg(*[F.avg(c).alias(f"m_{c}") for c in cols],
-                         *[F.stddev_pop(c).alias(f"s_{c}") for c in cols])
-    out = features
+    checkpoint_dir(features.sparkSession)
+    base = features.checkpoint(eager=True)
+    st = base.agg(*[F.avg(c).alias(f"m_{c}") for c in cols],
+                  *[F.stddev_pop(c).alias(f"s_{c}") for c in cols]).first()
+    z = []
     for c in cols:
-        m = stats.select(f"m_{c}").scalar()
-        s = stats.select(f"s_{c}").scalar()
-        out = out.withColumn(c + suffix, F.coalesce(F.try_divide(F.col(c) - m, F.nullif(s, F.lit(0.0))),
-                                                    F.lit(0.0)))
-    return out
+        mean, sd = st[f"m_{c}"], st[f"s_{c}"]
+        if mean is None or not sd:
+            z.append(F.lit(0.0).alias(c + suffix))
+        else:
+            z.append(F.coalesce((F.col(c) - F.lit(mean)) / F.lit(sd), F.lit(0.0)).alias(c + suffix))
+    return base.select("*", *z)
 
 
 def fit_segmentation(features: DataFrame, k: int = S.KMEANS_K, restarts: int = S.KMEANS_RESTARTS,
@@ -44,16 +49,15 @@ def fit_segmentation(features: DataFrame, k: int = S.KMEANS_K, restarts: int = S
     """P09 fit: k-means on the standardized features; the restart with the lowest cost wins.
 
     Returns ``(model, data)`` where ``data`` is the features with the assembled
-    vector.  The scaled features are checkpointed (reliably, to the session's
-    checkpoint folder) so the restarts and the final assignment read one
-    materialized copy and a lost executor does not replay the feature lineage.
+    vector.  The features are checkpointed by :func:`standardize`, so the
+    restarts and the final assignment read one materialized copy (cached here;
+    a lost block is recomputed from the checkpoint, not from the fact table).
     Restarts are independent Spark jobs submitted concurrently, ``parallelism``
     at a time.
     """
-    checkpoint_dir(features.sparkSession)
     scaled = standardize(features)
     vec = VectorAssembler(inputCols=[c + "_z" for c in S.SEGMENT_FEATURES], outputCol="_features")
-    data = vec.transform(scaled).drop(*[c + "_z" for c in S.SEGMENT_FEATURES]).checkpoint(eager=True)
+    data = vec.transform(scaled).drop(*[c + "_z" for c in S.SEGMENT_FEATURES]).cache()
 
     def fit(i):
         model = KMeans(k=k, seed=seed + i, maxIter=max_iter, featuresCol="_features",
