@@ -18,8 +18,9 @@ read that copy.  Without it the input would be computed twice, and a shuffle
 output's row order - hence the range partitioner's sample and bounds - can
 differ between the two runs (or after an executor loss), breaking positions.
 
-Position = partition offset + index.  NTILE, PERCENTILE_CONT and mean tie ranks
-are formulas over positions.  Work per task is one range partition; no task
+Position = partition offset + index; NTILE is a formula over positions.
+PERCENTILE_CONT and mean tie ranks work on per-value counts and their prefix
+sums, so ties collapse before anything is ordered.  Work per task is one range partition; no task
 sees more than its share of rows, whatever the skew of the sort values (ties
 are split by the unique tail of the key).
 """
@@ -83,39 +84,59 @@ def ntile(df: DataFrame, order: Sequence[Column | str], tiles: int, name: str,
     return pos.withColumn(name, bucket.cast("bigint")).drop("_pos", "_n")
 
 
+def _ranged_sums(df: DataFrame, order, weight: str, num_partitions: int | None):
+    """Range-partitioned, checkpointed copy with ``_pid``, and the per-partition table
+    (``_pid``, ``_off`` = weight before the partition, ``_psum``, ``_total``)."""
+    ranged = _range(df, order, num_partitions).withColumn("_pid", F.spark_partition_id())
+    checkpoint_dir(df.sparkSession)
+    ranged = ranged.checkpoint(eager=True)
+    sums = ranged.groupBy("_pid").agg(F.sum(weight).alias("_psum"))
+    before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select("_pid", F.coalesce(F.sum("_psum").over(before), F.lit(0)).alias("_off"), "_psum",
+                          F.sum("_psum").over(Window.partitionBy()).alias("_total"))
+    return ranged, offsets
+
+
+def _with_running(rows: DataFrame, order, weight: str, name: str) -> DataFrame:
+    """``name`` = weight strictly before each row: partition offset + running sum inside the
+    range partition (a window per partition; each holds one slice of the order)."""
+    within = Window.partitionBy("_pid").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    return rows.withColumn(name, F.col("_off") + F.coalesce(F.sum(weight).over(within), F.lit(0)))
+
+
 def percentile_cont(df: DataFrame, value: str, q: float, key: Sequence[str] = (),
                     num_partitions: int | None = None) -> DataFrame:
     """Exact ``PERCENTILE_CONT(q) WITHIN GROUP (ORDER BY value)`` as a one-row DataFrame.
 
-    Only the two rows around the fractional rank survive the filter, so the final
-    aggregate is over at most two rows.  ``key`` breaks ties (any unique columns).
+    Rows are first grouped by value (a count per distinct value, combined
+    map-side), so ties - however many - are one row.  The distinct values are
+    range-partitioned; per-partition count sums locate the (at most two)
+    partitions holding ranks floor(q(n-1)) and ceil(q(n-1)), and only those are
+    scanned for a running count.  The two values are interpolated.  ``key`` is
+    accepted for signature compatibility; ties need no breaking here.
     """
-    vals = df.select(value, *key).filter(F.col(value).isNotNull())
-    pos = with_position(vals, [value, *key], "_pos", "_n", num_partitions)
-    rank = F.col("_n").cast("double") - 1.0
-    rank = rank * q
+    counts = df.filter(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("_cnt"))
+    ranged, offsets = _ranged_sums(counts, [value], "_cnt", num_partitions)
+    rank = (F.col("_total").cast("double") - 1.0) * q
     lo, hi = F.floor(rank), F.ceil(rank)
-    picked = pos.filter((F.col("_pos") == lo) | (F.col("_pos") == hi)).select(
-        F.col(value).cast("double").alias("_v"), (F.col("_pos") == lo).alias("_is_lo"),
-        (rank - lo).alias("_frac"))
+
+    def within(r, start, size):
+        return (F.col(start) <= r) & (r < F.col(start) + F.col(size))
+
+    # At most two partitions hold the target ranks: a bounded broadcast side.
+    targets = offsets.filter(within(lo, "_off", "_psum") | within(hi, "_off", "_psum"))
+    rows = _with_running(ranged.join(F.broadcast(targets), "_pid"), [value], "_cnt", "_before")
+    picked = rows.filter(within(lo, "_before", "_cnt") | within(hi, "_before", "_cnt")).select(
+        F.col(value).cast("double").alias("_v"), within(lo, "_before", "_cnt").alias("_is_lo"),
+        within(hi, "_before", "_cnt").alias("_is_hi"), (rank - lo).alias("_frac"))
     v_lo = F.max(F.when(F.col("_is_lo"), F.col("_v")))
-    v_hi = F.max(F.when(~F.col("_is_lo"), F.col("_v")))
-    v_hi = F.coalesce(v_hi, v_lo)
+    v_hi = F.max(F.when(F.col("_is_hi"), F.col("_v")))
     return picked.agg((v_lo + (v_hi - v_lo) * F.max("_frac")).alias("percentile"))
 
 
 def exclusive_prefix_sum(df: DataFrame, order: Sequence[Column | str], weight: str, name: str,
                          num_partitions: int | None = None) -> DataFrame:
     """Add the sum of ``weight`` over all rows strictly before each row in ``order`` (unique)."""
-    ranged = _range(df, order, num_partitions).withColumn("_pid", F.spark_partition_id())
-    checkpoint_dir(df.sparkSession)
-    ranged = ranged.checkpoint(eager=True)
-    sums = ranged.groupBy("_pid").agg(F.sum(weight).alias("_psum"))
-    before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.select("_pid", F.coalesce(F.sum("_psum").over(before), F.lit(0)).alias("_off"))
-    # The running sum is a window per range partition: each holds one slice of the order.
-    within = Window.partitionBy("_pid").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    out = (ranged.withColumn("_run", F.coalesce(F.sum(weight).over(within), F.lit(0)))
-           .join(F.broadcast(offsets), "_pid")
-           .withColumn(name, F.col("_off") + F.col("_run")))
-    return out.drop("_pid", "_run", "_off")
+    ranged, offsets = _ranged_sums(df, order, weight, num_partitions)
+    out = _with_running(ranged.join(F.broadcast(offsets.select("_pid", "_off")), "_pid"), order, weight, name)
+    return out.drop("_pid", "_off")
