@@ -83,3 +83,27 @@ def engagement_score(hours_col, people_col, completion_col, weights) -> Column:
     w_hours, w_people, w_completion, scale = weights
     return (col(hours_col) * w_hours + col(completion_col) * scale * w_completion
             + col(people_col) * w_people)
+
+
+# ---------------------------------------------------------------------------
+# Partial aggregates: reduce sessions to one row per fine key before a join,
+# then roll the partials up.  Decimal partial sums add up exactly.
+# ---------------------------------------------------------------------------
+
+def session_partials(watch, *keys):
+    """Sessions, minutes and completion sum/count per ``keys`` (combined map-side)."""
+    return watch.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("_n"), F.sum("watch_duration").alias("_min"),
+        F.sum("completion_rate").alias("_comp"), F.count("completion_rate").alias("_comp_n"))
+
+
+def rolled_sessions() -> Column:
+    return F.sum("_n")
+
+
+def rolled_hours() -> Column:
+    return F.sum("_min").cast("double") / 60.0
+
+
+def rolled_completion() -> Column:
+    return F.try_divide(F.sum("_comp").cast("double"), F.sum("_comp_n"))

@@ -50,12 +50,14 @@ def binge_by_device(watch: DataFrame, min_sessions: int = S.BINGE_MIN_SESSIONS,
 
 
 def country_engagement(watch: DataFrame, users: DataFrame) -> DataFrame:
-    """Q11: viewers, sessions, hours and completion per country."""
-    return watch.join(users.select("user_id", "country"), "user_id").groupBy("country").agg(
+    """Q11: viewers, sessions, hours and completion per country (per-viewer partials
+    first, so a heavy viewer is one row at the join)."""
+    per_user = X.session_partials(watch, "user_id")
+    return per_user.join(users.select("user_id", "country"), "user_id").groupBy("country").agg(
         F.count_distinct("user_id").alias("viewers"),
-        F.count(F.lit(1)).alias("sessions"),
-        X.hours("watch_duration").alias("watch_hours"),
-        X.mean("completion_rate").alias("avg_completion"))
+        X.rolled_sessions().alias("sessions"),
+        X.rolled_hours().alias("watch_hours"),
+        X.rolled_completion().alias("avg_completion"))
 
 
 def premium_adoption_by_signup(users: DataFrame) -> DataFrame:
@@ -76,12 +78,14 @@ def revenue_per_user_by_country(users: DataFrame, plans: DataFrame) -> DataFrame
 def top_genres_per_country(watch: DataFrame, users: DataFrame, content: DataFrame, k: int = 3) -> DataFrame:
     """Q15: the ``k`` genres with most minutes per country (ties by genre name).
 
-    The window runs over (country, genre) aggregates; Catalyst adds a
+    Minutes are summed per (viewer, title) before the dimension joins.  The
+    window runs over (country, genre) aggregates; Catalyst adds a
     WindowGroupLimit so only ``k`` rows per country leave each task.
     """
-    x = (watch.join(users.select("user_id", "country"), "user_id")
+    x = (watch.groupBy("user_id", "content_id").agg(F.sum("watch_duration").alias("_m"))
+         .join(users.select("user_id", "country"), "user_id")
          .join(content.select("content_id", "genre"), "content_id")
-         .groupBy("country", "genre").agg(F.sum("watch_duration").alias("_minutes")))
+         .groupBy("country", "genre").agg(F.sum("_m").alias("_minutes")))
     w = Window.partitionBy("country").orderBy(F.col("_minutes").desc(), "genre")
     return (x.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= k)
             .select("country", "genre", F.col("_minutes").cast("double").alias("minutes"),
@@ -141,12 +145,13 @@ def last_genre_before_churn(watch: DataFrame, users: DataFrame, content: DataFra
     """Q27: genre of each churned viewer's latest session, counted per genre.
 
     Latest = max (watch_time, session_id): an aggregate, so it combines map-side
-    instead of sorting each viewer's history in one task.
+    instead of sorting each viewer's history in one task; it runs before the
+    churned-viewer semi join, which then sees one row per viewer.
     """
     churned = users.filter(F.col("churn_status") == "Churned").select("user_id")
-    last = (watch.join(churned, "user_id", "left_semi")
-            .groupBy("user_id")
+    last = (watch.groupBy("user_id")
             .agg(F.max(F.struct("watch_time", "session_id", "content_id")).alias("_last"))
+            .join(churned, "user_id", "left_semi")
             .select(F.col("_last.content_id").alias("content_id")))
     return last.join(content.select("content_id", "genre"), "content_id").groupBy("genre").agg(
         F.count(F.lit(1)).alias("churned_last_sessions"))
@@ -159,11 +164,13 @@ def plan_migration(users: DataFrame) -> DataFrame:
 
 
 def country_language_affinity(watch: DataFrame, users: DataFrame, content: DataFrame) -> DataFrame:
-    """Q33: sessions and hours per viewer country and title language."""
-    return (watch.join(users.select("user_id", "country"), "user_id")
+    """Q33: sessions and hours per viewer country and title language (per (viewer, title)
+    partials before the dimension joins)."""
+    return (X.session_partials(watch, "user_id", "content_id")
+            .join(users.select("user_id", "country"), "user_id")
             .join(content.select("content_id", "language"), "content_id")
             .groupBy("country", "language").agg(
-                F.count(F.lit(1)).alias("sessions"), X.hours("watch_duration").alias("watch_hours")))
+                X.rolled_sessions().alias("sessions"), X.rolled_hours().alias("watch_hours")))
 
 
 def churn_features(watch: DataFrame, users: DataFrame, content: DataFrame) -> DataFrame:

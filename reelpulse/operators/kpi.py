@@ -13,15 +13,21 @@ from ..functions import exprs as X
 
 
 def executive_kpis(watch: DataFrame, users: DataFrame, plans: DataFrame) -> DataFrame:
-    """Q01: sessions, active users, hours, completion and the per-session revenue proxy."""
-    s = (watch.join(users.select("user_id", "subscription_type", "churn_status"), "user_id")
+    """Q01: sessions, active users, hours, completion and the per-session revenue proxy.
+
+    Sessions are reduced to one row per viewer before meeting users, so a viewer
+    with a large share of sessions is combined map-side and never forms a skewed
+    join partition; the per-session price sum is price x sessions per viewer.
+    """
+    per_user = X.session_partials(watch, "user_id")
+    s = (per_user.join(users.select("user_id", "subscription_type"), "user_id")
          .join(F.broadcast(plans.select("subscription_type", "monthly_price_usd")), "subscription_type"))
     return s.agg(
-        F.count(F.lit(1)).alias("watch_sessions"),
+        X.rolled_sessions().alias("watch_sessions"),
         F.count_distinct("user_id").alias("active_users"),
-        X.hours("watch_duration").alias("watch_hours"),
-        X.mean("completion_rate").alias("avg_completion"),
-        (X.exact_sum("monthly_price_usd") / 30.0).alias("revenue_proxy"),
+        X.rolled_hours().alias("watch_hours"),
+        X.rolled_completion().alias("avg_completion"),
+        (F.sum(F.col("monthly_price_usd") * F.col("_n")).cast("double") / 30.0).alias("revenue_proxy"),
     )
 
 
