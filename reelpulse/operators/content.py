@@ -23,11 +23,18 @@ def genre_watch(watch: DataFrame, content: DataFrame) -> DataFrame:
 
 
 def title_totals(watch: DataFrame, content: DataFrame) -> DataFrame:
-    return _with_content(watch, content, "title", "content_type", "genre").groupBy(
-        "title", "content_type", "genre").agg(
-        F.count(F.lit(1)).alias("sessions"),
-        F.sum("watch_duration").alias("_minutes"),
-        X.mean("completion_rate").alias("avg_completion"))
+    """Per (title, type, genre): sessions, exact minutes and completion.
+
+    Sessions are reduced to per-title partials before meeting the catalogue, so
+    the join carries one row per title (and a heavily watched title is combined
+    map-side); titles sharing a name are then rolled up.
+    """
+    return (X.session_partials(watch, "content_id")
+            .join(content.select("content_id", "title", "content_type", "genre"), "content_id")
+            .groupBy("title", "content_type", "genre").agg(
+                X.rolled_sessions().alias("sessions"),
+                F.sum("_min").alias("_minutes"),
+                X.rolled_completion().alias("avg_completion")))
 
 
 def top_titles_ranked(watch: DataFrame, content: DataFrame, n: int = 50) -> DataFrame:
@@ -45,12 +52,14 @@ def top_titles_ranked(watch: DataFrame, content: DataFrame, n: int = 50) -> Data
 
 
 def content_engagement(watch: DataFrame, content: DataFrame) -> DataFrame:
-    """Q06: per title sessions, viewers, hours, completion and the engagement score."""
-    perf = _with_content(watch, content, "title", "genre").groupBy("content_id", "title", "genre").agg(
-        F.count(F.lit(1)).alias("sessions"),
-        F.count_distinct("user_id").alias("viewers"),
-        X.hours("watch_duration").alias("watch_hours"),
-        X.mean("completion_rate").alias("completion"))
+    """Q06: per title sessions, viewers, hours, completion and the engagement score
+    (aggregated per title id, then joined to the catalogue)."""
+    perf = (watch.groupBy("content_id").agg(
+                F.count(F.lit(1)).alias("sessions"),
+                F.count_distinct("user_id").alias("viewers"),
+                X.hours("watch_duration").alias("watch_hours"),
+                X.mean("completion_rate").alias("completion"))
+            .join(content.select("content_id", "title", "genre"), "content_id"))
     return perf.withColumn("engagement_score", X.engagement_score(
         "watch_hours", "viewers", "completion", S.ENGAGEMENT_QUERY_WEIGHTS))
 
@@ -59,9 +68,10 @@ def low_completion_risk(watch: DataFrame, content: DataFrame,
                         min_sessions: int = S.LOW_COMPLETION_MIN_SESSIONS,
                         max_rate: float = S.LOW_COMPLETION_MAX_RATE) -> DataFrame:
     """Q16: titles with at least ``min_sessions`` sessions and completion below ``max_rate``."""
-    g = _with_content(watch, content, "title", "genre", "content_type").groupBy(
-        "title", "genre", "content_type").agg(
-        F.count(F.lit(1)).alias("sessions"), X.mean("completion_rate").alias("avg_completion"))
+    g = (X.session_partials(watch, "content_id")
+         .join(content.select("content_id", "title", "genre", "content_type"), "content_id")
+         .groupBy("title", "genre", "content_type").agg(
+             X.rolled_sessions().alias("sessions"), X.rolled_completion().alias("avg_completion")))
     return g.filter((F.col("sessions") >= min_sessions) & (F.col("avg_completion") < float(max_rate)))
 
 
@@ -86,13 +96,15 @@ def release_ramp(watch: DataFrame, content: DataFrame, max_days: int = S.RAMP_MA
     """Q21: sessions per title and day since release, days 0..max_days.
 
     Day difference counts calendar-day boundaries (a watch 12 hours before the
-    release is day -1, not 0).
+    release is day -1, not 0).  Sessions are counted per (title id, day) before
+    the catalogue join.
     """
-    j = _with_content(watch, content, "title", "release_date")
-    days = F.datediff(F.to_date("watch_time"), F.col("release_date"))
-    return (j.withColumn("days_since_release", days.cast("bigint"))
+    daily = watch.groupBy("content_id", F.to_date("watch_time").alias("_day")).agg(
+        F.count(F.lit(1)).alias("_n"))
+    j = daily.join(content.select("content_id", "title", "release_date"), "content_id")
+    return (j.withColumn("days_since_release", F.datediff("_day", "release_date").cast("bigint"))
             .filter(F.col("days_since_release").between(0, max_days))
-            .groupBy("title", "days_since_release").agg(F.count(F.lit(1)).alias("sessions")))
+            .groupBy("title", "days_since_release").agg(F.sum("_n").alias("sessions")))
 
 
 def language_demand(watch: DataFrame, content: DataFrame) -> DataFrame:
@@ -179,6 +191,14 @@ def top_titles_by_minutes(sessions: DataFrame, n: int = 10) -> DataFrame:
             .withColumn("watch_minutes", F.col("_minutes").cast("double")).drop("_minutes"))
 
 
+def top_titles(watch: DataFrame, content: DataFrame, n: int = 10) -> DataFrame:
+    """F04 over raw sessions: per-title partials first, then the catalogue join."""
+    t = title_totals(watch, content)
+    return (t.orderBy(F.col("_minutes").desc(), "title").limit(n)
+            .select("title", "genre", "content_type", "sessions", "avg_completion",
+                    F.col("_minutes").cast("double").alias("watch_minutes")))
+
+
 def genre_content_rollup(sessions: DataFrame) -> DataFrame:
     """genre -> content type hierarchy with totals at every level and
     minutes-weighted completion."""

@@ -205,8 +205,7 @@ def _p19(t: Star) -> DataFrame:
 register("f01_headline_kpis")(lambda t: FD.headline_kpis(enriched(t), t.watch, t.users))
 register("f02_segment_summary")(lambda t: ML.segment_summary(segments(t)))
 register("f03_country_summary")(lambda t: A.country_summary(features(t), t.users))
-register("f04_top_titles")(lambda t: C.top_titles_by_minutes(
-    t.watch.join(t.content.select("content_id", "title", "genre", "content_type"), "content_id"), 10))
+register("f04_top_titles")(lambda t: C.top_titles(t.watch, t.content, 10))
 register("f04_top_titles_filtered")(lambda t: C.top_titles_by_minutes(filtered(t), 20))
 register("f05_genre_share_of_max")(lambda t: FD.share_of_max(
     C.genre_performance(enriched(t)), "genre", "watch_hours", "engagement_score", 8))
