@@ -50,8 +50,9 @@ def fit_segmentation(features: DataFrame, k: int = S.KMEANS_K, restarts: int = S
 
     Returns ``(model, data)`` where ``data`` is the features with the assembled
     vector.  The features are checkpointed by :func:`standardize`, so the
-    restarts and the final assignment read one materialized copy (cached here;
-    a lost block is recomputed from the checkpoint, not from the fact table).
+    restarts and the final assignment read one materialized copy (cached for the
+    restarts; a lost block is recomputed from the checkpoint, not from the fact
+    table).
     Restarts are independent Spark jobs submitted concurrently, ``parallelism``
     at a time.
     """
@@ -66,6 +67,8 @@ def fit_segmentation(features: DataFrame, k: int = S.KMEANS_K, restarts: int = S
 
     with ThreadPoolExecutor(max_workers=max(1, min(parallelism, restarts))) as pool:
         fits = list(pool.map(fit, range(restarts)))
+    # The restarts are done; later reads project the checkpointed features again.
+    data.unpersist()
     return min(fits, key=lambda x: (x[0], x[1]))[2], data
 
 
