@@ -48,6 +48,9 @@ EVENT_TO_DEVICE = [
 ]
 CHURN_CUTOFF = "2000-08-01 00:00:00"
 RELEASE_EPOCH = "1995-01-01"
+CHURN_STATES = ("Active", "Churned")              # last order on/after the cutoff, otherwise
+CONTENT_TYPES = ("Movie", "TV Show")              # p_size >= 26, otherwise
+ORIGINAL_FLAGS = ("Netflix Original", "Licensed")  # p_partkey % 5 < 2, otherwise
 
 
 def _recode(col: Column, pairs) -> Column:
@@ -76,7 +79,8 @@ def users(spark: SparkSession, sf_dir: str) -> DataFrame:
                 _recode(F.col("c_mktsegment"), SEGMENT_TO_PLAN).alias("subscription_type"),
                 F.to_date("first_order").alias("signup_date"),
                 F.col("c_acctbal").cast("double").alias("watch_hours"),
-                F.when(F.col("last_order") >= cutoff, "Active").otherwise("Churned").alias("churn_status"),
+                F.when(F.col("last_order") >= cutoff, CHURN_STATES[0]).otherwise(CHURN_STATES[1])
+                .alias("churn_status"),
             ))
 
 
@@ -103,14 +107,14 @@ def content_library(spark: SparkSession, sf_dir: str) -> DataFrame:
     return part.select(
         k.alias("content_id"),
         F.concat(F.col("p_name"), F.lit(" #"), k.cast("string")).alias("title"),
-        F.when(F.col("p_size") >= 26, "Movie").otherwise("TV Show").alias("content_type"),
+        F.when(F.col("p_size") >= 26, CONTENT_TYPES[0]).otherwise(CONTENT_TYPES[1]).alias("content_type"),
         F.col("p_brand").alias("genre"),
         (F.lit(1995) + F.col("p_size") % 32).cast("int").alias("release_year"),
         (F.expr("CAST(3.5 AS DECIMAL(3,1))") + (k % 64).cast("decimal(4,0)") * F.expr("CAST(0.1 AS DECIMAL(2,1))"))
         .cast("decimal(3,1)").alias("imdb_rating"),
         (F.col("p_size") * 3).cast("int").alias("duration"),
         F.col("p_type").alias("language"),
-        F.when(k % 5 < 2, "Netflix Original").otherwise("Licensed").alias("original_flag"),
+        F.when(k % 5 < 2, ORIGINAL_FLAGS[0]).otherwise(ORIGINAL_FLAGS[1]).alias("original_flag"),
         F.date_add(F.lit(RELEASE_EPOCH).cast("date"), ((k * 13) % 1460).cast("int")).alias("release_date"),
     )
 
