@@ -102,8 +102,9 @@ def user_engagement(watch: DataFrame) -> DataFrame:
 def upgrade_candidates(watch: DataFrame, users: DataFrame, plans=S.UPGRADE_PLANS,
                        pct: float = S.UPGRADE_PERCENTILE, approx: bool = False) -> DataFrame:
     """Q18: Basic/Standard viewers strictly above the exact ``pct`` percentile of hours
-    among all viewers.  The percentile is an exact range-partitioned order
-    statistic, used as a scalar subquery; ``approx=True`` uses a one-pass
+    among all viewers.  The percentile is exact (per-value counts and their
+    range-partitioned prefix sums, ``ordered.percentile_cont``), used as a scalar
+    subquery; ``approx=True`` uses a one-pass
     ``percentile_approx`` sketch instead (opt-in, not the reference's result)."""
     e = user_engagement(watch)
     cut = (e.agg(F.percentile_approx("watch_hours", pct, 10000)) if approx
