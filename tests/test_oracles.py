@@ -16,11 +16,19 @@ def con():
     return duck(SF_SMALL)
 
 
+SPARK_TO_DUCK = {"LongType()": "BIGINT", "IntegerType()": "INTEGER", "DoubleType()": "DOUBLE",
+                 "StringType()": "VARCHAR", "DateType()": "DATE", "TimestampNTZType()": "TIMESTAMP",
+                 "BooleanType()": "BOOLEAN"}
+
+
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_matches_oracle(spark, con, name):
     df = E.queries()[name](spark, SF_SMALL)
     got = spark_rows(df)
     want = duck_rows(con, ORACLES[name])
+    types = {f.name: SPARK_TO_DUCK.get(str(f.dataType), str(f.dataType)) for f in df.schema}
+    res = con.execute(f"SELECT * FROM ({ORACLES[name]}) LIMIT 0")
+    assert types == {d[0]: str(d[1]).upper() for d in res.description}
     assert len(got[1]) == len(want[1])
     assert same(got, want, digits=FLOAT_AGGREGATES.get(name, 12)), name
 
