@@ -109,14 +109,27 @@ def churn_dataset(features: DataFrame) -> DataFrame:
         (F.col("churn_status") == "Churned").cast("int").alias("label"))
 
 
+_HASH_MOD = 2147483648          # 2^31
+_HASH_MUL = 2654435761          # Knuth's multiplicative constant
+
+
+def seeded_order(user_id: str, seed: int):
+    """A seeded shuffle key: ((id mod 2^31) * 2654435761 + seed) mod 2^31.
+
+    Plain integer arithmetic that stays inside BIGINT, so any SQL engine computes
+    the same key (the split has an independent SQL oracle).
+    """
+    return F.pmod(F.pmod(F.col(user_id), F.lit(_HASH_MOD)) * F.lit(_HASH_MUL) + F.lit(seed), F.lit(_HASH_MOD))
+
+
 def stratified_split(data: DataFrame, test_fraction: float = S.TEST_FRACTION, seed: int = S.SEED) -> DataFrame:
     """Deterministic stratified split; adds ``is_test``.
 
-    Within each label rows are ordered by a seeded hash of the user id; the
-    first ceil(test_fraction * n_label) of each label are the test rows.  The
+    Within each label rows are ordered by a seeded shuffle key of the user id;
+    the first ceil(test_fraction * n_label) of each label are the test rows.  The
     order is a range-partitioned position, not a window per label.
     """
-    keyed = data.withColumn("_h", F.xxhash64("user_id", F.lit(seed)))
+    keyed = data.withColumn("_h", seeded_order("user_id", seed))
     pos = ordered.with_position(keyed, ["label", "_h", "user_id"], "_pos")
     per_label = data.groupBy("label").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.orderBy("label").rowsBetween(Window.unboundedPreceding, -1)
