@@ -106,3 +106,12 @@ def test_canonical_json_and_parquet_readers(spark, scratch):
         path = writer(t.content, os.path.join(scratch, f"content_{fmt}"))
         back = read_canonical(spark, path, "content_library", fmt=fmt)
         assert same(spark_rows(back), spark_rows(t.content))
+
+
+def test_command_line_run_writes_result(spark, scratch):
+    from reelpulse.__main__ import main
+    out = os.path.join(scratch, "q07")
+    assert main(["run", "q07_churn_by_plan", SF_SMALL, "--out", out]) == 0
+    back = spark.read.parquet(out)
+    assert back.count() == 4 and set(back.columns) == {"subscription_type", "churn_rate", "users"}
+    assert main(["run", "no_such_operator", SF_SMALL]) == 2
