@@ -231,6 +231,18 @@ class Star:
     def devices(self) -> DataFrame:
         return self._get("devices", lambda: devices(self.spark, self.sf_dir))
 
+    def register_views(self, prefix: str = "") -> list[str]:
+        """Expose the canonical tables as temporary views for ``spark.sql``.
+
+        Views are lazy plans over the same bindings, so SQL over them gets the same
+        pruning and pushdown as the DataFrame operators.
+        """
+        names = {"users": self.users, "subscription_plans": self.plans, "content_library": self.content,
+                 "watch_history": self.watch, "reviews": self.reviews, "devices": self.devices}
+        for name, df in names.items():
+            df.createOrReplaceTempView(prefix + name)
+        return [prefix + n for n in names]
+
 
 def load_star(spark: SparkSession, sf_dir: str, binding: str = "S") -> Star:
     if binding not in ("S", "E"):

@@ -76,3 +76,18 @@ def test_fixture_probes(spark, star_s):
     assert u.count() == 1500 and u.filter("churn_status = 'Churned'").count() == 322
     assert star_s.devices.count() == 6446
     assert star_s.reviews.count() == 20046
+
+
+def test_sql_over_registered_views_equals_operators(spark, star_s):
+    star_s.register_views(prefix="rp_")
+    q07 = spark.sql("""
+        SELECT subscription_type, CAST(SUM(CASE WHEN churn_status = 'Churned' THEN 1 ELSE 0 END) AS DOUBLE)
+               / COUNT(*) AS churn_rate, COUNT(*) AS users
+        FROM rp_users GROUP BY subscription_type""")
+    assert same(spark_rows(q07), spark_rows(A.churn_by_plan(star_s.users)))
+    q11 = spark.sql("""
+        SELECT u.country, COUNT(DISTINCT w.user_id) AS viewers, COUNT(*) AS sessions,
+               CAST(SUM(w.watch_duration) AS DOUBLE) / 60.0 AS watch_hours,
+               CAST(SUM(w.completion_rate) AS DOUBLE) / COUNT(w.completion_rate) AS avg_completion
+        FROM rp_watch_history w JOIN rp_users u ON w.user_id = u.user_id GROUP BY u.country""")
+    assert same(spark_rows(q11), spark_rows(A.country_engagement(star_s.watch, star_s.users)))
