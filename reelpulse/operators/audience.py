@@ -177,24 +177,30 @@ def country_language_affinity(watch: DataFrame, users: DataFrame, content: DataF
 def churn_features(watch: DataFrame, users: DataFrame, content: DataFrame) -> DataFrame:
     """Q35: one row per user (with or without sessions) of churn model features.
 
-    Sessions are aggregated per user first and then left-joined to users, so the
-    join carries one row per user; users without sessions get sessions 0,
-    NULL minutes/completion, 0 genres and mobile share 0.
+    Sessions are reduced to per-user partials first (counts and exact sums, so a
+    heavy viewer is one row at the join), left-joined to users, and rolled up by
+    the five profile columns as the SQL groups them.  A user without sessions
+    gets 0 sessions, NULL minutes and completion, 0 genres, and mobile share 0
+    (its one null-extended row counts as a non-mobile row).
     """
+    keys = ["user_id", "age", "country", "subscription_type", "churn_status"]
     per_user = (watch.join(content.select("content_id", "genre"), "content_id", "left")
                 .groupBy("user_id").agg(
-                    F.count("session_id").alias("_sessions"),
-                    F.sum("watch_duration").cast("double").alias("total_watch_minutes"),
-                    X.mean("completion_rate").alias("avg_completion"),
+                    F.count("session_id").alias("_n"),
+                    F.count(F.lit(1)).alias("_rows"),
+                    F.sum("watch_duration").alias("_min"),
+                    F.sum("completion_rate").alias("_comp"),
+                    F.count("completion_rate").alias("_comp_n"),
                     F.count_distinct("genre").alias("_genres"),
-                    X.share(F.col("device_type") == "Mobile").alias("_mobile")))
-    u = users.select("user_id", "age", "country", "subscription_type", "churn_status")
-    return u.join(per_user, "user_id", "left").select(
-        "user_id", "age", "country", "subscription_type", "churn_status",
-        F.coalesce("_sessions", F.lit(0)).cast("bigint").alias("sessions"),
-        "total_watch_minutes", "avg_completion",
-        F.coalesce("_genres", F.lit(0)).cast("bigint").alias("unique_genres"),
-        F.coalesce("_mobile", F.lit(0.0)).alias("mobile_share"))
+                    F.sum(F.when(F.col("device_type") == "Mobile", 1).otherwise(0)).alias("_mob")))
+    j = users.select(*keys).join(per_user, "user_id", "left")
+    return j.groupBy(*keys).agg(
+        F.coalesce(F.sum("_n"), F.lit(0)).cast("bigint").alias("sessions"),
+        F.sum("_min").cast("double").alias("total_watch_minutes"),
+        F.try_divide(F.sum("_comp").cast("double"), F.sum("_comp_n")).alias("avg_completion"),
+        F.coalesce(F.max("_genres"), F.lit(0)).cast("bigint").alias("unique_genres"),
+        F.try_divide(F.sum(F.coalesce("_mob", F.lit(0))).cast("double"),
+                     F.sum(F.coalesce("_rows", F.lit(1)))).alias("mobile_share"))
 
 
 def user_features(enriched: DataFrame) -> DataFrame:

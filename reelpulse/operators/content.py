@@ -52,14 +52,23 @@ def top_titles_ranked(watch: DataFrame, content: DataFrame, n: int = 50) -> Data
 
 
 def content_engagement(watch: DataFrame, content: DataFrame) -> DataFrame:
-    """Q06: per title sessions, viewers, hours, completion and the engagement score
-    (aggregated per title id, then joined to the catalogue)."""
-    perf = (watch.groupBy("content_id").agg(
-                F.count(F.lit(1)).alias("sessions"),
-                F.count_distinct("user_id").alias("viewers"),
-                X.hours("watch_duration").alias("watch_hours"),
-                X.mean("completion_rate").alias("completion"))
-            .join(content.select("content_id", "title", "genre"), "content_id"))
+    """Q06: per title sessions, viewers, hours, completion and the engagement score.
+
+    Aggregated per title id first, then joined to the catalogue and rolled up by
+    (id, title, genre): sums add over joined rows exactly as the SQL's
+    row-level join would, and the distinct-viewer count is the same on every
+    joined copy.
+    """
+    per = watch.groupBy("content_id").agg(
+        F.count(F.lit(1)).alias("_n"), F.sum("watch_duration").alias("_min"),
+        F.sum("completion_rate").alias("_comp"), F.count("completion_rate").alias("_comp_n"),
+        F.count_distinct("user_id").alias("_viewers"))
+    perf = (per.join(content.select("content_id", "title", "genre"), "content_id")
+            .groupBy("content_id", "title", "genre").agg(
+                X.rolled_sessions().alias("sessions"),
+                F.max("_viewers").alias("viewers"),
+                X.rolled_hours().alias("watch_hours"),
+                X.rolled_completion().alias("completion")))
     return perf.withColumn("engagement_score", X.engagement_score(
         "watch_hours", "viewers", "completion", S.ENGAGEMENT_QUERY_WEIGHTS))
 

@@ -151,3 +151,39 @@ def test_auc_with_ties_and_single_class(spark):
     assert ML.roc_auc(scored).collect()[0][0] == pytest.approx(0.625)
     one = scored.withColumn("label", F.lit(1))
     assert ML.roc_auc(one).collect()[0][0] is None
+
+
+def test_duplicate_catalogue_rows_count_like_a_row_level_join(spark):
+    """A title listed twice doubles its sessions (as the SQL join does) but not its viewers."""
+    import duckdb
+    c = content(spark, [title(10), title(10), title(11)])
+    w = watch(spark, [session("a", 1, 10, T(2024, 3, 1)), session("b", 2, 10, T(2024, 3, 2)),
+                      session("c", 1, 11, T(2024, 3, 1))])
+    got = {r.content_id: (r.sessions, r.viewers) for r in C.content_engagement(w, c).collect()}
+    wp, cp = w.toPandas(), c.toPandas()
+    want = duckdb.sql("SELECT c.content_id, COUNT(*) AS s, COUNT(DISTINCT w.user_id) AS v FROM wp w "
+                      "JOIN cp c ON w.content_id = c.content_id GROUP BY c.content_id, c.title, c.genre").fetchall()
+    assert got == {cid: (s, v) for cid, s, v in want} == {10: (4, 2), 11: (1, 1)}
+
+
+def test_churn_features_equal_sql_with_duplicate_user_rows(spark):
+    import duckdb
+    u = users(spark, [user(1), user(1), user(2), user(3, plan="Premium")])
+    c = content(spark, [title(10, genre="Drama"), title(11, genre="Kids")])
+    w = watch(spark, [session("a", 1, 10, T(2024, 3, 1), device="Mobile"),
+                      session("b", 1, 11, T(2024, 3, 2), device="Tablet", comp="0.90"),
+                      session("c", 2, 12, T(2024, 3, 3), minutes="5.00")])          # title 12 not in catalogue
+    up, cp, wp = u.toPandas(), c.toPandas(), w.toPandas()
+    want = duckdb.sql("""
+        SELECT u.user_id, COUNT(w.session_id) AS sessions, CAST(SUM(w.watch_duration) AS DOUBLE) AS total_watch_minutes,
+               CAST(SUM(w.completion_rate) AS DOUBLE) / NULLIF(COUNT(w.completion_rate), 0) AS avg_completion,
+               COUNT(DISTINCT c.genre) AS unique_genres,
+               CAST(SUM(CASE WHEN w.device_type = 'Mobile' THEN 1 ELSE 0 END) AS DOUBLE) / COUNT(*) AS mobile_share
+        FROM up u LEFT JOIN wp w ON u.user_id = w.user_id LEFT JOIN cp c ON w.content_id = c.content_id
+        GROUP BY u.user_id, u.age, u.country, u.subscription_type, u.churn_status""").fetchall()
+    got = A.churn_features(w, u, c).select("user_id", "sessions", "total_watch_minutes", "avg_completion",
+                                          "unique_genres", "mobile_share").collect()
+    norm = lambda rows: sorted(tuple(None if x is None else (round(x, 12) if isinstance(x, float) else x)
+                                     for x in r) for r in rows)
+    assert norm(got) == norm(want)
+    assert {r.user_id: r.sessions for r in got} == {1: 4, 2: 1, 3: 0}
