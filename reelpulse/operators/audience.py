@@ -27,12 +27,12 @@ def retention_cohorts(watch: DataFrame, users: DataFrame) -> DataFrame:
     """Q08: viewers retained per signup-month cohort and month index.
 
     The index counts month boundaries from signup to activity and may be negative
-    (activity before signup).  Activity is first reduced to distinct
-    (viewer, month) pairs; as each viewer has one cohort, distinct viewers per
-    (cohort, index) is then a plain count.
+    (activity before signup).  Activity is reduced to distinct (viewer, month)
+    pairs and cohorts to distinct (viewer, cohort) pairs, so the joined rows are
+    distinct and distinct viewers per (cohort, index) is a plain count.
     """
     activity = watch.select("user_id", X.month_start("watch_time").alias("activity_month")).distinct()
-    cohorts = users.select("user_id", F.trunc("signup_date", "month").alias("cohort_month"))
+    cohorts = users.select("user_id", F.trunc("signup_date", "month").alias("cohort_month")).distinct()
     return (cohorts.join(activity, "user_id")
             .withColumn("cohort_index", X.months_between_starts("activity_month", "cohort_month"))
             .groupBy("cohort_month", "cohort_index")

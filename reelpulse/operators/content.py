@@ -156,10 +156,11 @@ def high_rating_low_discovery(watch: DataFrame, content: DataFrame, min_imdb=S.H
     """Q31: imdb >= ``min_imdb`` titles with fewer sessions than the ``pct`` percentile
     of sessions over all titles (titles never watched count with 0)."""
     counts = watch.groupBy("content_id").agg(F.count("session_id").alias("_n"))
+    # Counted per title id first, then rolled up by the SQL's grouping columns.
     perf = (content.select("content_id", "title", "genre", "imdb_rating")
             .join(counts, "content_id", "left")
-            .withColumn("sessions", F.coalesce(F.col("_n"), F.lit(0)).cast("bigint"))
-            .drop("_n"))
+            .groupBy("content_id", "title", "genre", "imdb_rating")
+            .agg(F.sum(F.coalesce(F.col("_n"), F.lit(0))).cast("bigint").alias("sessions")))
     cut = (perf.agg(F.percentile_approx("sessions", pct, 10000).cast("double")) if approx
            else ordered.percentile_cont(perf, "sessions", pct, key=["content_id"]))
     return (perf.filter((F.col("imdb_rating") >= min_imdb) & (F.col("sessions") < cut.scalar()))
