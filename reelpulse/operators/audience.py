@@ -86,7 +86,7 @@ def top_genres_per_country(watch: DataFrame, users: DataFrame, content: DataFram
          .join(users.select("user_id", "country"), "user_id")
          .join(content.select("content_id", "genre"), "content_id")
          .groupBy("country", "genre").agg(F.sum("_m").alias("_minutes")))
-    w = Window.partitionBy("country").orderBy(F.col("_minutes").desc(), "genre")
+    w = Window.partitionBy("country").orderBy(F.col("_minutes").desc_nulls_last(), F.col("genre").asc_nulls_last())
     return (x.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= k)
             .select("country", "genre", F.col("_minutes").cast("double").alias("minutes"),
                     F.col("rn").cast("bigint").alias("rn")))
@@ -139,7 +139,7 @@ def frequency_quintiles(watch: DataFrame, tiles: int = 5) -> DataFrame:
         X.hours("watch_duration").alias("hours"),
         X.mean("completion_rate").alias("completion"))
     f = ordered.ntile(f, ["sessions", "user_id"], tiles, "frequency_quintile")
-    return ordered.ntile(f, ["hours", "user_id"], tiles, "watch_time_quintile")
+    return ordered.ntile(f, [F.col("hours").asc_nulls_last(), "user_id"], tiles, "watch_time_quintile")
 
 
 def last_genre_before_churn(watch: DataFrame, users: DataFrame, content: DataFrame) -> DataFrame:

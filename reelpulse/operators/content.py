@@ -44,11 +44,12 @@ def top_titles_ranked(watch: DataFrame, content: DataFrame, n: int = 50) -> Data
     top ``n`` is taken first (per-partition top-k, then a merge of k rows per
     partition) and ranked after; no global window over all titles.
     """
-    top = title_totals(watch, content).orderBy(F.col("_minutes").desc(), "title").limit(n)
+    top = (title_totals(watch, content)
+           .orderBy(F.col("_minutes").desc_nulls_last(), F.col("title").asc_nulls_last()).limit(n))
     return top.select(
         "title", "content_type", "genre", "sessions",
         F.col("_minutes").cast("double").alias("minutes_watched"), "avg_completion",
-        F.rank().over(Window.orderBy(F.col("_minutes").desc())).cast("bigint").alias("content_rank"))
+        F.rank().over(Window.orderBy(F.col("_minutes").desc_nulls_last())).cast("bigint").alias("content_rank"))
 
 
 def content_engagement(watch: DataFrame, content: DataFrame) -> DataFrame:
@@ -197,14 +198,14 @@ def top_titles_by_minutes(sessions: DataFrame, n: int = 10) -> DataFrame:
         F.count("session_id").alias("sessions"),
         X.mean("completion_rate").alias("avg_completion"),
         F.sum("watch_duration").alias("_minutes"))
-    return (g.orderBy(F.col("_minutes").desc(), "title").limit(n)
+    return (g.orderBy(F.col("_minutes").desc_nulls_last(), F.col("title").asc_nulls_last()).limit(n)
             .withColumn("watch_minutes", F.col("_minutes").cast("double")).drop("_minutes"))
 
 
 def top_titles(watch: DataFrame, content: DataFrame, n: int = 10) -> DataFrame:
     """F04 over raw sessions: per-title partials first, then the catalogue join."""
     t = title_totals(watch, content)
-    return (t.orderBy(F.col("_minutes").desc(), "title").limit(n)
+    return (t.orderBy(F.col("_minutes").desc_nulls_last(), F.col("title").asc_nulls_last()).limit(n)
             .select("title", "genre", "content_type", "sessions", "avg_completion",
                     F.col("_minutes").cast("double").alias("watch_minutes")))
 
@@ -221,4 +222,4 @@ def genre_content_rollup(sessions: DataFrame) -> DataFrame:
 
 def top_genres_by_score(genre_perf: DataFrame, n: int = 10) -> DataFrame:
     """F16: the ``n`` genres with the highest mart engagement score."""
-    return genre_perf.orderBy(F.col("engagement_score").desc(), "genre").limit(n)
+    return genre_perf.orderBy(F.col("engagement_score").desc_nulls_last(), F.col("genre").asc_nulls_last()).limit(n)

@@ -40,7 +40,7 @@ def headline_kpis(enriched: DataFrame, watch: DataFrame, users: DataFrame) -> Da
 
 def share_of_max(df: DataFrame, label: str, value: str, order: str, n: int = 8) -> DataFrame:
     """the first ``n`` rows by ``order`` desc and each value's share of their maximum."""
-    top = df.orderBy(F.col(order).desc(), label).limit(n)
+    top = df.orderBy(F.col(order).desc_nulls_last(), F.col(label).asc_nulls_last()).limit(n)
     return top.select(label, value, F.try_divide(F.col(value), F.max(value).over(Window.partitionBy()))
                       .alias("share_of_max"))
 

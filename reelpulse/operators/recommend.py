@@ -17,7 +17,8 @@ def top_genres_per_segment(enriched: DataFrame, segments: DataFrame, k: int = 3)
     g = (enriched.select("user_id", "genre", "watch_duration")
          .join(segments.select("user_id", "viewer_segment"), "user_id")
          .groupBy("viewer_segment", "genre").agg(F.sum("watch_duration").alias("minutes")))
-    w = Window.partitionBy("viewer_segment").orderBy(F.col("minutes").desc(), "genre")
+    w = Window.partitionBy("viewer_segment").orderBy(F.col("minutes").desc_nulls_last(),
+                                                     F.col("genre").asc_nulls_last())
     return g.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= k).drop("_r")
 
 
@@ -27,7 +28,7 @@ def segment_recommendations(enriched: DataFrame, segments: DataFrame, content: D
     cand = content.select("content_id", "title", "genre", "imdb_rating", "release_year").join(
         F.broadcast(top), "genre")
     w = Window.partitionBy("viewer_segment").orderBy(
-        F.col("imdb_rating").desc(), F.col("release_year").desc(), "content_id")
+        F.col("imdb_rating").desc_nulls_last(), F.col("release_year").desc_nulls_last(), "content_id")
     return (cand.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= titles)
             .select("viewer_segment", F.col("content_id").alias("recommended_content_id"), "title", "genre",
                     F.col("imdb_rating").cast("double").alias("imdb_rating")))
