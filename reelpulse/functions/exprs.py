@@ -98,7 +98,8 @@ def session_partials(watch, *keys):
 
 
 def rolled_sessions() -> Column:
-    return F.sum("_n")
+    """COUNT(*) semantics: 0, not NULL, over no rows."""
+    return F.coalesce(F.sum("_n"), F.lit(0).cast("bigint"))
 
 
 def rolled_hours() -> Column:

@@ -212,12 +212,28 @@ def top_titles(watch: DataFrame, content: DataFrame, n: int = 10) -> DataFrame:
 
 def genre_content_rollup(sessions: DataFrame) -> DataFrame:
     """genre -> content type hierarchy with totals at every level and
-    minutes-weighted completion."""
-    return sessions.rollup("genre", "content_type").agg(
-        X.exact_sum("watch_duration").alias("watch_minutes"),
-        F.try_divide(F.sum(F.col("watch_duration") * F.col("completion_rate")).cast("double"),
-                     X.exact_sum("watch_duration")).alias("weighted_completion"),
-        F.grouping_id().cast("bigint").alias("level"))
+    minutes-weighted completion (ROLLUP (genre, content_type); ``level`` is the
+    grouping id: 0 leaf, 1 genre total, 3 grand total).
+
+    Sessions are aggregated once at the leaf level; the genre and grand totals
+    roll up that small table, instead of expanding every session row three
+    times.  As in SQL, the grand total row exists even when there are no
+    sessions.
+    """
+    dc = F.col("watch_duration") * F.col("completion_rate")
+    leaf = sessions.groupBy("genre", "content_type").agg(F.sum("watch_duration").alias("_d"), F.sum(dc).alias("_dc"))
+    genre = leaf.groupBy("genre").agg(F.sum("_d").alias("_d"), F.sum("_dc").alias("_dc"))
+    total = leaf.agg(F.sum("_d").alias("_d"), F.sum("_dc").alias("_dc"))
+    none = F.lit(None).cast("string")
+    rows = (leaf.select("genre", "content_type", "_d", "_dc", F.lit(0).cast("bigint").alias("level"))
+            .unionByName(genre.select("genre", none.alias("content_type"), "_d", "_dc",
+                                      F.lit(1).cast("bigint").alias("level")))
+            .unionByName(total.select(none.alias("genre"), none.alias("content_type"), "_d", "_dc",
+                                      F.lit(3).cast("bigint").alias("level"))))
+    return rows.select(
+        "genre", "content_type", F.col("_d").cast("double").alias("watch_minutes"),
+        F.try_divide(F.col("_dc").cast("double"), F.col("_d").cast("double")).alias("weighted_completion"),
+        "level")
 
 
 def top_genres_by_score(genre_perf: DataFrame, n: int = 10) -> DataFrame:

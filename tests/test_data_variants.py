@@ -4,7 +4,9 @@
 * ``nulls`` - NULL brand (genre), order priority (device), discount (completion)
               and quantity (minutes) on a share of rows;
 * ``skew``  - one customer owns a third of all orders and one user a third of all
-              events.
+              events;
+* ``empty`` - no orders, lineitems or events (every fact-driven result is empty or
+              its aggregate over nothing).
 
 In each, every operator must still equal its SQL oracle: the aggregate-before-join
 plans keep row-level join semantics, NULLs are handled as SQL does, and the
@@ -58,6 +60,8 @@ def _variant(kind, t, table):
             return _null_where(table, "l_quantity", _every(table, 19, 5))
         if t == "events":
             return _null_where(table, "value", _every(table, 23))
+    if kind == "empty" and t in ("orders", "lineitem", "events"):
+        return table.slice(0, 0)
     if kind == "skew":
         if t == "orders":
             return _set_where(table, "o_custkey", _every(table, 3), 1)
@@ -74,7 +78,7 @@ def _make(kind):
     return out
 
 
-@pytest.fixture(scope="module", params=["dups", "nulls", "skew"])
+@pytest.fixture(scope="module", params=["dups", "nulls", "skew", "empty"])
 def variant(request):
     d = _make(request.param)
     return d, duck(d)
