@@ -6,7 +6,9 @@
 * ``skew``  - one customer owns a third of all orders and one user a third of all
               events;
 * ``empty`` - no orders, lineitems or events (every fact-driven result is empty or
-              its aggregate over nothing).
+              its aggregate over nothing);
+* ``ties``  - constant quantity, discount and event value, so minutes, completion and
+              hours tie everywhere (rank, top-k, NTILE and percentile boundaries).
 
 In each, every operator must still equal its SQL oracle: the aggregate-before-join
 plans keep row-level join semantics, NULLs are handled as SQL does, and the
@@ -60,6 +62,12 @@ def _variant(kind, t, table):
             return _null_where(table, "l_quantity", _every(table, 19, 5))
         if t == "events":
             return _null_where(table, "value", _every(table, 23))
+    if kind == "ties":
+        if t == "lineitem":
+            everyone = pa.array([True] * table.num_rows)
+            return _set_where(_set_where(table, "l_quantity", everyone, 10.0), "l_discount", everyone, 0.05)
+        if t == "events":
+            return _set_where(table, "value", pa.array([True] * table.num_rows), 7.5)
     if kind == "empty" and t in ("orders", "lineitem", "events"):
         return table.slice(0, 0)
     if kind == "skew":
@@ -78,7 +86,7 @@ def _make(kind):
     return out
 
 
-@pytest.fixture(scope="module", params=["dups", "nulls", "skew", "empty"])
+@pytest.fixture(scope="module", params=["dups", "nulls", "skew", "empty", "ties"])
 def variant(request):
     d = _make(request.param)
     return d, duck(d)
