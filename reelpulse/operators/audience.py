@@ -223,6 +223,41 @@ def user_features(enriched: DataFrame) -> DataFrame:
         F.any_value("churn_status").alias("churn_status"))
 
 
+def user_features_direct(watch: DataFrame, users: DataFrame, content: DataFrame, plans: DataFrame) -> DataFrame:
+    """P07 from the star schema without the row-level session mart.
+
+    Sessions that reach the mart (known titles) are reduced to per-viewer
+    partials first - counts, exact sums, weekend and mobile counts, distinct
+    genres - so users and plans are joined on one row per viewer and a heavy
+    viewer is combined map-side.  The roll-up after the joins sums the partials
+    over joined rows, exactly as :func:`user_features` does over the mart rows.
+    """
+    per_user = (watch.join(content.select("content_id", "genre"), "content_id")
+                .groupBy("user_id").agg(
+                    F.count("session_id").alias("_n"),
+                    F.count(F.lit(1)).alias("_rows"),
+                    F.sum("watch_duration").alias("_min"),
+                    F.sum("completion_rate").alias("_comp"),
+                    F.count("completion_rate").alias("_comp_n"),
+                    F.count_distinct("genre").alias("_genres"),
+                    F.sum(F.when(X.is_weekend("watch_time"), 1).otherwise(0)).alias("_wk"),
+                    F.sum(F.when(F.col("device_type") == "Mobile", 1).otherwise(0)).alias("_mob")))
+    j = (per_user.join(users.select("user_id", "age", "country", "subscription_type", "churn_status"), "user_id")
+         .join(F.broadcast(plans.select("subscription_type", "monthly_price_usd")), "subscription_type"))
+    return j.groupBy("user_id").agg(
+        F.sum("_min").cast("double").alias("total_watch_minutes"),
+        F.sum("_n").alias("sessions"),
+        F.try_divide(F.sum("_comp").cast("double"), F.sum("_comp_n")).alias("avg_completion"),
+        F.max("_genres").alias("unique_genres"),
+        F.try_divide(F.sum("_wk").cast("double"), F.sum("_rows")).alias("weekend_share"),
+        F.try_divide(F.sum("_mob").cast("double"), F.sum("_rows")).alias("mobile_share"),
+        (F.sum(F.col("monthly_price_usd") * F.col("_rows")).cast("double") / 30.0).alias("revenue"),
+        F.any_value("age").alias("age"),
+        F.any_value("country").alias("country"),
+        F.any_value("subscription_type").alias("subscription_type"),
+        F.any_value("churn_status").alias("churn_status"))
+
+
 def dedupe_devices(observations: DataFrame, order: str = "device_id") -> DataFrame:
     """One row per (user, device type); the row first in ``order`` is kept.
 

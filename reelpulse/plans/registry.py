@@ -69,7 +69,7 @@ def enriched(t: Star) -> DataFrame:
 
 
 def features(t: Star) -> DataFrame:
-    return t._get("features", lambda: A.user_features(enriched(t)))
+    return t._get("features", lambda: A.user_features_direct(t.watch, t.users, t.content, t.plans))
 
 
 def segments(t: Star) -> DataFrame:

@@ -31,7 +31,7 @@ LIBRARY_ONLY = [
 ]
 
 
-HELPERS = {"enriched": "operators.kpi.enriched_sessions", "features": "operators.audience.user_features",
+HELPERS = {"enriched": "operators.kpi.enriched_sessions", "features": "operators.audience.user_features_direct",
            "segments": "operators.ml.viewer_segments", "filtered": "operators.feeds.filtered_sessions"}
 
 
