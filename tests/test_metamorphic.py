@@ -91,3 +91,10 @@ def test_sql_over_registered_views_equals_operators(spark, star_s):
                CAST(SUM(w.completion_rate) AS DOUBLE) / COUNT(w.completion_rate) AS avg_completion
         FROM rp_watch_history w JOIN rp_users u ON w.user_id = u.user_id GROUP BY u.country""")
     assert same(spark_rows(q11), spark_rows(A.country_engagement(star_s.watch, star_s.users)))
+
+
+def test_user_features_direct_equals_mart_form(spark, star_s):
+    from reelpulse.operators import kpi as K
+    mart = A.user_features(K.enriched_sessions(star_s.watch, star_s.users, star_s.content, star_s.plans))
+    direct = A.user_features_direct(star_s.watch, star_s.users, star_s.content, star_s.plans)
+    assert same(spark_rows(direct.select(*mart.columns)), spark_rows(mart))
