@@ -130,6 +130,25 @@ def monthly_kpis(enriched: DataFrame) -> DataFrame:
         X.mean("completion_rate").alias("avg_completion"))
 
 
+def monthly_kpis_direct(watch: DataFrame, users: DataFrame, content: DataFrame, plans: DataFrame) -> DataFrame:
+    """P04 from the star schema: sessions of known titles are reduced to one row per
+    (viewer, month) before the users and plans joins, then rolled up by month
+    exactly as :func:`monthly_kpis` sums the mart rows (revenue = price x sessions)."""
+    per = (watch.join(content.select("content_id"), "content_id")
+           .groupBy("user_id", X.month_label("watch_time").alias("month")).agg(
+               F.count("session_id").alias("_n"), F.count(F.lit(1)).alias("_rows"),
+               F.sum("watch_duration").alias("_min"), F.sum("completion_rate").alias("_comp"),
+               F.count("completion_rate").alias("_comp_n")))
+    j = (per.join(users.select("user_id", "subscription_type"), "user_id")
+         .join(F.broadcast(plans.select("subscription_type", "monthly_price_usd")), "subscription_type"))
+    return j.groupBy("month").agg(
+        X.rolled_hours().alias("watch_hours"),
+        F.sum("_n").alias("sessions"),
+        F.count_distinct("user_id").alias("active_users"),
+        (F.sum(F.col("monthly_price_usd") * F.col("_rows")).cast("double") / 30.0).alias("revenue_usd"),
+        X.rolled_completion().alias("avg_completion"))
+
+
 def monthly_growth_mart(monthly: DataFrame) -> DataFrame:
     """Percentage change of monthly hours, 0 for the first month."""
     prior = F.lag("watch_hours").over(Window.orderBy("month"))

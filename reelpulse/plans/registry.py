@@ -76,6 +76,10 @@ def segments(t: Star) -> DataFrame:
     return t._get("segments", lambda: ML.viewer_segments(features(t)))
 
 
+def monthly(t: Star) -> DataFrame:
+    return t._get("monthly", lambda: K.monthly_kpis_direct(t.watch, t.users, t.content, t.plans))
+
+
 def filtered(t: Star) -> DataFrame:
     return t._get("filtered", lambda: FD.filtered_sessions(enriched(t)))
 
@@ -162,8 +166,8 @@ register("p02_enriched_sessions")(lambda t: enriched(t).select(
     "release_date", "plan_id", "monthly_price_usd", "max_streams", "resolution", "watch_date", "month",
     "weekday", "is_weekend", "revenue_usd"))
 register("p03_session_revenue")(lambda t: K.session_revenue(enriched(t)))
-register("p04_monthly_kpis")(lambda t: K.monthly_kpis(enriched(t)))
-register("p05_monthly_growth")(lambda t: K.monthly_growth_mart(K.monthly_kpis(enriched(t))))
+register("p04_monthly_kpis")(lambda t: monthly(t))
+register("p05_monthly_growth")(lambda t: K.monthly_growth_mart(monthly(t)))
 register("p06_genre_performance")(lambda t: C.genre_performance(enriched(t)))
 register("p07_user_features")(lambda t: features(t))
 register("p08_standardized_features")(lambda t: ML.standardize(features(t)).select(
@@ -211,7 +215,7 @@ register("f05_genre_share_of_max")(lambda t: FD.share_of_max(
     C.genre_performance(enriched(t)), "genre", "watch_hours", "engagement_score", 8))
 register("f05_country_share_of_max")(lambda t: FD.share_of_max(
     A.country_summary(features(t), t.users), "country", "watch_minutes", "watch_minutes", 8))
-register("f06_minmax_trend")(lambda t: FD.minmax_trend(K.monthly_kpis(enriched(t))))
+register("f06_minmax_trend")(lambda t: FD.minmax_trend(monthly(t)))
 register("f07_filtered_sessions")(lambda t: filtered(t).select(
     "session_id", "user_id", "country", "genre", "subscription_type", "watch_duration", "revenue_usd"))
 register("f08_filtered_kpis")(lambda t: FD.filtered_kpis(filtered(t)))

@@ -31,7 +31,7 @@ LIBRARY_ONLY = [
 ]
 
 
-HELPERS = {"enriched": "operators.kpi.enriched_sessions", "features": "operators.audience.user_features_direct",
+HELPERS = {"enriched": "operators.kpi.enriched_sessions", "features": "operators.audience.user_features_direct", "monthly": "operators.kpi.monthly_kpis_direct",
            "segments": "operators.ml.viewer_segments", "filtered": "operators.feeds.filtered_sessions"}
 
 
@@ -39,7 +39,7 @@ def functions_of(fn) -> str:
     src = inspect.getsource(fn)
     calls = re.findall(r"\b(A|C|FD|FC|K|ML|PR|RC|MS)\.(\w+)\(", src)
     seen = []
-    for helper in re.findall(r"\b(enriched|features|segments|filtered)\(t\)", src):
+    for helper in re.findall(r"\b(enriched|features|segments|filtered|monthly)\(t\)", src):
         if HELPERS[helper] not in seen:
             seen.append(HELPERS[helper])
     for alias, name in calls:
