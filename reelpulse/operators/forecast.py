@@ -18,6 +18,17 @@ def monthly_minutes(enriched: DataFrame) -> DataFrame:
     return enriched.groupBy("month").agg(F.sum("watch_duration").alias("minutes"))
 
 
+def monthly_minutes_direct(watch: DataFrame, users: DataFrame, content: DataFrame, plans: DataFrame) -> DataFrame:
+    """Exact minutes per 'yyyy-MM' month of the sessions that reach the session mart,
+    reduced to (viewer, month) partials before the users and plans joins."""
+    per = (watch.join(content.select("content_id"), "content_id")
+           .groupBy("user_id", F.date_format("watch_time", "yyyy-MM").alias("month"))
+           .agg(F.sum("watch_duration").alias("_min")))
+    j = (per.join(users.select("user_id", "subscription_type"), "user_id")
+         .join(F.broadcast(plans.select("subscription_type")), "subscription_type"))
+    return j.groupBy("month").agg(F.sum("_min").alias("minutes"))
+
+
 def linear_fit(monthly: DataFrame) -> DataFrame:
     """One row: n, slope and intercept in minutes per month index, last month label."""
     t = (F.row_number().over(Window.orderBy("month")) - 1).cast("bigint")

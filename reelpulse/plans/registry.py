@@ -192,7 +192,8 @@ def _p14(t: Star) -> DataFrame:
 
 register("p15_segment_recommendations")(lambda t: RC.segment_recommendations(enriched(t), segments(t), t.content))
 register("p16_review_sentiment")(lambda t: C.review_sentiment(t.reviews))
-register("p17_watch_time_forecast")(lambda t: FC.watch_time_forecast(FC.monthly_minutes(enriched(t))))
+register("p17_watch_time_forecast")(lambda t: FC.watch_time_forecast(
+    FC.monthly_minutes_direct(t.watch, t.users, t.content, t.plans)))
 register("p18_device_dedup")(lambda t: A.dedupe_devices(device_observations(t.watch)))
 
 
