@@ -21,6 +21,55 @@ SELECT conv_id, n_turns, sha256(said) AS turns_sha256, CAST(length(spoken) AS BI
 FROM whole
 """
 
+OP5 = r"""
+WITH lowered AS (
+    SELECT 'd' AS side, CAST(doc_id AS VARCHAR) AS id,
+           translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents
+    UNION ALL
+    SELECT 'b', CAST(item_id AS VARCHAR),
+           translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') FROM benchmark
+), listed AS (
+    SELECT side, id, coalesce(regexp_extract_all(text, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w FROM lowered
+), wanted AS (
+    SELECT DISTINCT id AS item_id, list_slice(w, i, i + 9) AS gram
+    FROM (SELECT id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM listed
+          WHERE side = 'b' AND len(w) > 0) AS x
+), lengths AS (
+    SELECT DISTINCT len(gram) AS n FROM wanted
+), grams AS (
+    SELECT id, n, i, list_slice(w, i, i + n - 1) AS gram
+    FROM (SELECT id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM listed, lengths
+          WHERE side = 'd' AND len(w) >= n) AS x
+), met AS (
+    SELECT g.id, g.n, g.i, item_id FROM grams AS g JOIN wanted USING (gram)
+), words_hit AS (
+    SELECT id, count(DISTINCT pos) AS n_hit
+    FROM (SELECT id, unnest(range(i, i + n)) AS pos FROM (SELECT DISTINCT id, n, i FROM met) AS y) AS x GROUP BY id
+), items_hit AS (
+    SELECT id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS items
+    FROM (SELECT DISTINCT id, item_id FROM met) AS x GROUP BY id
+)
+SELECT CAST(l.id AS BIGINT) AS doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit,
+       coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AS contaminated
+FROM listed AS l LEFT JOIN words_hit USING (id) LEFT JOIN items_hit USING (id) WHERE side = 'd'
+"""
+
+OP7 = """
+WITH p AS (
+    SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest
+    FROM pages
+), f AS (
+    SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first_id FROM p
+)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN first_id END AS refers_to
+FROM f
+"""
+
 ORACLES = {
     "op3_chat_format": OP3,
+    "op5_decontamination": OP5,
+    "op7_warc": OP7,
 }
