@@ -58,7 +58,7 @@ def paths(messages: DataFrame) -> DataFrame:
     Needs ``tree`` (not null), ``message_id``, ``parent_id``; message ids are unique in a tree.  A parent
     that does not exist makes its child a root; a message on a cycle has no leaf and is on no path.
     """
-    nodes = messages.select("tree", F.col("message_id").alias("node"), F.col("parent_id").alias("up"))
+    nodes = saved(messages.select("tree", F.col("message_id").alias("node"), F.col("parent_id").alias("up")))
     known = nodes.select("tree", F.col("node").alias("up"))
     # up: the ancestor 2^k steps above; only rows that have one.
     jump = saved(nodes.filter("up IS NOT NULL").join(known, ["tree", "up"], "left_semi"))
@@ -73,10 +73,13 @@ def paths(messages: DataFrame) -> DataFrame:
         jump = saved(jump.join(higher, ["tree", "up"]).select("tree", "node", F.col("higher").alias("up")))
     found = leaves.select("tree", F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("depth_up"))
     for k in reversed(range(len(jumps))):
-        above = (found.join(jumps[k], ["tree", "node"])
-                 .select("tree", "leaf", F.col("up").alias("node"),
-                         (F.col("depth_up") + F.lit(1 << k)).alias("depth_up")))
-        found = found.unionByName(above)
+        # Each row stays and adds the one 2^k steps above it, so the plan grows by one join a round.
+        here = F.struct("node", "depth_up")
+        above = F.when(F.col("up").isNotNull(), F.struct(F.col("up").alias("node"),
+                                                         (F.col("depth_up") + F.lit(1 << k)).alias("depth_up")))
+        found = (found.join(jumps[k], ["tree", "node"], "left")
+                 .select("tree", "leaf", F.explode(F.array_compact(F.array(here, above))).alias("at"))
+                 .select("tree", "leaf", "at.node", "at.depth_up"))
     return found
 
 
