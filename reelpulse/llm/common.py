@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import checkpoint_dir
 
@@ -47,3 +48,23 @@ def rows_of(batches: Iterable[pa.RecordBatch], most_bytes: int = 4 << 20) -> Ite
         step = max(1, int(batch.num_rows * most_bytes / max(1, batch.nbytes)))
         for start in range(0, batch.num_rows, step):
             yield batch.slice(start, step)
+
+
+def map_text(df: DataFrame, text: str, work: Callable[[], Callable[[list], list[list]]], added: list[tuple]) -> DataFrame:
+    """``df`` with columns computed from one text column.  ``work()`` runs once per task and returns a function
+    from a list of texts (null as None) to one list per added column.  ``added``: (name, Spark type, Arrow
+    type); columns of the same name are replaced.  Rows are neither dropped nor moved."""
+    names = [n for n, *_ in added]
+    held = df.select(*(F.col(c) for c in df.columns if c not in names), F.col(text).cast("string").alias("_llm_text"))
+    schema = T.StructType([*(T.StructField(f.name, f.dataType) for f in held.schema.fields[:-1]),
+                           *(T.StructField(n, T._parse_datatype_string(kind)) for n, kind, _ in added)])
+
+    def run(batches):
+        compute = work()
+        for part in rows_of(batches):
+            columns = compute(part.column(part.num_columns - 1).to_pylist())
+            arrays = [part.column(i) for i in range(part.num_columns - 1)]
+            arrays += [pa.array(c, kind) for c, (_, _, kind) in zip(columns, added)]
+            yield pa.RecordBatch.from_arrays(arrays, names=[f.name for f in schema.fields])
+
+    return held.mapInArrow(run, schema)
