@@ -6,10 +6,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, packing, quality, warc
+from . import chat_format, decontaminate, packing, quality, token_counts, warc
 from .common import read_table, scratch_path
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unigram token counts of every whole document."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = token_counts.token_counts(docs, public_tokenizers.path("piece_bpe_32k.model"))
+    return found.select("doc_id", "n_tokens")
+
+
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations and conversation -7, formatted and read back."""
     said = r"\### Assistant: </turn> ok"
@@ -47,6 +54,7 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
+    op2_token_counts,
     op3_chat_format,
     op4_quality,
     op5_decontamination,
