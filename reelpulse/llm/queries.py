@@ -6,10 +6,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, packing, quality, token_counts, warc
+from . import chat_format, decontaminate, line_dedup, packing, quality, token_counts, warc
 from .common import read_table, scratch_path
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole document without the lines whose template recurs across documents."""
+    clean = line_dedup.drop_recurring_lines(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    text = F.coalesce("text", F.lit(""))
+    return clean.select("doc_id", "n_lines", "n_dropped", F.length(text).cast("long").alias("kept_chars"),
+                        F.sha2(text.cast("binary"), 256).alias("kept_sha256"))
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Unigram token counts of every whole document."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -54,6 +62,7 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
+    op1_line_dedup,
     op2_token_counts,
     op3_chat_format,
     op4_quality,

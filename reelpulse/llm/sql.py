@@ -1,5 +1,54 @@
 """DuckDB SQL of the registered queries that SQL can express."""
 
+#: Line dedup over a relation ``docs`` (doc_id, text): tables up to ``line_drops`` (doc_id, pos).
+LINE_DROPS = r"""
+lines_of AS (
+    SELECT doc_id, pos, regexp_split_to_array(trim(string_split(text, chr(10))[pos], ' ' || chr(9) || chr(13)),
+                                              '[ 	]+') AS plain
+    FROM (SELECT doc_id, text, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS pos
+          FROM docs WHERE text IS NOT NULL) AS x
+), tokened AS (
+    SELECT doc_id, pos, list_transform(plain, lambda t: CASE WHEN regexp_matches(t, '[0-9]') THEN '<*>' ELSE t END) AS tokens
+    FROM lines_of WHERE len(plain) >= 3
+), leaves AS (
+    SELECT DISTINCT [CAST(len(tokens) AS VARCHAR)] || tokens[:3] AS leaf, tokens FROM tokened
+), leaf_size AS (
+    SELECT leaf, count(*) AS n FROM leaves GROUP BY leaf
+), constants AS (
+    SELECT leaf, at_pos, token FROM (
+        SELECT leaf, unnest(range(1, len(tokens) + 1)) AS at_pos, unnest(tokens) AS token FROM leaves) AS x
+    JOIN leaf_size USING (leaf) GROUP BY leaf, at_pos, token, n HAVING count(*) * 2 > n
+), fitting AS (
+    SELECT l.leaf, l.tokens
+    FROM (SELECT leaf, tokens, unnest(range(1, len(tokens) + 1)) AS at_pos, unnest(tokens) AS token FROM leaves) AS l
+    JOIN constants USING (leaf, at_pos, token)
+    GROUP BY l.leaf, l.tokens HAVING count(*) >= len(l.tokens) * 0.8
+), placed AS (
+    SELECT t.doc_id, t.pos, CASE WHEN f.tokens IS NULL THEN ['own'] || t.tokens ELSE ['leaf'] || f.leaf END AS template
+    FROM tokened AS t LEFT JOIN fitting AS f ON f.tokens = t.tokens
+), recurring AS (
+    SELECT template, min(doc_id) AS first_doc FROM placed GROUP BY template HAVING count(DISTINCT doc_id) >= 3
+), line_drops AS (
+    SELECT doc_id, pos FROM (
+        SELECT doc_id, pos, row_number() OVER (PARTITION BY template ORDER BY doc_id, pos) AS nth
+        FROM placed JOIN recurring USING (template)) AS x WHERE nth > 1
+)"""
+
+OP1 = f"""
+WITH docs AS (SELECT doc_id, text FROM documents), {LINE_DROPS},
+gone AS (
+    SELECT doc_id, list(pos) AS dropped FROM line_drops GROUP BY doc_id
+), cleaned AS (
+    SELECT doc_id, len(string_split(text, chr(10))) AS n_lines, coalesce(len(dropped), 0) AS n_dropped,
+           array_to_string(list_filter(string_split(text, chr(10)),
+                                       lambda line, i: NOT coalesce(list_contains(dropped, i), false)), chr(10)) AS kept
+    FROM docs LEFT JOIN gone USING (doc_id)
+)
+SELECT doc_id, CAST(coalesce(n_lines, 0) AS BIGINT) AS n_lines, CAST(n_dropped AS BIGINT) AS n_dropped,
+       CAST(length(coalesce(kept, '')) AS BIGINT) AS kept_chars, sha256(coalesce(kept, '')) AS kept_sha256
+FROM cleaned
+"""
+
 OP3 = r"""
 WITH rows AS (
     SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -69,6 +118,7 @@ FROM f
 """
 
 ORACLES = {
+    "op1_line_dedup": OP1,
     "op3_chat_format": OP3,
     "op5_decontamination": OP5,
     "op7_warc": OP7,
