@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, line_dedup, packing, quality, token_counts, warc
+from . import chat_format, decontaminate, line_dedup, near_dup, packing, quality, token_counts, warc
 from .common import read_table, scratch_path
 
 
@@ -47,6 +47,11 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(found)
 
 
+def op6_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate class of every document."""
+    return near_dup.classes(read_table(spark, sf_dir, "documents")).select("doc_id", "class_id")
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages written as archives and read back."""
     folder = scratch_path(spark, "warc")
@@ -67,6 +72,7 @@ QUERIES = {f.__name__: f for f in (
     op3_chat_format,
     op4_quality,
     op5_decontamination,
+    op6_near_dup,
     op7_warc,
     op8_packing,
 )}
