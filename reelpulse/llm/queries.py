@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, line_dedup, near_dup, packing, quality, token_counts, warc
+from . import chat_format, decontaminate, fingerprint, line_dedup, near_dup, packing, quality, token_counts, warc
 from .common import read_table, scratch_path
 
 
@@ -66,6 +66,11 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
                                     public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every whole document and of its edited text."""
+    return fingerprint.fingerprints(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_line_dedup,
     op2_token_counts,
@@ -75,4 +80,5 @@ QUERIES = {f.__name__: f for f in (
     op6_near_dup,
     op7_warc,
     op8_packing,
+    op9_fingerprints,
 )}
