@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, fingerprint, line_dedup, near_dup, packing, quality, token_counts, warc
+from . import chat_format, decontaminate, fingerprint, line_dedup, near_dup, packing, pii, quality, token_counts, warc
 from .common import read_table, scratch_path
 
 
@@ -71,6 +71,11 @@ def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprints(read_table(spark, sf_dir, "documents"))
 
 
+def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every whole document."""
+    return pii.digest(pii.personal_data(read_table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_line_dedup,
     op2_token_counts,
@@ -81,4 +86,5 @@ QUERIES = {f.__name__: f for f in (
     op7_warc,
     op8_packing,
     op9_fingerprints,
+    op10_personal_data,
 )}
