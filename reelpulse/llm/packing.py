@@ -80,8 +80,8 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, with_ids:
         encode = encoder(tokenizer).encode
         for part in (p for b in batches for p in rows_of([b])):
             out = []
-            for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                ids = encode(text) + _END
+            for doc_id, ids in zip(part.column(0).to_pylist(), encode(part.column(1).to_pylist())):
+                ids += _END
                 n = len(ids) // 4
                 start, end = 0, n % capacity or capacity
                 number = 0

@@ -21,6 +21,31 @@ from tokenizers import Tokenizer  # noqa: E402
 _INSEPARABLE = re.compile(r"\s (?!\S)")
 _ENCODERS: dict[str, "Encoder"] = {}
 
+_CLOSING = frozenset(".,;:!?")
+_BLANK = re.compile(r"[^\S\n]")
+# A word that ends in a Latin letter, and a run of ASCII marks after it: a piece ends between the two.
+_MARKED = re.compile(r"(.*[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u017F])([!-/:-@\[-`{-~]+)")
+
+
+def atoms(chunk: str) -> list[str]:
+    """A chunk, with its leading space, cut further where a piece ends anyway: around a line feed between two
+    other characters, and between a letter and the marks that close a word."""
+    if chunk.isalpha():
+        return [" " + chunk]
+    if chunk[-1:] in _CLOSING and chunk[:-1].isalpha() and chunk[-2] < "\u0180":
+        return [" " + chunk[:-1], chunk[-1]]
+    lines = chunk.split("\n")
+    if "" in lines or _BLANK.search(chunk):
+        return [" " + chunk]
+    out = []
+    for i, line in enumerate(lines):
+        word = line if i else " " + line
+        if i:
+            out.append("\n")
+        marked = None if word[-1].isalnum() else _MARKED.fullmatch(word)
+        out += marked.groups() if marked else (word,)
+    return out
+
 
 class Encoder:
     """Encodes texts to little-endian unsigned 32-bit ids; remembers at most ``most`` chunks."""
@@ -29,6 +54,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.known: dict[str, bytes] = {}           # by chunk without its leading space
+        self.atoms: dict[str, bytes] = {}
         self.most = most
 
     def _whole(self, text: str) -> bytes:
@@ -36,25 +62,26 @@ class Encoder:
 
     def _learn(self, chunks: set[str]) -> None:
         new = [c for c in chunks if c not in self.known]
-        if len(self.known) + len(new) > self.most:
-            self.known.clear()
+        if len(self.known) + len(new) > self.most:                 # one call's chunks always fit
+            self.known = {}
             new = list(chunks)
-        got = self.tokenizer.encode_batch_fast([" " + c for c in new], add_special_tokens=False)
-        for chunk, ids in zip(new, got):
-            self.known[chunk] = np.asarray(ids.ids, "<u4").tobytes()
-
-    def encode(self, text: str) -> bytes:
-        if not text:
-            return b""
-        if _INSEPARABLE.search(text):
-            return self._whole(text)
-        first, *rest = text.split(" ")
-        head = self._whole(first) if first else b""
-        try:
-            return head + b"".join([self.known[c] for c in rest])
-        except KeyError:
-            self._learn(set(rest))
-            return head + b"".join([self.known[c] for c in rest])
+        parts = [atoms(c) for c in new]
+        fresh = list({a for p in parts for a in p if a not in self.atoms})
+        if len(self.atoms) + len(fresh) > self.most:
+            self.atoms = {}
+            fresh = list({a for p in parts for a in p})
+        for atom, ids in zip(fresh, self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False)):
+            self.atoms[atom] = np.asarray(ids.ids, "<u4").tobytes()
+        for chunk, part in zip(new, parts):
+            self.known[chunk] = b"".join([self.atoms[a] for a in part])
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        split = [None if _INSEPARABLE.search(t) else t.split(" ") for t in texts]
+        self._learn({c for chunks in split if chunks for c in chunks[1:]})
+        known = self.known
+        return [self._whole(t) if chunks is None else
+                (self._whole(chunks[0]) if chunks[0] else b"") + b"".join([known[c] for c in chunks[1:]])
+                for t, chunks in zip(texts, split)]
 
 
 def encoder(path: str) -> Encoder:
