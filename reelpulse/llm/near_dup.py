@@ -6,8 +6,9 @@ with a probability of their weighted Jaccard similarity (Ioffe 2010).  Texts tha
 bucket; candidates from buckets are verified by their exact weighted Jaccard similarity, and verified links
 are closed to classes.
 
-*Document frequencies.*  All documents are counted.  A shingle's weight is 1 + ln(N / max(df, floor)), where
-the floor is the number of all (document, shingle) pairs over TABLE: at most TABLE shingles can be above it,
+*Document frequencies.*  All documents are counted.  The inverse document frequency of a shingle is
+SMOOTHING + ln(N / max(df, floor)) / ln(N): copies make their own shingles frequent, and a steeper weight would
+push large groups of true copies below the threshold by their few rare edits.  The floor is the number of all (document, shingle) pairs over TABLE: at most TABLE shingles can be above it,
 so the table that goes to the tasks has a proven bound, at any size of input.  It is found in two passes: a
 shingle above the floor exceeds half of the floor's share in blocks that hold enough of it, so blocks report
 those, at most 2 * TABLE of them remain after their counts are added, and these are then counted exactly.
@@ -36,6 +37,7 @@ TABLE = 250_000
 BLOCK_DOCS = 8192
 BLOCK_SHINGLES = 8_000_000
 SMALL = 32
+SMOOTHING = 2.0
 _U = np.uint64
 _SEEDS = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * _U(0x9E3779B97F4A7C15))
 
@@ -46,8 +48,8 @@ class Weights:
     def __init__(self, hashes: np.ndarray, counts: np.ndarray, documents: int, floor: float):
         order = np.argsort(hashes)
         self.hashes = hashes[order]
-        self.logs = 1.0 + np.log(documents / np.maximum(counts[order], floor))
-        self.rare = 1.0 + float(np.log(max(1.0, documents / floor)))
+        self.logs = SMOOTHING + np.log(documents / np.maximum(counts[order], floor)) / np.log(max(2, documents))
+        self.rare = SMOOTHING + float(np.log(max(1.0, documents / floor)) / np.log(max(2, documents)))
 
     def of(self, hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """Weights of a text's shingles."""
