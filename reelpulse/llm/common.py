@@ -29,6 +29,14 @@ def saved(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to a new table in the shared folder and read back: smaller than a checkpoint for rows
+    that repeat values, and likewise safe when executors are lost."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def text_of(column: str = "text") -> Column:
     """The text, with null as empty."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))

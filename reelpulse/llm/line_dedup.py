@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import saved, text_of
+from .common import text_of, written
 
 DEPTH = 3
 SIMILARITY = 0.8
@@ -31,7 +31,7 @@ def _short(text: Column) -> Column:
     return F.unhex(F.md5(text.cast("binary")))
 
 
-def template_tokens(line: Column) -> Column:
+def masked_tokens(line: Column) -> Column:
     """Tokens of a line, those with a digit as FIELD."""
     tokens = F.split(F.btrim(line, F.lit(BLANKS)), f"[{BLANKS}]+")
     masked = F.transform(tokens, lambda t: F.when(t.rlike("[0-9]"), F.lit(FIELD)).otherwise(t))
@@ -39,20 +39,21 @@ def template_tokens(line: Column) -> Column:
 
 
 def _lines(docs: DataFrame, depth: int, min_tokens: int) -> DataFrame:
-    """(doc_id, h, pos, tokens, leaf, template) of every line with enough tokens."""
+    """(doc_id, h, pos, line, leaf, template) of every line with enough tokens; ``line`` is its masked tokens,
+    joined by single spaces (a token holds none)."""
     split = docs.select("doc_id", F.xxhash64("_text").alias("h"), F.posexplode(F.split("_text", "\n")).alias("pos", "line"))
-    rows = split.select("doc_id", "h", "pos", template_tokens(F.col("line")).alias("tokens")).filter(
+    rows = split.select("doc_id", "h", "pos", masked_tokens(F.col("line")).alias("tokens")).filter(
         F.size("tokens") >= min_tokens)
     lead = F.concat(F.size("tokens").cast("string"), F.lit(" "), F.array_join(F.slice("tokens", 1, depth), " "))
-    return rows.select("doc_id", "h", "pos", "tokens", _short(lead).alias("leaf"),
-                       _short(F.array_join("tokens", " ")).alias("template"))
+    rows = rows.select("doc_id", "h", "pos", F.xxhash64(lead).alias("leaf"), F.array_join("tokens", " ").alias("line"))
+    return rows.withColumn("template", _short(F.col("line")))
 
 
 def _generalised(lines: DataFrame, wide: DataFrame, similarity: float) -> DataFrame:
     """(template, group) of the lines that belong to the template of their leaf, for the ``wide`` leaves."""
     distinct = (lines.join(wide.select("leaf"), "leaf", "left_semi")
-                .groupBy("leaf", "template").agg(F.first("tokens").alias("tokens")))
-    distinct = saved(distinct)
+                .groupBy("leaf", "template").agg(F.first("line").alias("line")))
+    distinct = written(distinct, "lines").withColumn("tokens", F.split("line", " "))
     total = distinct.groupBy("leaf").agg(F.count(F.lit(1)).alias("n"))
     shared = (distinct.select("leaf", F.posexplode("tokens").alias("at", "token"))
               .groupBy("leaf", "at", "token").agg(F.count(F.lit(1)).alias("k")).filter("k > 1"))
@@ -61,7 +62,7 @@ def _generalised(lines: DataFrame, wide: DataFrame, similarity: float) -> DataFr
     agreeing = F.size(F.filter(F.transform("tokens", lambda t, i: F.col("constant")[i] == t), lambda same: same))
     return (distinct.join(constants, "leaf")
             .filter(agreeing >= F.size("tokens") * F.lit(similarity))
-            .select("template", F.col("leaf").alias("group")))
+            .select("template", _short(F.concat(F.lit("leaf "), F.col("leaf").cast("string"))).alias("group")))
 
 
 def recurring_lines(docs: DataFrame, depth: int = DEPTH, similarity: float = SIMILARITY, min_docs: int = MIN_DOCS,
@@ -72,13 +73,13 @@ def recurring_lines(docs: DataFrame, depth: int = DEPTH, similarity: float = SIM
     document.  The first occurrence is the smallest (doc_id, h, line number), a null id first.
     """
     lines = _lines(docs, depth, min_tokens)
-    keys = saved(lines.drop("tokens"))
+    keys = written(lines.drop("line"), "line-keys")
     wide = (keys.groupBy("leaf").agg(F.min("template").alias("a"), F.max("template").alias("b"),
                                      F.count(F.lit(1)).alias("n"))
             .filter((F.col("a") != F.col("b")) & (F.col("n") >= min_docs)))
     grouped = (keys.join(_generalised(lines, wide, similarity), "template", "left")
                .select("doc_id", "h", "pos", F.coalesce("group", "template").alias("group")))
-    grouped = saved(grouped)
+    grouped = written(grouped, "line-groups")
     by_doc = grouped.groupBy("group", "doc_id", "h").agg(F.min("pos").alias("pos"))
     recurring = (by_doc.groupBy("group").agg(F.count(F.lit(1)).alias("n"),
                                              F.min(F.struct("doc_id", "h", "pos")).alias("first"))
