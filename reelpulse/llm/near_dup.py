@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -165,9 +166,9 @@ def document_frequencies(texts: DataFrame) -> Weights:
     return Weights(hashes, counts, max(1, n_docs), floor)
 
 
-def signatures(docs: DataFrame, weights: Weights) -> DataFrame:
-    """(doc_id, key, bands) per row of (doc_id, key, text); bands is empty for texts without words."""
-    sent = docs.sparkSession.sparkContext.broadcast(weights)          # at most TABLE entries
+def signatures(docs: DataFrame, sent: Broadcast) -> DataFrame:
+    """(doc_id, key, bands) per row of (doc_id, key, text); bands is empty for texts without words.  ``sent`` is
+    the broadcast Weights."""
 
     def run(batches):
         hasher, weigh = Hasher(), sent.value.of
@@ -182,10 +183,12 @@ def signatures(docs: DataFrame, weights: Weights) -> DataFrame:
     return docs.select("doc_id", "key", "text").mapInArrow(run, "doc_id bigint, key binary, bands array<bigint>")
 
 
-def verified(pairs: DataFrame, texts: DataFrame, weights: Weights, similarity: float) -> DataFrame:
-    """The pairs (a, b) of keys whose texts' weighted Jaccard similarity is ``similarity`` or more."""
-    sent = pairs.sparkSession.sparkContext.broadcast(weights)         # at most TABLE entries
-    side = lambda name: texts.select(F.col("key").alias(name), F.col("text").alias(f"text_{name}"))
+def verified(pairs: DataFrame, texts: DataFrame, sent: Broadcast, similarity: float) -> DataFrame:
+    """The pairs (a, b) of keys whose texts' weighted Jaccard similarity is ``similarity`` or more; ``sent`` is
+    the broadcast Weights."""
+
+    def side(name: str) -> DataFrame:
+        return texts.select(F.col("key").alias(name), F.col("text").alias(f"text_{name}")).hint("merge")
 
     def run(batches):
         hasher, weigh, held = Hasher(), sent.value.of, {}
@@ -217,7 +220,7 @@ def _heads(members: DataFrame, salt: int) -> DataFrame:
     order = [F.struct(F.xxhash64(F.lit(3 * salt + i), "key"), "key") for i in range(3)]
     heads = members.groupBy("bucket").agg(*(F.min(o).alias(f"h{i}") for i, o in enumerate(order)))
     heads = heads.select("bucket", F.explode(F.array_distinct(F.array(*(F.col(f"h{i}.key") for i in range(3))))).alias("head"))
-    return members.select("bucket", "key").join(heads, "bucket")
+    return members.select("bucket", "key").join(heads.hint("merge"), "bucket")
 
 
 def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -230,8 +233,8 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
     rows = rows.select("doc_id", content_key(F.col("text")).alias("key"), "text")
-    weights = document_frequencies(rows.select("text"))
-    signed = saved(signatures(rows, weights))
+    sent = spark.sparkContext.broadcast(document_frequencies(rows.select("text")))        # at most TABLE entries
+    signed = saved(signatures(rows, sent))
     # Equal texts: one node, whose bands any of them has.
     nodes = signed.groupBy("key").agg(F.first("bands").alias("bands"))
     buckets = nodes.select("key", F.posexplode("bands").alias("band", "value")).select(
@@ -243,31 +246,38 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
      .write.parquet(path))
     texts = spark.read.parquet(path)
 
-    links = saved(verified(_ordered(members, "key", "head"), texts, weights, similarity))
+    links = saved(verified(_ordered(members, "key", "head"), texts, sent, similarity))
     labels = components(links)
     again = 0
     while True:
-        told = members.drop("head").join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
+        told = members.drop("head").join(labels.hint("merge"), "key", "left").withColumn("label", F.coalesce("label", "key"))
         split = told.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x != y")
-        told = saved(told.join(split.select("bucket"), "bucket", "left_semi"))
+        told = saved(told.join(split.select("bucket").hint("merge"), "bucket", "left_semi"))
         few = told.filter(F.col("n") <= SMALL)
         chosen = (told.filter(F.col("n") > SMALL).groupBy("bucket", "label")
                   .agg(F.min(F.struct(F.xxhash64(F.lit(again), "key"), "key")).alias("one"))
                   .select("bucket", "label", F.col("one.key").alias("key")))
         counted = chosen.groupBy("bucket").agg(F.count(F.lit(1)).alias("m"))
-        chosen = saved(chosen.join(counted, "bucket"))
+        chosen = saved(chosen.join(counted.hint("merge"), "bucket"))
         some = chosen.filter(F.col("m") <= SMALL).drop("m")
         pairwise = some if again else few.select("bucket", "label", "key").union(some)
         other = pairwise.select("bucket", F.col("label").alias("label_2"), F.col("key").alias("key_2"))
-        pairs = (pairwise.join(other, "bucket").filter((F.col("label") != F.col("label_2")) & (F.col("key") < F.col("key_2")))
+        pairs = (pairwise.join(other.hint("merge"), "bucket").filter((F.col("label") != F.col("label_2")) & (F.col("key") < F.col("key_2")))
                  .select(F.col("key").alias("a"), F.col("key_2").alias("b")))
         pairs = pairs.union(_ordered(_heads(chosen.filter(F.col("m") > SMALL), again), "key", "head")).distinct()
-        new = saved(verified(saved(pairs), texts, weights, similarity))
+        new = saved(verified(saved(pairs), texts, sent, similarity))
         again += 1
         if new.isEmpty():
             break
-        links = saved(links.union(new))
-        labels = components(links)
+        # Only classes that the new links touch change: their graph is small.
+        of_a, of_b = (labels.select(F.col("key").alias(x), F.col("label").alias(f"l{x}")).hint("merge") for x in "ab")
+        joined = (new.join(of_a, "a", "left").join(of_b, "b", "left")
+                  .select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b")).filter("a != b"))
+        merged = components(joined).select(F.col("key").alias("label"), F.col("label").alias("to"))
+        ends = new.select(F.col("a").alias("key")).union(new.select("b")).distinct()
+        fresh = ends.join(labels.hint("merge"), "key", "left_anti").withColumn("label", F.col("key"))
+        labels = saved(labels.union(fresh).join(merged.hint("merge"), "label", "left")
+                       .select("key", F.coalesce("to", "label").alias("label")))
     placed = signed.select("doc_id", "key").join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
     ids = placed.groupBy("label").agg(F.min("doc_id").alias("class_id"))
     return placed.join(ids, "label").select("doc_id", "key", "class_id")
