@@ -13,6 +13,11 @@ from pyspark.sql import functions as F
 from .. import schema as S
 
 
+# Profile numbers arrive as DOUBLE; summed with eight decimals, order does not matter and the source's two
+# decimals are kept exactly.
+PROFILE_DECIMAL = "decimal(28,8)"
+
+
 def col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
@@ -33,8 +38,8 @@ def mean(c) -> Column:
 
 
 def mean_double(c) -> Column:
-    """AVG of a DOUBLE profile column with up to two decimals, exact like :func:`mean`."""
-    return mean(col(c).cast("decimal(20,2)"))
+    """AVG of a DOUBLE profile column, exact like :func:`mean` for values of up to eight decimals."""
+    return mean(col(c).cast(PROFILE_DECIMAL))
 
 
 def share(cond: Column) -> Column:

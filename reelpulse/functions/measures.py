@@ -38,9 +38,15 @@ def revenue_per_user() -> Column:                        # M06
     return F.try_divide(subscription_revenue(), F.count_distinct("user_id"))
 
 
-def premium_adoption() -> Column:                        # M07
-    premium = F.count_distinct(F.when(F.col("subscription_type") == "Premium", F.col("user_id")))
-    return F.try_divide(premium.cast("double"), F.count_distinct("user_id"))
+def premium_adoption() -> Column:                        # M07 (over one row per user and group)
+    known = F.col("user_id").isNotNull()
+    return F.try_divide(F.count_if(known & F.col("premium")).cast("double"), F.count_if(known))
+
+
+def one_row_per_user(users: DataFrame, *group: str) -> DataFrame:
+    """Users of a group once each, with whether any of their rows is on the Premium plan."""
+    premium = F.coalesce(F.col("subscription_type") == "Premium", F.lit(False))
+    return users.groupBy(*group, "user_id").agg(F.max(premium).alias("premium"))
 
 
 def engagement_score() -> Column:                        # M08

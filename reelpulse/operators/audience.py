@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..functions import exprs as X
+from ..session import checkpoint_dir
 from . import ordered
 
 
@@ -106,7 +107,9 @@ def upgrade_candidates(watch: DataFrame, users: DataFrame, plans=S.UPGRADE_PLANS
     range-partitioned prefix sums, ``ordered.percentile_cont``), used as a scalar
     subquery; ``approx=True`` uses a one-pass
     ``percentile_approx`` sketch instead (opt-in, not the reference's result)."""
-    e = user_engagement(watch)
+    # Checkpointed once: the percentile and the filter read the same per-viewer rows.
+    checkpoint_dir(watch.sparkSession)
+    e = user_engagement(watch).checkpoint(eager=True)
     cut = (e.agg(F.percentile_approx("watch_hours", pct, 10000)) if approx
            else ordered.percentile_cont(e, "watch_hours", pct, key=["user_id"]))
     return (e.filter(F.col("watch_hours") > cut.scalar())
@@ -145,14 +148,13 @@ def frequency_quintiles(watch: DataFrame, tiles: int = 5) -> DataFrame:
 def last_genre_before_churn(watch: DataFrame, users: DataFrame, content: DataFrame) -> DataFrame:
     """Q27: genre of each churned viewer's latest session, counted per genre.
 
-    Latest = max (watch_time, session_id): an aggregate, so it combines map-side
-    instead of sorting each viewer's history in one task; it runs before the
-    churned-viewer semi join, which then sees one row per viewer.
+    Latest = max (watch_time, session_id).  Spark plans a struct maximum with strings
+    as a sort aggregate: tasks sort the sessions they hold by viewer, before and after
+    the shuffle, and combine map-side.  Only sessions of churned viewers are sorted.
     """
     churned = users.filter(F.col("churn_status") == "Churned").select("user_id")
-    last = (watch.groupBy("user_id")
+    last = (watch.join(churned, "user_id", "left_semi").groupBy("user_id")
             .agg(F.max(F.struct("watch_time", "session_id", "content_id")).alias("_last"))
-            .join(churned, "user_id", "left_semi")
             .select(F.col("_last.content_id").alias("content_id")))
     return last.join(content.select("content_id", "genre"), "content_id").groupBy("genre").agg(
         F.count(F.lit(1)).alias("churned_last_sessions"))
@@ -261,7 +263,8 @@ def user_features_direct(watch: DataFrame, users: DataFrame, content: DataFrame,
 def dedupe_devices(observations: DataFrame, order: str = "device_id") -> DataFrame:
     """One row per (user, device type); the row first in ``order`` is kept.
 
-    ``min(struct(order, ...))`` fixes which row stays and combines map-side.
+    ``min(struct(order, ...))`` fixes which row stays; with strings it is a sort aggregate
+    (tasks sort what they hold by user and device type) that combines map-side.
     """
     cols = [c for c in observations.columns if c not in ("user_id", "device_type", order)]
     kept = observations.groupBy("user_id", "device_type").agg(
@@ -276,7 +279,7 @@ def country_summary(features: DataFrame, users: DataFrame) -> DataFrame:
     j = users.select(*keys).join(features.select(*keys, "total_watch_minutes"), keys)
     return j.groupBy("country").agg(
         F.count("user_id").alias("users"),
-        X.exact_sum(F.col("total_watch_minutes").cast("decimal(20,2)")).alias("watch_minutes"),
+        X.exact_sum(F.col("total_watch_minutes").cast(X.PROFILE_DECIMAL)).alias("watch_minutes"),
         X.share(F.col("churn_status") == "Churned").alias("churned"))
 
 

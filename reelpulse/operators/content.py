@@ -7,19 +7,35 @@ from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..functions import exprs as X
+from ..session import checkpoint_dir
 from . import ordered
 
 
+def _by_minutes():
+    """Order of top titles: most minutes first, then the grouping columns, so the cut is the same in every run."""
+    return [F.desc_nulls_last("_minutes"), *map(F.asc_nulls_last, ("title", "content_type", "genre"))]
+
+
 def _with_content(watch: DataFrame, content: DataFrame, *cols: str) -> DataFrame:
     return watch.join(content.select("content_id", *cols), "content_id")
 
 
+def _title_partials(watch: DataFrame, content: DataFrame, *cols: str) -> DataFrame:
+    """Session partials per title, joined to the catalogue: one row per title at the join, however hot."""
+    return X.session_partials(watch, "content_id").join(content.select("content_id", *cols), "content_id")
+
+
 def genre_watch(watch: DataFrame, content: DataFrame) -> DataFrame:
     """Q04: sessions, hours and completion per genre."""
-    return _with_content(watch, content, "genre").groupBy("genre").agg(
-        F.count(F.lit(1)).alias("sessions"),
-        X.hours("watch_duration").alias("watch_hours"),
-        X.mean("completion_rate").alias("avg_completion"))
+    return _title_partials(watch, content, "genre").groupBy("genre").agg(
+        X.rolled_sessions().alias("sessions"),
+        X.rolled_hours().alias("watch_hours"),
+        X.rolled_completion().alias("avg_completion"))
+
+
+def genre_hours(watch: DataFrame, content: DataFrame) -> DataFrame:
+    """M01 per genre: hours from per-title partials."""
+    return _title_partials(watch, content, "genre").groupBy("genre").agg(X.rolled_hours().alias("total_watch_hours"))
 
 
 def title_totals(watch: DataFrame, content: DataFrame) -> DataFrame:
@@ -45,7 +61,7 @@ def top_titles_ranked(watch: DataFrame, content: DataFrame, n: int = 50) -> Data
     partition) and ranked after; no global window over all titles.
     """
     top = (title_totals(watch, content)
-           .orderBy(F.col("_minutes").desc_nulls_last(), F.col("title").asc_nulls_last()).limit(n))
+           .orderBy(*_by_minutes()).limit(n))
     return top.select(
         "title", "content_type", "genre", "sessions",
         F.col("_minutes").cast("double").alias("minutes_watched"), "avg_completion",
@@ -86,20 +102,25 @@ def low_completion_risk(watch: DataFrame, content: DataFrame,
 
 
 def review_sentiment_by_genre(reviews: DataFrame, content: DataFrame) -> DataFrame:
-    """Q17: mean rating, share of ratings >= 4 and review count per genre."""
-    return reviews.join(content.select("content_id", "genre"), "content_id").groupBy("genre").agg(
-        X.mean("rating").alias("avg_rating"),
-        X.share(F.col("rating") >= S.POSITIVE_RATING).alias("positive_share"),
-        F.count(F.lit(1)).alias("reviews"))
+    """Q17: mean rating, share of ratings >= 4 and review count per genre (per-title partials first)."""
+    per = reviews.groupBy("content_id").agg(
+        F.count(F.lit(1)).alias("_n"), F.sum("rating").alias("_sum"), F.count("rating").alias("_rated"),
+        F.sum(F.when(F.col("rating") >= S.POSITIVE_RATING, 1).otherwise(0)).alias("_pos"))
+    return per.join(content.select("content_id", "genre"), "content_id").groupBy("genre").agg(
+        F.try_divide(F.sum("_sum").cast("double"), F.sum("_rated")).alias("avg_rating"),
+        F.try_divide(F.sum("_pos").cast("double"), F.sum("_n")).alias("positive_share"),
+        F.sum("_n").alias("reviews"))
 
 
 def original_vs_licensed(watch: DataFrame, content: DataFrame) -> DataFrame:
     """Q20: originals against licensed titles; imdb is session-weighted."""
-    return _with_content(watch, content, "original_flag", "imdb_rating").groupBy("original_flag").agg(
-        F.count(F.lit(1)).alias("sessions"),
-        X.hours("watch_duration").alias("watch_hours"),
-        X.mean("completion_rate").alias("completion"),
-        X.mean("imdb_rating").alias("imdb"))
+    rated = F.col("imdb_rating").isNotNull()
+    return _title_partials(watch, content, "original_flag", "imdb_rating").groupBy("original_flag").agg(
+        X.rolled_sessions().alias("sessions"),
+        X.rolled_hours().alias("watch_hours"),
+        X.rolled_completion().alias("completion"),
+        F.try_divide(F.sum(F.col("imdb_rating") * F.col("_n")).cast("double"), F.sum(F.when(rated, F.col("_n"))))
+        .alias("imdb"))
 
 
 def release_ramp(watch: DataFrame, content: DataFrame, max_days: int = S.RAMP_MAX_DAYS) -> DataFrame:
@@ -127,9 +148,9 @@ def language_demand(watch: DataFrame, content: DataFrame) -> DataFrame:
 
 def completion_by_duration(watch: DataFrame, content: DataFrame) -> DataFrame:
     """Q23: completion and sessions per duration bucket."""
-    j = _with_content(watch, content, "duration")
+    j = _title_partials(watch, content, "duration")
     return j.groupBy(X.duration_bucket("duration").alias("duration_bucket")).agg(
-        X.mean("completion_rate").alias("avg_completion"), F.count(F.lit(1)).alias("sessions"))
+        X.rolled_completion().alias("avg_completion"), X.rolled_sessions().alias("sessions"))
 
 
 def rewatch_rate(watch: DataFrame, content: DataFrame) -> DataFrame:
@@ -162,6 +183,9 @@ def high_rating_low_discovery(watch: DataFrame, content: DataFrame, min_imdb=S.H
             .join(counts, "content_id", "left")
             .groupBy("content_id", "title", "genre", "imdb_rating")
             .agg(F.sum(F.coalesce(F.col("_n"), F.lit(0))).cast("bigint").alias("sessions")))
+    # Checkpointed once: the percentile and the filter read the same per-title rows.
+    checkpoint_dir(watch.sparkSession)
+    perf = perf.checkpoint(eager=True)
     cut = (perf.agg(F.percentile_approx("sessions", pct, 10000).cast("double")) if approx
            else ordered.percentile_cont(perf, "sessions", pct, key=["content_id"]))
     return (perf.filter((F.col("imdb_rating") >= min_imdb) & (F.col("sessions") < cut.scalar()))
@@ -170,8 +194,9 @@ def high_rating_low_discovery(watch: DataFrame, content: DataFrame, min_imdb=S.H
 
 def monthly_genre_hours(watch: DataFrame, content: DataFrame) -> DataFrame:
     """Q32: hours per month and genre (forecast input)."""
-    return _with_content(watch, content, "genre").groupBy(
-        X.month_start("watch_time").alias("month"), "genre").agg(X.hours("watch_duration").alias("watch_hours"))
+    per = X.session_partials(watch, "content_id", X.month_start("watch_time").alias("month"))
+    return (per.join(content.select("content_id", "genre"), "content_id")
+            .groupBy("month", "genre").agg(X.rolled_hours().alias("watch_hours")))
 
 
 def genre_performance(enriched: DataFrame) -> DataFrame:
@@ -187,6 +212,44 @@ def genre_performance(enriched: DataFrame) -> DataFrame:
         "watch_hours", "active_users", "avg_completion", S.ENGAGEMENT_MART_WEIGHTS))
 
 
+def genre_performance_direct(watch: DataFrame, users: DataFrame, content: DataFrame, plans: DataFrame) -> DataFrame:
+    """P06 from the star schema: sessions are reduced to one row per (viewer, title) before any join, then to
+    (viewer, genre), and meet users and plans last.  Sums over these rows are those over the mart's rows."""
+    per = watch.groupBy("user_id", "content_id").agg(
+        F.count("session_id").alias("_ids"), F.count(F.lit(1)).alias("_n"), F.sum("watch_duration").alias("_min"),
+        F.sum("completion_rate").alias("_comp"), F.count("completion_rate").alias("_comp_n"))
+    rated = F.col("imdb_rating").isNotNull()
+    by_genre = (per.join(content.select("content_id", "genre", "imdb_rating"), "content_id")
+                .groupBy("user_id", "genre").agg(
+                    F.sum("_ids").alias("_ids"), F.sum("_n").alias("_n"), F.sum("_min").alias("_min"),
+                    F.sum("_comp").alias("_comp"), F.sum("_comp_n").alias("_comp_n"),
+                    F.sum(F.col("imdb_rating") * F.col("_n")).alias("_imdb"),
+                    F.sum(F.when(rated, F.col("_n"))).alias("_imdb_n")))
+    g = (by_genre.join(users.select("user_id", "subscription_type"), "user_id")
+         .join(F.broadcast(plans.select("subscription_type", "monthly_price_usd")), "subscription_type")
+         .groupBy("genre").agg(
+             X.rolled_hours().alias("watch_hours"),
+             F.sum("_ids").alias("sessions"),
+             F.count_distinct("user_id").alias("active_users"),
+             X.rolled_completion().alias("avg_completion"),
+             (F.sum(F.col("monthly_price_usd") * F.col("_n")).cast("double") / 30.0).alias("revenue_usd"),
+             F.try_divide(F.sum("_imdb").cast("double"), F.sum("_imdb_n")).alias("avg_imdb")))
+    return g.withColumn("engagement_score", X.engagement_score(
+        "watch_hours", "active_users", "avg_completion", S.ENGAGEMENT_MART_WEIGHTS))
+
+
+def completion_retention_by_genre(watch: DataFrame, content: DataFrame) -> DataFrame:
+    """M09 per genre: share of a genre's viewers with any session completed to the threshold.
+
+    One row per (viewer, title), then per (viewer, genre), replaces two distinct counts over the joined fact."""
+    kept = F.max(F.coalesce(F.col("completion_rate") >= S.RETENTION_COMPLETION, F.lit(False)))
+    per = watch.filter(F.col("user_id").isNotNull()).groupBy("user_id", "content_id").agg(kept.alias("_kept"))
+    return (per.join(content.select("content_id", "genre"), "content_id")
+            .groupBy("genre", "user_id").agg(F.max("_kept").alias("_kept"))
+            .groupBy("genre").agg(F.try_divide(F.count_if("_kept").cast("double"), F.count(F.lit(1)))
+                                  .alias("completion_retention_rate")))
+
+
 def review_sentiment(reviews: DataFrame) -> DataFrame:
     """Sentiment label per review."""
     return reviews.withColumn("sentiment_label", X.sentiment_label("rating"))
@@ -198,14 +261,14 @@ def top_titles_by_minutes(sessions: DataFrame, n: int = 10) -> DataFrame:
         F.count("session_id").alias("sessions"),
         X.mean("completion_rate").alias("avg_completion"),
         F.sum("watch_duration").alias("_minutes"))
-    return (g.orderBy(F.col("_minutes").desc_nulls_last(), F.col("title").asc_nulls_last()).limit(n)
+    return (g.orderBy(*_by_minutes()).limit(n)
             .withColumn("watch_minutes", F.col("_minutes").cast("double")).drop("_minutes"))
 
 
 def top_titles(watch: DataFrame, content: DataFrame, n: int = 10) -> DataFrame:
     """F04 over raw sessions: per-title partials first, then the catalogue join."""
     t = title_totals(watch, content)
-    return (t.orderBy(F.col("_minutes").desc_nulls_last(), F.col("title").asc_nulls_last()).limit(n)
+    return (t.orderBy(*_by_minutes()).limit(n)
             .select("title", "genre", "content_type", "sessions", "avg_completion",
                     F.col("_minutes").cast("double").alias("watch_minutes")))
 

@@ -14,19 +14,27 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
+from ..session import checkpoint_dir
+from .kpi import enriched_sessions
 
 DEFAULT_COUNTRIES = 6
 DEFAULT_GENRES = 8
 
 
-def headline_kpis(enriched: DataFrame, watch: DataFrame, users: DataFrame) -> DataFrame:
+def headline_kpis(watch: DataFrame, users: DataFrame, content: DataFrame, plans: DataFrame) -> DataFrame:
     """revenue, hours, sessions, churn, completion and premium share as (metric, value) rows.
 
     Each group of numbers is a one-row aggregate over its own table; the rows are
-    stacked, not cross-joined.
+    stacked, not cross-joined.  Revenue and hours are those of sessions with a known
+    title, viewer and plan, from one row per (viewer, title), then per viewer.
     """
-    mart = enriched.agg((X.exact_sum("monthly_price_usd") / 30.0).alias("revenue"),
-                        X.hours("watch_duration").alias("watch_hours"))
+    per = (watch.groupBy("user_id", "content_id").agg(F.count(F.lit(1)).alias("_n"), F.sum("watch_duration").alias("_min"))
+           .join(content.select("content_id"), "content_id")
+           .groupBy("user_id").agg(F.sum("_n").alias("_n"), F.sum("_min").alias("_min")))
+    priced = (per.join(users.select("user_id", "subscription_type"), "user_id")
+              .join(F.broadcast(plans.select("subscription_type", "monthly_price_usd")), "subscription_type"))
+    mart = priced.agg((F.sum(F.col("monthly_price_usd") * F.col("_n")).cast("double") / 30.0).alias("revenue"),
+                      X.rolled_hours().alias("watch_hours"))
     sess = watch.agg(F.count(F.lit(1)).cast("double").alias("sessions"),
                      X.mean("completion_rate").alias("completion"))
     people = users.agg(X.share(F.col("churn_status") == "Churned").alias("churn"),
@@ -52,33 +60,36 @@ def minmax_trend(monthly: DataFrame, value: str = "watch_hours") -> DataFrame:
     return monthly.select("month", value, F.try_divide(F.col(value) - lo, hi - lo).alias("normalised"))
 
 
-def filtered_sessions(enriched: DataFrame, countries: Sequence[str] | None = None,
-                      genres: Sequence[str] | None = None, plans: Sequence[str] | None = None) -> DataFrame:
-    """sessions whose country, genre and plan are all selected.
+def filtered_sessions(watch: DataFrame, users: DataFrame, content: DataFrame, plans: DataFrame,
+                      countries: Sequence[str] | None = None, genres: Sequence[str] | None = None,
+                      subscription_types: Sequence[str] | None = None) -> DataFrame:
+    """enriched sessions whose country, genre and plan are all selected.
 
-    Explicit lists become ``isin`` filters.  Omitted country/genre lists default to
-    the first values in sorted order; both come from one distinct
-    (country, genre) aggregate, a table bounded by the two dimensions'
-    domains, and are applied as semi joins against at most 6 / 8 rows.  The
-    distinct table is cached so the defaults cost one pass over the sessions,
-    not one per list (its content is a set, so a recomputed block is identical).
+    Explicit lists become ``isin`` filters on users and content, ahead of the session
+    joins.  Omitted country and genre lists default to the first values, in sorted
+    order, that occur in the session mart: the distinct (country, genre) pairs of
+    (viewer, title) ids, a table bounded by the two domains, which is checkpointed so
+    that both lists read it.  The lists (at most 6 and 8 rows) filter the dimensions
+    before they meet the sessions.  With explicit lists the sessions are read once.
     """
-    out = enriched
+    if subscription_types is not None:
+        users = users.filter(F.col("subscription_type").isin(list(subscription_types)))
     if countries is None or genres is None:
-        pairs = enriched.select("country", "genre").distinct().cache()
-    for column, chosen, default_n in (("country", countries, DEFAULT_COUNTRIES),
-                                      ("genre", genres, DEFAULT_GENRES)):
-        if chosen is not None:
-            out = out.filter(F.col(column).isin(list(chosen)))
-        else:
-            first = (pairs.select(column).filter(F.col(column).isNotNull()).distinct()
-                     .orderBy(column).limit(default_n))
-            out = out.join(F.broadcast(first), column, "left_semi")
-    if plans is not None:
-        out = out.filter(F.col("subscription_type").isin(list(plans)))
-    else:
-        out = out.filter(F.col("subscription_type").isNotNull())     # every plan selected
-    return out
+        known = users.join(F.broadcast(plans.select("subscription_type")), "subscription_type", "left_semi")
+        checkpoint_dir(watch.sparkSession)
+        pairs = (watch.select("user_id", "content_id").distinct()
+                 .join(known.select("user_id", "country"), "user_id")
+                 .join(content.select("content_id", "genre"), "content_id")
+                 .select("country", "genre").distinct().checkpoint(eager=True))
+
+    def chosen(df: DataFrame, column: str, given: Sequence[str] | None, most: int) -> DataFrame:
+        if given is not None:
+            return df.filter(F.col(column).isin(list(given)))
+        first = (pairs.select(column).filter(F.col(column).isNotNull()).distinct().orderBy(column).limit(most))
+        return df.join(F.broadcast(first), column, "left_semi")
+
+    return enriched_sessions(watch, chosen(users, "country", countries, DEFAULT_COUNTRIES),
+                             chosen(content, "genre", genres, DEFAULT_GENRES), plans)
 
 
 def filtered_kpis(filtered: DataFrame) -> DataFrame:

@@ -16,22 +16,36 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import schema as S
+from ..functions import exprs as X
 from ..session import checkpoint_dir
 from . import ordered
 
 
-def standardize(features: DataFrame, cols=S.SEGMENT_FEATURES, suffix: str = "_z") -> DataFrame:
+# Partitions of model inputs: MLlib's seeded sampling depends on the layout, so it must not follow the cluster.
+MODEL_PARTITIONS = 32
+
+
+def fixed_layout(df: DataFrame, partitions: int = MODEL_PARTITIONS) -> DataFrame:
+    """``df`` hashed by user into a fixed number of partitions and sorted in them, so that seeded fits see
+    the same rows in the same places in every run and on every cluster.  At a larger size raise
+    ``partitions`` (about 1 million users each); models are reproducible for equal values of it."""
+    return df.repartition(partitions, "user_id").sortWithinPartitions("user_id")
+
+
+def standardize(features: DataFrame, cols=S.SEGMENT_FEATURES, suffix: str = "_z",
+                partitions: int = MODEL_PARTITIONS) -> DataFrame:
     """(x - mean) / population sd per column; 0 where the sd is 0.
 
-    Fit/transform, as MLlib's scalers do: the per-user features are checkpointed
-    once (reliably), one aggregate over that copy gives the 2 x len(cols)
+    Fit/transform, as MLlib's scalers do: the per-user features are laid out by
+    :func:`fixed_layout` and checkpointed once (reliably), one aggregate over that copy gives the 2 x len(cols)
     statistics (a single row of numbers to the driver), and the transform is a
     projection with those numbers as literals.  The fact table is scanned once.
     """
     checkpoint_dir(features.sparkSession)
-    base = features.checkpoint(eager=True)
+    base = fixed_layout(features, partitions).checkpoint(eager=True)
     st = base.agg(*[F.avg(c).alias(f"m_{c}") for c in cols],
                   *[F.stddev_pop(c).alias(f"s_{c}") for c in cols]).first()
     z = []
@@ -45,7 +59,7 @@ def standardize(features: DataFrame, cols=S.SEGMENT_FEATURES, suffix: str = "_z"
 
 
 def fit_segmentation(features: DataFrame, k: int = S.KMEANS_K, restarts: int = S.KMEANS_RESTARTS,
-                     seed: int = S.SEED, max_iter: int = 100, parallelism: int = 4):
+                     seed: int = S.SEED, max_iter: int = S.KMEANS_MAX_ITER, parallelism: int = 4):
     """P09 fit: k-means on the standardized features; the restart with the lowest cost wins.
 
     Returns ``(model, data)`` where ``data`` is the features with the assembled
@@ -113,13 +127,15 @@ _HASH_MOD = 2147483648          # 2^31
 _HASH_MUL = 2654435761          # Knuth's multiplicative constant
 
 
-def seeded_order(user_id: str, seed: int):
+def seeded_order(user_id: str, seed: int, integer_ids: bool = True):
     """A seeded shuffle key: ((id mod 2^31) * 2654435761 + seed) mod 2^31.
 
     Plain integer arithmetic that stays inside BIGINT, so any SQL engine computes
-    the same key (the split has an independent SQL oracle).
+    the same key (the split has an independent SQL oracle).  String ids enter by
+    their CRC-32; the order's tail is the id itself, so collisions only tie the key.
     """
-    return F.pmod(F.pmod(F.col(user_id), F.lit(_HASH_MOD)) * F.lit(_HASH_MUL) + F.lit(seed), F.lit(_HASH_MOD))
+    number = F.col(user_id) if integer_ids else F.crc32(F.col(user_id).cast("binary"))
+    return F.pmod(F.pmod(number, F.lit(_HASH_MOD)) * F.lit(_HASH_MUL) + F.lit(seed), F.lit(_HASH_MOD))
 
 
 def stratified_split(data: DataFrame, test_fraction: float = S.TEST_FRACTION, seed: int = S.SEED) -> DataFrame:
@@ -129,7 +145,8 @@ def stratified_split(data: DataFrame, test_fraction: float = S.TEST_FRACTION, se
     the first ceil(test_fraction * n_label) of each label are the test rows.  The
     order is a range-partitioned position, not a window per label.
     """
-    keyed = data.withColumn("_h", seeded_order("user_id", seed))
+    integer_ids = not isinstance(data.schema["user_id"].dataType, T.StringType)
+    keyed = data.withColumn("_h", seeded_order("user_id", seed, integer_ids))
     pos = ordered.with_position(keyed, ["label", "_h", "user_id"], "_pos")
     per_label = data.groupBy("label").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.orderBy("label").rowsBetween(Window.unboundedPreceding, -1)
@@ -145,6 +162,7 @@ def train_churn_model(train: DataFrame, seed: int = S.SEED):
     vec = VectorAssembler(inputCols=S.CHURN_FEATURES, outputCol="_features")
     rf = RandomForestClassifier(numTrees=S.RF_TREES, maxDepth=S.RF_MAX_DEPTH,
                                 minInstancesPerNode=S.RF_MIN_LEAF, featureSubsetStrategy="sqrt",
+                                maxBins=S.RF_MAX_BINS,
                                 seed=seed, featuresCol="_features", labelCol="label")
     return vec, rf.fit(vec.transform(train))
 
@@ -173,13 +191,12 @@ def roc_auc(scored: DataFrame) -> DataFrame:
     return sums.select(auc.alias("roc_auc"))
 
 
-def churn_pipeline(features: DataFrame, seed: int = S.SEED):
-    """Dataset, split, fit, test scores and AUC."""
+def churn_pipeline(features: DataFrame, seed: int = S.SEED, partitions: int = MODEL_PARTITIONS):
+    """Dataset, split, fit and test scores; :func:`roc_auc` of the scores is P14."""
     checkpoint_dir(features.sparkSession)
-    data = stratified_split(churn_dataset(features), seed=seed).checkpoint(eager=True)
+    data = fixed_layout(stratified_split(churn_dataset(features), seed=seed), partitions).checkpoint(eager=True)
     vec, model = train_churn_model(data.filter(~F.col("is_test")), seed)
-    test_scores = score(vec, model, data.filter(F.col("is_test")))
-    return data, (vec, model), test_scores, roc_auc(test_scores)
+    return data, (vec, model), score(vec, model, data.filter(F.col("is_test")))
 
 
 def run_metrics(auc: DataFrame, data: DataFrame, watch: DataFrame, users: DataFrame,
@@ -199,9 +216,9 @@ def segment_summary(segments: DataFrame) -> DataFrame:
     """users, minutes, mean of users' completion and revenue per segment."""
     return segments.groupBy("viewer_segment").agg(
         F.count("user_id").alias("users"),
-        F.sum(F.col("total_watch_minutes").cast("decimal(20,2)")).cast("double").alias("watch_minutes"),
-        F.avg("avg_completion").alias("avg_completion"),
-        F.sum("revenue").alias("revenue"))
+        F.sum(F.col("total_watch_minutes").cast(X.PROFILE_DECIMAL)).cast("double").alias("watch_minutes"),
+        X.mean(F.col("avg_completion").cast(X.PROFILE_DECIMAL)).alias("avg_completion"),
+        F.sum(F.col("revenue").cast(X.PROFILE_DECIMAL)).cast("double").alias("revenue"))
 
 
 def cluster_points(segments: DataFrame) -> DataFrame:

@@ -17,19 +17,26 @@ only be applied after the final sum.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import schema as S
 
 
+_SPREAD = 8
+
+
 def cowatch_pairs(watch: DataFrame, min_pairs: int = S.COWATCH_MIN_PAIRS, distinct_viewers: bool = False,
                   titles_per_slice: int = 1024) -> DataFrame:
     uc = watch.groupBy("user_id", "content_id").agg(F.count(F.lit(1)).alias("n"))
     if distinct_viewers:
         uc = uc.withColumn("n", F.lit(1).cast("bigint"))
-    # Titles per viewer: bounded by the catalogue, as uc holds one row per (viewer, title).
-    uc = uc.withColumn("_slices", F.ceil(F.count(F.lit(1)).over(Window.partitionBy("user_id")) / titles_per_slice))
+    # Titles per viewer, counted by an aggregate and joined back, so a heavy viewer's titles never meet in one
+    # task.  A second key spreads the join: the counts are repeated for each of its values.
+    spread = F.pmod(F.xxhash64("content_id"), F.lit(_SPREAD)).cast("int")
+    counts = (uc.groupBy("user_id").agg(F.ceil(F.count(F.lit(1)) / titles_per_slice).alias("_slices"))
+              .withColumn("_part", F.explode(F.array(*map(F.lit, range(_SPREAD))))))
+    uc = uc.withColumn("_part", spread).join(counts, ["user_id", "_part"]).drop("_part")
     left = uc.select("user_id", F.col("content_id").alias("content_a"), F.col("n").alias("n_a"),
                      F.pmod(F.xxhash64("content_id"), F.col("_slices")).alias("_slice"))
     right = uc.select("user_id", F.col("content_id").alias("content_b"), F.col("n").alias("n_b"),

@@ -80,8 +80,13 @@ def monthly(t: Star) -> DataFrame:
     return t._get("monthly", lambda: K.monthly_kpis_direct(t.watch, t.users, t.content, t.plans))
 
 
+def genre_performance(t: Star) -> DataFrame:
+    return t._get("genre_performance",
+                  lambda: C.genre_performance_direct(t.watch, t.users, t.content, t.plans))
+
+
 def filtered(t: Star) -> DataFrame:
-    return t._get("filtered", lambda: FD.filtered_sessions(enriched(t)))
+    return t._get("filtered", lambda: FD.filtered_sessions(t.watch, t.users, t.content, t.plans))
 
 
 # ---------------------------------------------------------------------------
@@ -123,8 +128,9 @@ register("q30_catalogue_saturation")(lambda t: C.catalogue_saturation(t.content)
 register("q31_high_rating_low_discovery")(lambda t: C.high_rating_low_discovery(t.watch, t.content))
 register("q32_monthly_genre_hours")(lambda t: C.monthly_genre_hours(t.watch, t.content))
 register("q33_country_language_affinity")(lambda t: A.country_language_affinity(t.watch, t.users, t.content))
-# FIXTURES.md §5: pair counts under binding E are dense, the fixture threshold is 80.
-register("q34_cowatch_pairs", "E")(lambda t: PR.cowatch_pairs(t.watch, 80))
+register("q34_cowatch_pairs", "E")(lambda t: PR.cowatch_pairs(t.watch))
+# Pair counts under binding E are dense; a variant whose threshold cuts some of them.
+register("q34_cowatch_pairs_min80", "E")(lambda t: PR.cowatch_pairs(t.watch, 80))
 register("q34_cowatch_viewer_pairs", "E")(lambda t: PR.cowatch_pairs(t.watch, 20, distinct_viewers=True))
 register("q35_churn_features")(lambda t: A.churn_features(t.watch, t.users, t.content))
 
@@ -132,8 +138,7 @@ register("q35_churn_features")(lambda t: A.churn_features(t.watch, t.users, t.co
 # Measures M01-M10, each under one grouping (the BI filter context)
 # ---------------------------------------------------------------------------
 
-register("m01_total_watch_hours")(lambda t: t.watch.join(t.content.select("content_id", "genre"), "content_id")
-                                  .groupBy("genre").agg(MS.total_watch_hours().alias("total_watch_hours")))
+register("m01_total_watch_hours")(lambda t: C.genre_hours(t.watch, t.content))
 register("m02_daily_active_users", "E")(lambda t: t.watch.groupBy(F.to_date("watch_time").alias("watch_date"))
                                         .agg(MS.active_users().alias("daily_active_users")))
 register("m03_average_completion")(lambda t: t.watch.groupBy("device_type")
@@ -143,14 +148,11 @@ register("m05_subscription_revenue")(lambda t: MS.users_with_plans(t.users, t.pl
                                      .agg(MS.subscription_revenue().alias("subscription_revenue")))
 register("m06_revenue_per_user")(lambda t: MS.users_with_plans(t.users, t.plans).groupBy("country")
                                  .agg(MS.revenue_per_user().alias("revenue_per_user")))
-register("m07_premium_adoption")(lambda t: t.users.groupBy("country")
+register("m07_premium_adoption")(lambda t: MS.one_row_per_user(t.users, "country").groupBy("country")
                                  .agg(MS.premium_adoption().alias("premium_adoption")))
 register("m08_engagement_score")(lambda t: t.watch.join(t.content.select("content_id", "genre"), "content_id")
                                  .groupBy("genre").agg(MS.engagement_score().alias("engagement_score")))
-register("m09_completion_retention_rate")(lambda t: t.watch.join(t.content.select("content_id", "genre"),
-                                                                 "content_id")
-                                          .groupBy("genre")
-                                          .agg(MS.completion_retention_rate().alias("completion_retention_rate")))
+register("m09_completion_retention_rate")(lambda t: C.completion_retention_by_genre(t.watch, t.content))
 register("m10_weekend_watch_share", "E")(lambda t: t.watch.groupBy("device_type")
                                          .agg(MS.weekend_watch_share().alias("weekend_watch_share")))
 
@@ -168,7 +170,7 @@ register("p02_enriched_sessions")(lambda t: enriched(t).select(
 register("p03_session_revenue")(lambda t: K.session_revenue(enriched(t)))
 register("p04_monthly_kpis")(lambda t: monthly(t))
 register("p05_monthly_growth")(lambda t: K.monthly_growth_mart(monthly(t)))
-register("p06_genre_performance")(lambda t: C.genre_performance(enriched(t)))
+register("p06_genre_performance")(lambda t: genre_performance(t))
 register("p07_user_features")(lambda t: features(t))
 register("p08_standardized_features")(lambda t: ML.standardize(features(t)).select(
     "user_id", *[c + "_z" for c in ML.S.SEGMENT_FEATURES]))
@@ -181,13 +183,12 @@ register("p12_stratified_split")(lambda t: ML.stratified_split(ML.churn_dataset(
 
 @register("p13_churn_scores")
 def _p13(t: Star) -> DataFrame:
-    _, _, scores, _ = ML.churn_pipeline(features(t))
-    return scores
+    return ML.churn_pipeline(features(t))[2]
 
 
 @register("p14_roc_auc")
 def _p14(t: Star) -> DataFrame:
-    return ML.churn_pipeline(features(t))[3]
+    return ML.roc_auc(ML.churn_pipeline(features(t))[2])
 
 
 register("p15_segment_recommendations")(lambda t: RC.segment_recommendations(enriched(t), segments(t), t.content))
@@ -199,26 +200,30 @@ register("p18_device_dedup")(lambda t: A.dedupe_devices(device_observations(t.wa
 
 @register("p19_run_metrics")
 def _p19(t: Star) -> DataFrame:
-    data, _, _, auc = ML.churn_pipeline(features(t))
-    return ML.run_metrics(auc, data, t.watch, t.users, t.content, t.reviews)
+    data, _, scores = ML.churn_pipeline(features(t))
+    return ML.run_metrics(ML.roc_auc(scores), data, t.watch, t.users, t.content, t.reviews)
 
 
 # ---------------------------------------------------------------------------
 # Dashboard feeds F01-F16
 # ---------------------------------------------------------------------------
 
-register("f01_headline_kpis")(lambda t: FD.headline_kpis(enriched(t), t.watch, t.users))
+register("f01_headline_kpis")(lambda t: FD.headline_kpis(t.watch, t.users, t.content, t.plans))
 register("f02_segment_summary")(lambda t: ML.segment_summary(segments(t)))
 register("f03_country_summary")(lambda t: A.country_summary(features(t), t.users))
 register("f04_top_titles")(lambda t: C.top_titles(t.watch, t.content, 10))
 register("f04_top_titles_filtered")(lambda t: C.top_titles_by_minutes(filtered(t), 20))
 register("f05_genre_share_of_max")(lambda t: FD.share_of_max(
-    C.genre_performance(enriched(t)), "genre", "watch_hours", "engagement_score", 8))
+    genre_performance(t), "genre", "watch_hours", "engagement_score", 8))
 register("f05_country_share_of_max")(lambda t: FD.share_of_max(
     A.country_summary(features(t), t.users), "country", "watch_minutes", "watch_minutes", 8))
 register("f06_minmax_trend")(lambda t: FD.minmax_trend(monthly(t)))
 register("f07_filtered_sessions")(lambda t: filtered(t).select(
     "session_id", "user_id", "country", "genre", "subscription_type", "watch_duration", "revenue_usd"))
+register("f07_filtered_sessions_chosen")(lambda t: FD.filtered_sessions(
+    t.watch, t.users, t.content, t.plans, ["NATION_1", "NATION_2", "NATION_9"], ["Brand#11", "Brand#3"],
+    ["Basic", "Premium"]).select(
+    "session_id", "user_id", "country", "genre", "subscription_type", "watch_duration", "revenue_usd"))
 register("f08_filtered_kpis")(lambda t: FD.filtered_kpis(filtered(t)))
 register("f09_revenue_mix")(lambda t: FD.revenue_mix(filtered(t)))
 register("f10_cluster_points")(lambda t: ML.cluster_points(segments(t)))
@@ -235,5 +240,5 @@ def _f14(t: Star) -> DataFrame:
                      "viewer_segment", "left_semi")
 
 
-register("f16_top_genres_by_score")(lambda t: C.top_genres_by_score(C.genre_performance(enriched(t)), 10))
-register("f16_top_genres_by_score_app")(lambda t: C.top_genres_by_score(C.genre_performance(enriched(t)), 12))
+register("f16_top_genres_by_score")(lambda t: C.top_genres_by_score(genre_performance(t), 10))
+register("f16_top_genres_by_score_app")(lambda t: C.top_genres_by_score(genre_performance(t), 12))

@@ -1,4 +1,8 @@
-"""Canonical star schema and the fixed values the analytics depend on."""
+"""Canonical star schema and the fixed values the analytics depend on.
+
+Ids are strings, as the source files have them; the operators only join, group and
+order by ids, so tables bound with integer ids (the test fixture) work alike.
+"""
 
 from __future__ import annotations
 
@@ -7,7 +11,7 @@ from decimal import Decimal
 from pyspark.sql import types as T
 
 USERS = T.StructType([
-    T.StructField("user_id", T.LongType()),
+    T.StructField("user_id", T.StringType()),
     T.StructField("age", T.IntegerType()),
     T.StructField("country", T.StringType()),
     T.StructField("subscription_type", T.StringType()),
@@ -25,7 +29,7 @@ SUBSCRIPTION_PLANS = T.StructType([
 ])
 
 CONTENT_LIBRARY = T.StructType([
-    T.StructField("content_id", T.LongType()),
+    T.StructField("content_id", T.StringType()),
     T.StructField("title", T.StringType()),
     T.StructField("content_type", T.StringType()),
     T.StructField("genre", T.StringType()),
@@ -39,10 +43,10 @@ CONTENT_LIBRARY = T.StructType([
 
 WATCH_HISTORY = T.StructType([
     T.StructField("session_id", T.StringType()),
-    T.StructField("user_id", T.LongType()),
-    T.StructField("content_id", T.LongType()),
+    T.StructField("user_id", T.StringType()),
+    T.StructField("content_id", T.StringType()),
     T.StructField("watch_time", T.TimestampNTZType()),
-    T.StructField("completion_rate", T.DecimalType(4, 2)),
+    T.StructField("completion_rate", T.DecimalType(10, 6)),
     T.StructField("device_type", T.StringType()),
     T.StructField("watch_duration", T.DecimalType(18, 2)),
 ])
@@ -50,16 +54,18 @@ WATCH_HISTORY = T.StructType([
 REVIEWS = T.StructType([
     T.StructField("review_id", T.StringType()),
     T.StructField("session_id", T.StringType()),
-    T.StructField("user_id", T.LongType()),
-    T.StructField("content_id", T.LongType()),
+    T.StructField("user_id", T.StringType()),
+    T.StructField("content_id", T.StringType()),
     T.StructField("rating", T.IntegerType()),
+    T.StructField("review_text", T.StringType()),
     T.StructField("review_date", T.DateType()),
 ])
 
 DEVICES = T.StructType([
     T.StructField("device_id", T.StringType()),
-    T.StructField("user_id", T.LongType()),
+    T.StructField("user_id", T.StringType()),
     T.StructField("device_type", T.StringType()),
+    T.StructField("os", T.StringType()),
     T.StructField("last_active_date", T.DateType()),
 ])
 
@@ -129,6 +135,11 @@ TEST_FRACTION = 0.25
 SEED = 42
 KMEANS_K = 5
 KMEANS_RESTARTS = 10
+KMEANS_MAX_ITER = 300
+# Split candidates per continuous feature of the forest.  Candidates come from quantiles of a row
+# sample that MLlib draws, of max(RF_MAX_BINS^2, 10000) rows: the bound on what the fit looks at for
+# candidate thresholds; the trees themselves see every row.
+RF_MAX_BINS = 32
 FORECAST_MONTHS = 6
 
 SEGMENT_FEATURES = [

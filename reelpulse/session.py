@@ -2,8 +2,8 @@
 
 On a cluster the session is created by the platform; ``spark.checkpoint.dir``
 names a shared folder there and is only read.  Tests and local benches run
-without one, so :func:`checkpoint_dir` sets a scratch folder *only* when the
-setting is absent.
+without one, so :func:`checkpoint_dir` sets a scratch folder when the setting is
+absent and the master is local, and raises on any other master.
 """
 
 from __future__ import annotations
@@ -53,8 +53,9 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
 def checkpoint_dir(spark: SparkSession) -> str | None:
     """The shared folder for reliable checkpoints and written intermediate tables.
 
-    Reads ``spark.checkpoint.dir`` from the session; only when it is unset (local
-    tests) a fresh scratch folder is created and registered.
+    Reads ``spark.checkpoint.dir`` from the session.  When it is unset, a local
+    master gets a fresh scratch folder; any other master is an error, as a
+    machine-local folder would lose parts or not be found by other machines.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     try:
@@ -62,6 +63,9 @@ def checkpoint_dir(spark: SparkSession) -> str | None:
     except Exception:          # a remote session: the server owns the checkpoint folder
         return configured
     configured = configured or sc.getCheckpointDir()
+    if not configured and not sc.master.startswith("local"):
+        raise RuntimeError(f"spark.checkpoint.dir is unset on master {sc.master}: set it to a folder that all "
+                           "machines share")
     if not configured:
         configured = tempfile.mkdtemp(prefix="reelpulse-ckpt-")
     if sc.getCheckpointDir() is None:

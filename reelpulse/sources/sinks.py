@@ -63,16 +63,18 @@ def build_marts(spark: SparkSession, sf_dir: str, out_dir: str, with_models: boo
                                              os.path.join(out_dir, "review_sentiment")),
            "watch_time_forecast": write_parquet(FC.watch_time_forecast(FC.monthly_minutes(enriched)),
                                                 os.path.join(out_dir, "watch_time_forecast"))}
-    features = A.user_features(enriched)
     if with_models:
+        # Written once: the clustering and the forest both read it.
+        out["user_features"] = write_parquet(A.user_features(enriched), os.path.join(out_dir, "user_features"))
+        features = spark.read.parquet(out["user_features"])
         kmeans, data = ML.fit_segmentation(features)
         segments = ML.name_segments(kmeans.transform(data).drop("_features"))
         out["viewer_segments"] = write_parquet(segments, os.path.join(out_dir, "viewer_segments"))
         segments = spark.read.parquet(out["viewer_segments"])
         out["recommendation_preview"] = write_csv(
             RC.segment_recommendations(enriched, segments, t.content), os.path.join(out_dir, "recommendation_preview"))
-        data, (vec, rf), _, auc = ML.churn_pipeline(features)
-        out["model_metrics"] = write_json(ML.run_metrics(auc, data, t.watch, t.users, t.content, t.reviews),
+        data, (vec, rf), scores = ML.churn_pipeline(features)
+        out["model_metrics"] = write_json(ML.run_metrics(ML.roc_auc(scores), data, t.watch, t.users, t.content, t.reviews),
                                           os.path.join(out_dir, "model_metrics"))
         kmeans.write().overwrite().save(os.path.join(out_dir, "models", "viewer_segmentation_kmeans"))
         rf.write().overwrite().save(os.path.join(out_dir, "models", "churn_prediction_random_forest"))
@@ -80,7 +82,7 @@ def build_marts(spark: SparkSession, sf_dir: str, out_dir: str, with_models: boo
     return out
 
 
-def materialize_star(spark: SparkSession, sf_dir: str, database: str = "reelpulse", buckets: int = 64,
+def materialize_star(spark: SparkSession, sf_dir: str, database: str = "reelpulse", *, buckets: int,
                      binding: str = "S") -> None:
     """Write the bound star schema once as catalog tables for repeated querying.
 
@@ -88,8 +90,10 @@ def materialize_star(spark: SparkSession, sf_dir: str, database: str = "reelpuls
     with the same bucket count, so every viewer join (Q01, Q11, Q15, Q18, Q27,
     Q33, Q35, the marts) reads co-located buckets instead of shuffling the fact
     table again; reviews are bucketed the same way.  Content and plans are
-    written plain (joined by title id or broadcast).  ``buckets`` should give
-    bucket files of a few hundred MB at the target size.
+    written plain (joined by title id or broadcast).  Choose ``buckets`` so that
+    bucket files have a few hundred MB at the target size.  A viewer with a large
+    share of all sessions is one bucket, which no later join splits: for such data
+    query the source tables, whose operators reduce sessions per viewer first.
     """
     from .bindings import load_star
     t = load_star(spark, sf_dir, binding)

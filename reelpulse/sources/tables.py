@@ -6,6 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import schema as S
 
@@ -39,17 +40,25 @@ def read_table(spark: SparkSession, sf_dir: str, name: str, refresh: bool = Fals
 def read_canonical(spark: SparkSession, path: str, table: str, fmt: str = "csv") -> DataFrame:
     """Read a canonical table with its fixed schema (never inferred).
 
-    CSV files carry a header; timestamps are ``yyyy-MM-dd HH:mm:ss`` and dates
-    ``yyyy-MM-dd``, as the reference writes them.
+    CSV files carry a header, in any order and letter case; other columns than the table's are an error.
+    Timestamps are ``yyyy-MM-dd HH:mm:ss`` and dates ``yyyy-MM-dd``.
     """
     schema = S.CANONICAL[table]
     if fmt == "csv":
-        return (spark.read.schema(schema)
-                .option("header", True)
-                .option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss")
-                .option("dateFormat", "yyyy-MM-dd")
-                .option("mode", "FAILFAST")
-                .csv(path))
+        # The header says which column is where; names match without regard to case (User_ID, user_id).
+        header = spark.read.option("header", True).csv(path).columns
+        wanted = {f.name: f for f in schema.fields}
+        found = [c.strip().lower() for c in header]
+        if sorted(found) != sorted(wanted):
+            raise ValueError(f"{path}: columns {header} are not those of {table}, {list(wanted)}")
+        in_file = T.StructType([T.StructField(c, wanted[name].dataType) for c, name in zip(header, found)])
+        df = (spark.read.schema(in_file)
+              .option("header", True)
+              .option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss")
+              .option("dateFormat", "yyyy-MM-dd")
+              .option("mode", "FAILFAST")
+              .csv(path))
+        return df.toDF(*found).select(*wanted)
     if fmt == "json":
         return spark.read.schema(schema).json(path)
     if fmt == "parquet":

@@ -62,8 +62,8 @@ def test_churn_feature_order(features):
 
 
 def test_auc_rank_sum_equals_evaluator(spark, features):
-    data, _, scores, auc = ML.churn_pipeline(features)
-    ours = auc.collect()[0][0]
+    _, _, scores = ML.churn_pipeline(features)
+    ours = ML.roc_auc(scores).collect()[0][0]
     ev = BinaryClassificationEvaluator(rawPredictionCol="score", labelCol="label", metricName="areaUnderROC",
                                        numBins=0)
     theirs = ev.evaluate(scores.withColumn("label", F.col("label").cast("double")))
@@ -87,7 +87,34 @@ def test_recommendations_shape(star, segments):
 
 
 def test_run_metrics_row(star, features):
-    data, _, _, auc = ML.churn_pipeline(features)
-    row = ML.run_metrics(auc, data, star.watch, star.users, star.content, star.reviews).collect()[0]
+    data, _, scores = ML.churn_pipeline(features)
+    row = ML.run_metrics(ML.roc_auc(scores), data, star.watch, star.users, star.content, star.reviews).collect()[0]
     assert row.sessions == star.watch.count() and row.users == star.users.count()
     assert list(row.model_features) == S.CHURN_FEATURES
+
+
+def test_models_do_not_depend_on_partitions(spark, features):
+    """Equal segments and AUC in two runs and for 4 and 7 shuffle partitions."""
+    def results():
+        segmented = ML.viewer_segments(features, restarts=2).select("user_id", "viewer_segment").collect()
+        auc = ML.roc_auc(ML.churn_pipeline(features)[2]).first()[0]
+        return sorted((r.user_id, r.viewer_segment) for r in segmented), auc
+
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        first = results()
+        spark.conf.set("spark.sql.shuffle.partitions", "7")
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        assert results() == first
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        assert results() == first
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_split_of_string_ids(spark):
+    rows = [(f"U{100000 + i}", i % 4 == 0) for i in range(203)]
+    data = spark.createDataFrame(rows, "user_id string, churned boolean").selectExpr("user_id", "cast(churned as int) label")
+    got = ML.stratified_split(data).groupBy("label").agg(F.count("*").alias("n"), F.sum(F.col("is_test").cast("int")).alias("t"))
+    assert all(r.t == -(-r.n // 4) for r in got.collect())

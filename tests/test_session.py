@@ -1,5 +1,7 @@
 """The checkpoint folder comes from the session; a scratch one only when unset."""
 
+import pytest
+
 from reelpulse.session import checkpoint_dir
 
 
@@ -12,8 +14,9 @@ class _Conf:
 
 
 class _Context:
-    def __init__(self, current=None):
+    def __init__(self, current=None, master="local[2]"):
         self.current = current
+        self.master = master
 
     def getCheckpointDir(self):
         return self.current
@@ -23,9 +26,9 @@ class _Context:
 
 
 class _Session:
-    def __init__(self, conf, current=None):
+    def __init__(self, conf, current=None, master="local[2]"):
         self.conf = _Conf(conf)
-        self.sparkContext = _Context(current)
+        self.sparkContext = _Context(current, master)
 
 
 def test_uses_the_configured_shared_folder():
@@ -44,3 +47,11 @@ def test_scratch_folder_only_when_unset():
     s = _Session({})
     path = checkpoint_dir(s)
     assert path and s.sparkContext.current == path
+
+
+def test_a_cluster_without_a_shared_folder_is_an_error():
+    for master in ("yarn", "spark://host:7077", "k8s://https://host"):
+        with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+            checkpoint_dir(_Session({}, master=master))
+    shared = _Session({"spark.checkpoint.dir": "/mnt/shared/ckpt"}, master="yarn")
+    assert checkpoint_dir(shared) == "/mnt/shared/ckpt"
