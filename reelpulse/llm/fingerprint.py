@@ -33,34 +33,38 @@ FILTER_BYTES, PER_FILTER, HASHES = 256, 160, 5
 CENTRE, SPREAD, LEAST = 3.75, 0.25, 1.5
 BITS = FILTER_BYTES * 8
 _U = np.uint64
+_UNIT = 1 << 24
 _C = np.arange(WINDOW + 2, dtype=np.float64)
-_CLOGC = _C * np.log2(np.maximum(_C, 1))
+_CLOGC = np.rint(_C * np.log2(np.maximum(_C, 1)) * _UNIT).astype(np.int64)
+_LEAVE = np.concatenate([[0], _CLOGC[:-1] - _CLOGC[1:]])       # by the count of the byte that leaves
+_ENTER = np.append(_CLOGC[1:] - _CLOGC[:-1], 0)                # by the count, before, of the byte that enters
 _BASE = _U(0x100000001B3)
 _BLOCK = 1 << 20
 
 
 def entropies(raw: np.ndarray) -> np.ndarray:
-    """Entropy in bits of every window of WINDOW bytes."""
+    """Entropy in bits of every window of WINDOW bytes.
+
+    Sums are integers in units of 2^-24, so a window's entropy depends on its bytes alone, wherever it lies.
+    """
     n = len(raw)
     if n < WINDOW:
         return np.empty(0)
-    # Ranks of equal bytes: occurrences of one byte value are consecutive after a stable sort.
-    order = np.argsort(raw, kind="stable")
-    line = raw[order].astype(np.int64) * (n + 2 * WINDOW) + order        # ascending
-    ahead = np.empty(n, np.int64)                                        # equal bytes in [j, j + WINDOW)
-    ahead[order] = np.searchsorted(line, line + WINDOW) - np.arange(n)
-    before = np.empty(n, np.int64)                                       # equal bytes in (j - WINDOW, j)
-    before[order] = np.arange(n) - np.searchsorted(line, line - (WINDOW - 1))
-    leave, enter = ahead[:n - WINDOW], before[WINDOW:]
-    change = _CLOGC[leave - 1] - _CLOGC[leave] + _CLOGC[enter + 1] - _CLOGC[enter]
-    first = _CLOGC[np.bincount(raw[:WINDOW], minlength=256)].sum()
-    total = first + np.concatenate([[0.0], np.cumsum(change)])
-    return np.log2(WINDOW) - total / WINDOW
+    ahead, before = np.ones(n, np.uint8), np.zeros(n, np.uint8)     # equal bytes in [j, j + WINDOW), (j - WINDOW, j)
+    for lag in range(1, WINDOW):
+        same = (raw[lag:] == raw[:-lag]).view(np.uint8)
+        ahead[:-lag] += same
+        before[lag:] += same
+    change = _LEAVE[ahead[:n - WINDOW]] + _ENTER[before[WINDOW:]]
+    total = np.empty(n - WINDOW + 1, np.int64)
+    total[0] = _CLOGC[np.bincount(raw[:WINDOW], minlength=256)].sum()
+    np.cumsum(change, out=total[1:])
+    total[1:] += total[0]
+    return np.log2(WINDOW) - total / (WINDOW * _UNIT)
 
 
 def ranks(entropy: np.ndarray) -> np.ndarray:
     """Popularity of entropies, 0 (improbable) to 1000; 2000 for windows that cannot be features."""
-    entropy = np.round(entropy, 6)
     rank = np.rint(1000 * np.exp(-((entropy - CENTRE) / SPREAD) ** 2 / 2)).astype(np.int64)
     return np.where(entropy < LEAST, 2000, rank)
 
@@ -96,12 +100,12 @@ def _each_once(hashes: np.ndarray) -> np.ndarray:
     return hashes[np.sort(first)]
 
 
-def features(text: str) -> np.ndarray:
+def features(text: str, rank: np.ndarray | None = None) -> np.ndarray:
     """Hashes of a text's features, each once, in order of their first place.
 
     Windows of equal content add up their counts, so that periodic text has features too.  Texts of fewer than
     SHORT characters, too short for enough runs, have every window of SHORT_WINDOW bytes as a feature, and one
-    shorter than that has the whole text.
+    shorter than that has the whole text.  ``rank``: the ranks of the text's windows, if they are known.
     """
     data = text.encode("utf-8", "surrogatepass")
     raw = np.frombuffer(data, np.uint8)
@@ -109,23 +113,27 @@ def features(text: str) -> np.ndarray:
         return np.frombuffer(hashlib.sha1(data).digest()[:8], "<u8") if data else np.empty(0, np.uint64)
     if len(text) < SHORT:
         return _each_once(window_hashes(raw, np.arange(len(raw) - SHORT_WINDOW + 1), SHORT_WINDOW))
-    places, counts = [], []
-    for start in range(0, len(raw), _BLOCK):          # blocks overlap, so that every run of windows is whole
-        first = max(0, start - 2 * RUN)
-        at, times = picked(ranks(entropies(raw[first:start + _BLOCK + WINDOW + 2 * RUN])))
-        at = at + first
-        own = (at >= start) & (at < start + _BLOCK)
-        places.append(at[own])
-        counts.append(times[own])
-    hashes = window_hashes(raw, np.concatenate(places), WINDOW)
+    if rank is not None:
+        place, count = picked(rank)
+    else:
+        places, counts = [], []
+        for start in range(0, len(raw), _BLOCK):      # blocks overlap, so that every run of windows is whole
+            first = max(0, start - 2 * RUN)
+            at, times = picked(ranks(entropies(raw[first:start + _BLOCK + WINDOW + 2 * RUN])))
+            at = at + first
+            own = (at >= start) & (at < start + _BLOCK)
+            places.append(at[own])
+            counts.append(times[own])
+        place, count = np.concatenate(places), np.concatenate(counts)
+    hashes = window_hashes(raw, place, WINDOW)
     _, first, group = np.unique(hashes, return_index=True, return_inverse=True)
-    often = np.bincount(group, np.concatenate(counts)) >= THRESHOLD
+    often = np.bincount(group, count) >= THRESHOLD
     return hashes[np.sort(first[often])]
 
 
-def chain(text: str | None) -> np.ndarray:
+def chain(text: str | None, rank: np.ndarray | None = None) -> np.ndarray:
     """The Bloom filters of a text, one row of FILTER_BYTES bytes each; a text without features has none."""
-    found = features(text or "")
+    found = features(text or "", rank)
     bits = np.zeros(((len(found) + PER_FILTER - 1) // PER_FILTER, BITS), bool)
     row = np.arange(len(found)) // PER_FILTER
     for i in range(HASHES):
@@ -133,6 +141,32 @@ def chain(text: str | None) -> np.ndarray:
     return np.packbits(bits, axis=1)
 
 
+def chains(texts: list[str]) -> list[np.ndarray]:
+    """:func:`chain` of every text; the windows of texts of common length are ranked together, in blocks."""
+    out: list[np.ndarray | None] = [None] * len(texts)
+    held: list[tuple[int, int]] = []
+    joined = bytearray()
+
+    def close() -> None:
+        rank = ranks(entropies(np.frombuffer(bytes(joined), np.uint8)))
+        for (i, start), end in zip(held, [*(s for _, s in held[1:]), len(joined)]):
+            out[i] = chain(texts[i], rank[start:end - WINDOW + 1])
+        held.clear()
+        joined.clear()
+
+    for i, text in enumerate(texts):
+        if len(text) < SHORT or len(text) > _BLOCK // 4:
+            out[i] = chain(text)
+            continue
+        held.append((i, len(joined)))
+        joined += text.encode("utf-8", "surrogatepass")
+        if len(joined) > _BLOCK // 2:
+            close()
+    if held:
+        close()
+    return out
+
+
 def encode(filters: np.ndarray) -> str:
     """A fingerprint as text: the filters in base 64."""
     return base64.b64encode(filters.tobytes()).decode("ascii")
@@ -177,16 +211,16 @@ def _compare(batches):
     only ends its slice."""
     previous = None
     for part in rows_of(batches, 1 << 20):
-        out = []
-        for doc_id, text, extra in zip(*(part.column(i).to_pylist() for i in range(3))):
-            current = (doc_id, text, chain(text))
+        ids, texts, extra = (part.column(i).to_pylist() for i in range(3))
+        pairs = []                                            # (a row, the row after it)
+        for row in zip(ids, texts, chains(texts), extra):
             if previous is not None:
-                changed = edited(previous[1], text)
-                new = chain(changed)
-                out.append((previous[0], len(previous[1]), hashlib.sha256(changed.encode("utf-8", "surrogatepass")).hexdigest(),
-                            encode(previous[2]), encode(new), likeness(previous[2], new),
-                            likeness(previous[2], current[2])))
-            previous = None if extra else current
+                pairs.append((previous, row))
+            previous = None if row[3] else row
+        changed = [edited(a[1], b[1]) for a, b in pairs]
+        out = [(a[0], len(a[1]), hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest(), encode(a[2]),
+                encode(new), likeness(a[2], new), likeness(a[2], b[2]))
+               for (a, b), text, new in zip(pairs, changed, chains(changed))]
         if out:
             kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)],
