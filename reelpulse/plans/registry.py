@@ -204,6 +204,39 @@ def _p19(t: Star) -> DataFrame:
     return ML.run_metrics(ML.roc_auc(scores), data, t.watch, t.users, t.content, t.reviews)
 
 
+# ---------------------------------------------------------------------------
+# The model-driven operators' own logic over a given clustering and a given score, which SQL can express:
+# segments are user_id modulo the number of segments, the score is the weekend share.
+# ---------------------------------------------------------------------------
+
+def given_segments(t: Star) -> DataFrame:
+    number = F.pmod(F.col("user_id"), F.lit(ML.S.KMEANS_K)).cast("int")
+    return t._get("given_segments", lambda: ML.name_segments(features(t).withColumn("viewer_segment_id", number)))
+
+
+def given_scores(t: Star) -> DataFrame:
+    return features(t).select("user_id", (F.col("churn_status") == "Churned").cast("int").alias("label"),
+                              F.col("weekend_share").alias("score"))
+
+
+def first_segment(recs: DataFrame) -> DataFrame:
+    """The recommendations of the first segment name in sorted order, as a selector's default."""
+    return recs.join(recs.select("viewer_segment").distinct().orderBy("viewer_segment").limit(1),
+                     "viewer_segment", "left_semi")
+
+
+register("p10_viewer_segments_given")(lambda t: given_segments(t))
+register("p14_roc_auc_given")(lambda t: ML.roc_auc(given_scores(t)))
+register("p15_segment_recommendations_given")(lambda t: RC.segment_recommendations(
+    enriched(t), given_segments(t), t.content))
+register("p19_run_metrics_given")(lambda t: ML.run_metrics(
+    ML.roc_auc(given_scores(t)), given_scores(t), t.watch, t.users, t.content, t.reviews)
+    .withColumn("model_features", F.array_join("model_features", ",")))
+register("f02_segment_summary_given")(lambda t: ML.segment_summary(given_segments(t)))
+register("f10_cluster_points_given")(lambda t: ML.cluster_points(given_segments(t)))
+register("f14_segment_recommendations_one_given")(lambda t: first_segment(RC.segment_recommendations(
+    enriched(t), given_segments(t), t.content)))
+
 # ---------------------------------------------------------------------------
 # Dashboard feeds F01-F16
 # ---------------------------------------------------------------------------
@@ -234,10 +267,7 @@ register("f13_churn_counts_by_plan")(lambda t: A.churn_counts_by_plan(t.users))
 
 @register("f14_segment_recommendations_one")
 def _f14(t: Star) -> DataFrame:
-    recs = RC.segment_recommendations(enriched(t), segments(t), t.content)
-    # The first segment name in sorted order, as the selector's default.
-    return recs.join(recs.select("viewer_segment").distinct().orderBy("viewer_segment").limit(1),
-                     "viewer_segment", "left_semi")
+    return first_segment(RC.segment_recommendations(enriched(t), segments(t), t.content))
 
 
 register("f16_top_genres_by_score")(lambda t: C.top_genres_by_score(genre_performance(t), 10))
