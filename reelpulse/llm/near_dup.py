@@ -16,8 +16,8 @@ those, at most 2 * TABLE of them remain after their counts are added, and these
 *Candidates.*  Equal texts are one node.  First every member of a bucket is compared with the bucket's
 smallest node.  Then, in buckets of up to SMALL nodes, all pairs that are not yet in one class are compared.
 In larger buckets one node per class is compared: all pairs of up to SMALL classes, else each class with three
-heads; this is repeated with other nodes and heads until a round finds no new link.  No bucket is emitted as
-all its pairs.
+heads; this is repeated, with other nodes and heads, in those buckets of which a round has joined classes,
+until none is left.  No bucket is emitted as all its pairs.
 """
 
 from __future__ import annotations
@@ -274,6 +274,9 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
         joined = (new.join(of_a, "a", "left").join(of_b, "b", "left")
                   .select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b")).filter("a != b"))
         merged = components(joined).select(F.col("key").alias("label"), F.col("label").alias("to"))
+        # Small buckets are done; of the larger ones, only those with joined classes are looked at again.
+        touched = told.join(merged.select("label").hint("merge"), "label", "left_semi").select("bucket").distinct()
+        members = saved(members.filter(F.col("n") > SMALL).join(touched.hint("merge"), "bucket", "left_semi"))
         ends = new.select(F.col("a").alias("key")).union(new.select("b")).distinct()
         fresh = ends.join(labels.hint("merge"), "key", "left_anti").withColumn("label", F.col("key"))
         labels = saved(labels.union(fresh).join(merged.hint("merge"), "label", "left")
