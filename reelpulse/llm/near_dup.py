@@ -258,14 +258,14 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
                   .agg(F.min(F.struct(F.xxhash64(F.lit(again), "key"), "key")).alias("one"))
                   .select("bucket", "label", F.col("one.key").alias("key")))
         counted = chosen.groupBy("bucket").agg(F.count(F.lit(1)).alias("m"))
-        chosen = saved(chosen.join(counted.hint("merge"), "bucket"))
+        chosen = chosen.join(counted.hint("merge"), "bucket")
         some = chosen.filter(F.col("m") <= SMALL).drop("m")
         pairwise = some if again else few.select("bucket", "label", "key").union(some)
         other = pairwise.select("bucket", F.col("label").alias("label_2"), F.col("key").alias("key_2"))
         pairs = (pairwise.join(other.hint("merge"), "bucket").filter((F.col("label") != F.col("label_2")) & (F.col("key") < F.col("key_2")))
                  .select(F.col("key").alias("a"), F.col("key_2").alias("b")))
         pairs = pairs.union(_ordered(_heads(chosen.filter(F.col("m") > SMALL), again), "key", "head")).distinct()
-        new = saved(verified(saved(pairs), texts, sent, similarity))
+        new = saved(verified(pairs, texts, sent, similarity))
         again += 1
         if new.isEmpty():
             break

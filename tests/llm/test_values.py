@@ -357,3 +357,18 @@ def test_nothing_else_imports_the_subpackage():
             for name in names:
                 if name.endswith(".py"):
                     assert "llm" not in open(os.path.join(folder, name)).read(), name
+
+
+def test_components_of_chains_stars_and_random_edges(spark):
+    from reelpulse.llm.components import components
+
+    rng = random.Random(11)
+    edges = [(i, i + 1) for i in range(100, 160)] + [(200, i) for i in range(201, 230)] + [(300, 300)]
+    edges += [(rng.randrange(400, 480), rng.randrange(400, 480)) for _ in range(45)]
+    label = {x: x for e in edges for x in e}
+    for _ in label:
+        for a, b in edges:
+            label[a] = label[b] = min(label[a], label[b])
+    got = components(spark.createDataFrame(edges * 2, "a bigint, b bigint"))
+    assert {r.key: r.label for r in got.collect()} == label
+    assert components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
