@@ -37,6 +37,7 @@ BANDS, ROWS = 8, 3
 TABLE = 250_000
 BLOCK_DOCS = 8192
 BLOCK_SHINGLES = 8_000_000
+BLOCK_BYTES = 32 << 20
 SMALL = 32
 SMOOTHING = 2.0
 _U = np.uint64
@@ -151,9 +152,11 @@ def _table(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 def document_frequencies(texts: DataFrame) -> Weights:
     """The weights of a corpus; ``texts`` has one column, one row per document."""
-    n_docs = texts.count()
-    # Few, large blocks: in a small one every shingle has more than the floor's share.
-    texts = texts.coalesce(max(1, n_docs // BLOCK_DOCS))
+    size = texts.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length(texts.columns[0])).alias("bytes")).first()
+    n_docs = size["n"]
+    # Partitions that fill a block, by documents or by bytes: in a small one every shingle has more than the
+    # floor's share.
+    texts = texts.coalesce(max(1, n_docs // BLOCK_DOCS, (size["bytes"] or 0) // BLOCK_BYTES))
     first = saved(_block_counts(texts, None).groupBy("hash").agg(F.sum("n").alias("n")))
     mass = first.filter("hash IS NULL").agg(F.sum("n")).first()[0] or 0
     floor = max(1.0, mass / TABLE)
