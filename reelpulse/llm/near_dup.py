@@ -17,7 +17,13 @@ those, at most 2 * TABLE of them remain after their counts are added, and these
 smallest node.  Then, in buckets of up to SMALL nodes, all pairs that are not yet in one class are compared.
 In larger buckets one node per class is compared: all pairs of up to SMALL classes, else each class with three
 heads; this is repeated, with other nodes and heads, in those buckets of which a round has joined classes,
-until none is left.  No bucket is emitted as all its pairs.
+until none is left.  These rounds only shrink the work: at last every large bucket that still has several
+classes is settled exactly.  A text's prefix is its leading shingles, in one order for all texts, until what is
+left weighs less than the threshold's share of it; two texts as similar as the threshold have their first common
+shingle in both prefixes.  All pairs of different classes with a common prefix shingle are compared, except
+those for which the weights from that shingle on cannot reach the threshold.  Rare shingles come first in the
+order, so that few texts share one; the order is by counts in SLOTS hashed slots, which changes the work and
+never the result.
 """
 
 from __future__ import annotations
@@ -39,6 +45,7 @@ BLOCK_DOCS = 8192
 BLOCK_SHINGLES = 8_000_000
 BLOCK_BYTES = 32 << 20
 SMALL = 32
+SLOTS = 1 << 18
 SMOOTHING = 2.0
 _U = np.uint64
 _SEEDS = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * _U(0x9E3779B97F4A7C15))
@@ -226,6 +233,79 @@ def _heads(members: DataFrame, salt: int) -> DataFrame:
     return members.select("bucket", "key").join(heads.hint("merge"), "bucket")
 
 
+def _slot_counts(texts: DataFrame) -> np.ndarray:
+    """About how many rows of (key, text) have the shingles of each of SLOTS hashed slots."""
+
+    def run(batches):
+        hasher, total = Hasher(), np.zeros(SLOTS, np.int64)
+        for part in rows_of(batches):
+            for text in part.column(1).to_pylist():
+                total += np.bincount((hasher.shingles(text)[0] % _U(SLOTS)).astype(np.int64), minlength=SLOTS)
+        at = np.flatnonzero(total)
+        for i in range(0, len(at), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(at[i:i + 100_000]), pa.array(total[at[i:i + 100_000]])],
+                                             names=["slot", "n"])
+
+    got = texts.mapInArrow(run, "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(SLOTS, np.int64)
+    counts[got.column("slot").to_numpy()] = got.column("n").to_numpy()
+    return counts
+
+
+def prefix(hashes: np.ndarray, weights: np.ndarray, counts: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of the prefix of a weighted set, weight of the set from each of them on)."""
+    order = np.lexsort((hashes, counts[(hashes % _U(SLOTS)).astype(np.int64)]))
+    rest = np.cumsum(weights[order][::-1])[::-1]
+    size = int((rest >= similarity * rest[0] * (1 - 1e-9)).sum()) if len(rest) else 0
+    return hashes[order[:size]], rest[:size]
+
+
+def _across(nodes: DataFrame, texts: DataFrame, sent: Broadcast, similarity: float) -> DataFrame:
+    """The pairs (a, b) of nodes (key, label) of different labels that can be as similar as ``similarity``."""
+    held = nodes.join(texts.hint("merge"), "key").select("key", "text", "label")
+    order = nodes.sparkSession.sparkContext.broadcast(_slot_counts(held.select("key", "text")))     # SLOTS numbers
+
+    def run(batches):
+        hasher, weigh, counts = Hasher(), sent.value.of, order.value
+        for part in rows_of(batches, 1 << 20):
+            found, left, row, whole = [], [], [], []
+            for i, text in enumerate(part.column(1).to_pylist()):
+                h, n = hasher.shingles(text)
+                first, rest = prefix(h, weigh(h, n), counts, similarity)
+                found.append(first)
+                left.append(rest)
+                row.append(np.full(len(first), i))
+                whole.append(np.full(len(first), rest[0] if len(rest) else 0.0))
+            at = pa.array(np.concatenate(row))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate(found).view(np.int64)), part.column(0).take(at), part.column(2).take(at),
+                 pa.array(np.concatenate(left)), pa.array(np.concatenate(whole))],
+                names=["shingle", "key", "label", "rest", "whole"])
+
+    rows = held.mapInArrow(run, "shingle bigint, key binary, label binary, rest double, whole double")
+    several = rows.groupBy("shingle").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x != y")
+    rows = saved(rows.join(several.select("shingle").hint("merge"), "shingle", "left_semi"))
+    other = rows.select("shingle", *(F.col(c).alias(f"{c}_2") for c in ("key", "label", "rest", "whole")))
+    enough = (F.least("rest", "rest_2") * F.lit(1 + similarity)
+              >= (F.col("whole") + F.col("whole_2")) * F.lit(similarity * (1 - 1e-9)))
+    return (rows.join(other.hint("merge"), "shingle")
+            .filter((F.col("label") != F.col("label_2")) & (F.col("key") < F.col("key_2")) & enough)
+            .select(F.col("key").alias("a"), F.col("key_2").alias("b")).distinct())
+
+
+def _merged(labels: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(labels with the links ``new`` (a, b) added, (label, to) of the labels that they changed).  Only classes
+    that the links touch change: their graph is small."""
+    of_a, of_b = (labels.select(F.col("key").alias(x), F.col("label").alias(f"l{x}")).hint("merge") for x in "ab")
+    joined = (new.join(of_a, "a", "left").join(of_b, "b", "left")
+              .select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b")).filter("a != b"))
+    merged = components(joined).select(F.col("key").alias("label"), F.col("label").alias("to"))
+    ends = new.select(F.col("a").alias("key")).union(new.select("b")).distinct()
+    fresh = ends.join(labels.hint("merge"), "key", "left_anti").withColumn("label", F.col("key"))
+    return saved(labels.union(fresh).join(merged.hint("merge"), "label", "left")
+                 .select("key", F.coalesce("to", "label").alias("label"))), merged
+
+
 def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, key, class_id) for every row of ``docs`` (doc_id, text).
 
@@ -251,7 +331,7 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
 
     links = saved(verified(_ordered(members, "key", "head"), texts, sent, similarity))
     labels = components(links)
-    again = 0
+    large, again = members.filter(F.col("n") > SMALL).select("bucket", "key"), 0
     while True:
         told = members.drop("head").join(labels.hint("merge"), "key", "left").withColumn("label", F.coalesce("label", "key"))
         split = told.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x != y")
@@ -272,18 +352,17 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
         again += 1
         if new.isEmpty():
             break
-        # Only classes that the new links touch change: their graph is small.
-        of_a, of_b = (labels.select(F.col("key").alias(x), F.col("label").alias(f"l{x}")).hint("merge") for x in "ab")
-        joined = (new.join(of_a, "a", "left").join(of_b, "b", "left")
-                  .select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b")).filter("a != b"))
-        merged = components(joined).select(F.col("key").alias("label"), F.col("label").alias("to"))
+        labels, merged = _merged(labels, new)
         # Small buckets are done; of the larger ones, only those with joined classes are looked at again.
         touched = told.join(merged.select("label").hint("merge"), "label", "left_semi").select("bucket").distinct()
         members = saved(members.filter(F.col("n") > SMALL).join(touched.hint("merge"), "bucket", "left_semi"))
-        ends = new.select(F.col("a").alias("key")).union(new.select("b")).distinct()
-        fresh = ends.join(labels.hint("merge"), "key", "left_anti").withColumn("label", F.col("key"))
-        labels = saved(labels.union(fresh).join(merged.hint("merge"), "label", "left")
-                       .select("key", F.coalesce("to", "label").alias("label")))
+    told = large.join(labels.hint("merge"), "key", "left").withColumn("label", F.coalesce("label", "key"))
+    split = told.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x != y")
+    nodes = saved(told.join(split.select("bucket").hint("merge"), "bucket", "left_semi").select("key", "label").distinct())
+    if not nodes.isEmpty():
+        new = saved(verified(_across(nodes, texts, sent, similarity), texts, sent, similarity))
+        if not new.isEmpty():
+            labels, _ = _merged(labels, new)
     placed = signed.select("doc_id", "key").join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
     ids = placed.groupBy("label").agg(F.min("doc_id").alias("class_id"))
     return placed.join(ids, "label").select("doc_id", "key", "class_id")

@@ -138,6 +138,32 @@ def test_large_groups_of_near_copies(spark):
     assert classes[0] == 90 and all(classes[i] == 1 for i in range(90, 180))
 
 
+def test_links_inside_large_buckets(spark):
+    """Pairs of near copies among many texts that share most of their words, and so their buckets, with all."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choices("abcdefgh", k=7))
+    passage, texts = [word() for _ in range(120)], []
+    for _ in range(60):
+        own = [word() for _ in range(26)]
+        changed = [word() if i in (7, 18) else w for i, w in enumerate(own)]
+        texts += [" ".join([*passage, *own]), " ".join([*passage, *changed])]
+    hasher = near_dup.Hasher()
+    sets = [hasher.shingles(t) for t in texts]
+    every, count = np.unique(np.concatenate([h for h, _ in sets]), return_counts=True)
+    weights = near_dup.Weights(every[count > 1], count[count > 1].astype(float), len(texts), 1.0)
+    vectors = [(h, weights.of(h, n)) for h, n in sets]
+    shared = [set(enumerate(near_dup.bands(*v))) for v in vectors]
+    near = {(a, b) for b in range(len(texts)) for a in range(b) if near_dup.jaccard(vectors[a], vectors[b]) >= near_dup.SIMILARITY}
+    assert near == {(a, a + 1) for a in range(0, 120, 2)}
+    sizes = collections.Counter(x for s in shared for x in s)
+    only_large = [(a, b) for a, b in near if shared[a] & shared[b] and all(sizes[x] > near_dup.SMALL for x in shared[a] & shared[b])]
+    assert len(only_large) > 3
+    rows = near_dup.classes(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()
+    found = {r.doc_id: r.class_id for r in rows}
+    assert all(found[a] == found[b] for a, b in near if shared[a] & shared[b])
+    assert len({found[a] for a in range(0, 120, 2)}) == 60
+
+
 def test_samples_estimate_weighted_jaccard():
     rng = np.random.default_rng(4)
     h = np.sort(rng.integers(0, 1 << 63, 400).astype(np.uint64))
