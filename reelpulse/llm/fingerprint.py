@@ -104,15 +104,23 @@ def features(text: str, rank: np.ndarray | None = None) -> np.ndarray:
     """Hashes of a text's features, each once, in order of their first place.
 
     Windows of equal content add up their counts, so that periodic text has features too.  Texts of fewer than
-    SHORT characters, too short for enough runs, have every window of SHORT_WINDOW bytes as a feature, and one
-    shorter than that has the whole text.  ``rank``: the ranks of the text's windows, if they are known.
+    SHORT characters have few runs, so every window of SHORT_WINDOW bytes follows as a feature; the selected
+    windows come first, in the first filter, where longer texts find those that they share.  A text shorter than
+    SHORT_WINDOW bytes has the whole text.  ``rank``: the ranks of the text's windows, if they are known.
     """
     data = text.encode("utf-8", "surrogatepass")
     raw = np.frombuffer(data, np.uint8)
     if len(raw) < SHORT_WINDOW:
         return np.frombuffer(hashlib.sha1(data).digest()[:8], "<u8") if data else np.empty(0, np.uint64)
+    found = selected(raw, rank)
     if len(text) < SHORT:
-        return _each_once(window_hashes(raw, np.arange(len(raw) - SHORT_WINDOW + 1), SHORT_WINDOW))
+        every = window_hashes(raw, np.arange(len(raw) - SHORT_WINDOW + 1), SHORT_WINDOW)
+        found = _each_once(np.concatenate([found, every]))
+    return found
+
+
+def selected(raw: np.ndarray, rank: np.ndarray | None = None) -> np.ndarray:
+    """Hashes of the selected windows of WINDOW bytes, each once, in order of their first place."""
     if rank is not None:
         place, count = picked(rank)
     else:
@@ -155,7 +163,7 @@ def chains(texts: list[str]) -> list[np.ndarray]:
         joined.clear()
 
     for i, text in enumerate(texts):
-        if len(text) < SHORT or len(text) > _BLOCK // 4:
+        if len(text) < WINDOW or len(text) > _BLOCK // 4:
             out[i] = chain(text)
             continue
         held.append((i, len(joined)))

@@ -249,6 +249,23 @@ def test_fingerprints(spark, docs):
     assert np.median(near) > 0.5 and np.median(far) < 0.1
 
 
+def test_near_copies_across_the_limit_of_short_texts():
+    rng = random.Random(2)
+    words = lambda n: " ".join("".join(rng.choices("abcdefghijklmnop", k=rng.randint(2, 9))) for _ in range(n))
+    edited, copied, other = [], [], []
+    for _ in range(30):
+        text, after = words(200), words(200)
+        a, b = fingerprint.chain(text[:505]), fingerprint.chain(text[:520])
+        copied.append(min(fingerprint.likeness(a, b), fingerprint.likeness(b, a)))
+        other.append(fingerprint.likeness(a, fingerprint.chain(after[:520])))
+        changed = fingerprint.edited(text[:640], after[:40])
+        assert len(changed) < fingerprint.SHORT
+        edited.append(fingerprint.likeness(fingerprint.chain(text[:640]), fingerprint.chain(changed)))
+    assert min(copied) > 0.7 and np.median(edited) > 0.5 and np.median(other) < 0.2
+    for n in (0, 5, 63, 64, 100, 511, 512):
+        assert fingerprint.chains([text[:n], after])[0].tolist() == fingerprint.chain(text[:n]).tolist()
+
+
 def test_window_entropies():
     raw = np.frombuffer(("ab" * 40 + "The quick brown fox jumps over the lazy dog. " * 5).encode(), np.uint8)
     want = []
