@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, fingerprint, line_dedup, near_dup, packing, pii, quality, token_counts, warc
+from . import (chat_format, decontaminate, fingerprint, line_dedup, near_dup, packing, pii, quality, token_counts,
+               url_filter, warc)
 from .common import read_table, scratch_path
 
 
@@ -76,6 +77,14 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.personal_data(read_table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+def op11_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's url judged by the rules or by its host's reputation."""
+    pages = read_table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    outcomes = url_filter.host_outcomes(pages, read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+    found = url_filter.judge(pages.drop("html"), url_filter.reputation(outcomes))
+    return found.select("page_id", "host", "path", "rule", "verdict")
+
+
 QUERIES = {f.__name__: f for f in (
     op1_line_dedup,
     op2_token_counts,
@@ -87,4 +96,5 @@ QUERIES = {f.__name__: f for f in (
     op8_packing,
     op9_fingerprints,
     op10_personal_data,
+    op11_url_filter,
 )}

@@ -4,7 +4,8 @@
 LINE_DROPS = r"""
 lines_of AS (
     SELECT doc_id, pos, regexp_split_to_array(trim(string_split(text, chr(10))[pos], ' ' || chr(9) || chr(13)),
-                                              '[ 	]+') AS plain
+                                              '[ 	
+]+') AS plain
     FROM (SELECT doc_id, text, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS pos
           FROM docs WHERE text IS NOT NULL) AS x
 ), tokened AS (
@@ -117,9 +118,91 @@ SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
 FROM f
 """
 
+_LETTERS = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+_GAP = r"\x00-\x2F\x3A-\x60\x7B-\x7F"
+
+
+def _opening(text: str) -> str:
+    words = f"regexp_extract_all(translate({text}, {_LETTERS}), '[^{_GAP}]+')"
+    return f"nullif(array_to_string(list_slice({words}, 1, 8), ' '), '')"
+
+
+def _rate(strength: str, prior: str) -> str:
+    return f"(bad + {strength} * {prior}) / (n + {strength})"
+
+
+def _strength(groups: str) -> str:
+    """The weight of a level's prior: groups (n, bad, prior)."""
+    return f"""(
+    SELECT CASE WHEN coalesce(scale, 0) = 0 OR coalesce(over, 0) <= 0 THEN 1000.0
+                ELSE least(1000.0, greatest(1.0, scale / over - 1)) END
+    FROM (SELECT sum(n * pow(bad / n - prior, 2) - prior * (1 - prior)) AS over,
+                 sum((n - 1) * prior * (1 - prior)) AS scale FROM {groups} WHERE n > 0) AS x)"""
+
+
+_TWO = ("('ac.uk', 'co.in', 'co.jp', 'co.kr', 'co.nz', 'co.uk', 'co.za', 'com.au', 'com.br', 'com.cn', 'com.mx', "
+        "'com.tr', 'gov.uk', 'org.uk')")
+_ARTICLE = "regexp_extract(html, '(?s)<article[^>]*>(.*?)</article>', 1)"
+
+OP11 = rf"""
+WITH urls AS (
+    SELECT page_id, html, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), {_LETTERS}) AS host,
+           coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path
+    FROM pages
+), told AS (
+    SELECT doc_id, count(*) AS n_rows, count(*) FILTER (quality = 0 OR coalesce(toxic, 0) = 1) AS n_bad
+    FROM labels WHERE quality IS NOT NULL GROUP BY doc_id
+), shown AS (
+    SELECT opening, CASE WHEN 2 * sum(n_bad) >= sum(n_rows) THEN 1 ELSE 0 END AS outcome
+    FROM (SELECT doc_id, {_opening("text")} AS opening FROM documents) AS d JOIN told USING (doc_id)
+    WHERE opening IS NOT NULL GROUP BY opening
+), main AS (
+    SELECT host, regexp_replace(regexp_replace(CASE WHEN {_ARTICLE} <> '' THEN {_ARTICLE} ELSE html END,
+                                               '(?s)<h1.*?</h1>|<[^>]*>', ' ', 'g'),
+                                '&#?[0-9A-Za-z]+;', ' ', 'g') AS text
+    FROM urls
+), counted AS (
+    SELECT host, count(outcome) AS n, coalesce(sum(outcome), 0) AS bad
+    FROM (SELECT host, {_opening("text")} AS opening FROM main) AS m LEFT JOIN shown USING (opening) GROUP BY host
+), labelled AS (
+    SELECT *, regexp_replace(host, ':[0-9]*$', '') AS name, string_split(name, '.') AS parts,
+           array_to_string(parts[-2:], '.') AS two,
+           CASE WHEN two IN {_TWO} THEN two ELSE parts[-1] END AS suffix,
+           CASE WHEN regexp_full_match(name, '[0-9.]+') THEN name
+                WHEN two IN {_TWO} THEN array_to_string(parts[-3:], '.') ELSE two END AS domain
+    FROM counted
+), top AS (
+    SELECT (sum(bad) + 0.5) / (sum(n) + 1.0) AS rate FROM labelled
+), suffixes AS (
+    SELECT suffix, sum(n) AS n, sum(bad) AS bad, any_value(rate) AS prior FROM labelled, top GROUP BY suffix
+), suffix_rates AS (
+    SELECT suffix, {_rate(_strength("suffixes"), "prior")} AS rate FROM suffixes
+), domains AS (
+    SELECT suffix, domain, sum(n) AS n, sum(bad) AS bad, any_value(rate) AS prior
+    FROM labelled JOIN suffix_rates USING (suffix) GROUP BY suffix, domain
+), domain_rates AS (
+    SELECT suffix, domain, {_rate(_strength("domains"), "prior")} AS rate FROM domains
+), hosts AS (
+    SELECT host, n, bad, rate AS prior FROM labelled JOIN domain_rates USING (suffix, domain)
+), judged AS (
+    SELECT host, {_rate("w", "prior")} AS mean, mean - 1.645 * sqrt(mean * (1 - mean) / (n + w + 1)) > 0.5 AS blocked
+    FROM (SELECT *, {_strength("hosts")} AS w FROM hosts) AS x
+), rules (does, rule, upon, starts) AS (
+    VALUES ('block', 'net/', 'net', '/'), ('allow', 'example.net/en/', 'example.net', '/en/'),
+           ('block', 'example.com/de/', 'example.com', '/de/'), ('allow', 'org/fr/', 'org', '/fr/')
+), ruled AS (
+    SELECT host, path, arg_max(rule, length(rule)) AS rule, arg_max(does, length(rule)) AS does
+    FROM (SELECT DISTINCT host, path FROM urls) AS u
+    JOIN rules ON (host = upon OR ends_with(host, '.' || upon)) AND starts_with(path, starts) GROUP BY host, path
+)
+SELECT page_id, host, path, rule, coalesce(does, CASE WHEN blocked THEN 'block' ELSE 'allow' END) AS verdict
+FROM urls LEFT JOIN judged USING (host) LEFT JOIN ruled USING (host, path)
+"""
+
 ORACLES = {
     "op1_line_dedup": OP1,
     "op3_chat_format": OP3,
     "op5_decontamination": OP5,
     "op7_warc": OP7,
+    "op11_url_filter": OP11,
 }
