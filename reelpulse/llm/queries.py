@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (chat_format, decontaminate, fingerprint, line_dedup, near_dup, packing, pii, quality, token_counts,
-               url_filter, warc)
+from . import (chat_format, decontaminate, fingerprint, line_dedup, near_dup, packing, pii, prefix_trie, quality,
+               token_counts, url_filter, warc)
 from .common import read_table, scratch_path
 
 
@@ -85,6 +85,12 @@ def op11_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nodes of the prefix trie over all rebuilt conversations."""
+    rows = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return prefix_trie.trie(prefix_trie.with_lent_openings(prefix_trie.encoded_turns(rows)))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_line_dedup,
     op2_token_counts,
@@ -97,4 +103,5 @@ QUERIES = {f.__name__: f for f in (
     op9_fingerprints,
     op10_personal_data,
     op11_url_filter,
+    op13_prefix_trie,
 )}

@@ -199,10 +199,52 @@ SELECT page_id, host, path, rule, coalesce(does, CASE WHEN blocked THEN 'block'
 FROM urls LEFT JOIN judged USING (host) LEFT JOIN ruled USING (host, path)
 """
 
+#: CRC-32 of a text of ASCII characters, bit by bit: each byte is xor-ed in and eight steps of the polynomial follow.
+_STEP = "CASE WHEN {0} & 1 = 1 THEN xor({0} >> 1, 3988292384) ELSE {0} >> 1 END"
+_CRC32 = """xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST({0} AS VARCHAR), ''), lambda c: ord(c)::BIGINT)),
+    lambda s, c: list_reduce(list_prepend(xor(s, c), range(8)), lambda v, i: """ + _STEP.format("v") + """)), 4294967295::BIGINT)"""
+
+OP13 = f"""
+WITH numbered AS (
+    SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+           row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS idx
+    FROM conversations WHERE conv_id IS NOT NULL
+), own AS (
+    SELECT conv_id, list({{'role': role, 'text': text}} ORDER BY idx) AS turns FROM numbered GROUP BY conv_id
+), lent AS (
+    SELECT conv_id, turns, conv_id - conv_id % 5 AS base, {_CRC32.format("conv_id")} % 9 AS h FROM own
+), rebuilt AS (
+    SELECT l.conv_id, list_concat(coalesce(b.turns, [])[:h], l.turns[h + 1:]) AS turns
+    FROM lent AS l LEFT JOIN own AS b ON b.conv_id = base
+), members AS (
+    SELECT conv_id, d AS depth, turns[:d] AS prefix, len(turns) = d AS at_end
+    FROM (SELECT conv_id, turns, unnest(range(len(turns) + 1)) AS d FROM rebuilt) AS x
+), nodes AS (
+    SELECT depth, prefix, min(conv_id) AS conv_id, count(*) AS n_convs,
+           coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (at_end), '') AS ends,
+           CASE WHEN depth > 0 THEN (count(*) - 1) * octet_length(encode(prefix[-1].text)) ELSE 0 END AS own_saving
+    FROM members GROUP BY depth, prefix
+), parents AS (
+    SELECT n.*, p.conv_id AS parent_conv_id FROM nodes AS n
+    LEFT JOIN nodes AS p ON p.depth = n.depth - 1 AND p.prefix = n.prefix[:n.depth - 1]
+), kids AS (
+    SELECT depth - 1 AS depth, prefix[:depth - 1] AS prefix, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY ALL
+), told AS (
+    SELECT p.*, coalesce(n_children, 0) AS n_children FROM parents AS p LEFT JOIN kids USING (depth, prefix)
+), above AS (
+    SELECT up AS depth, prefix[:up] AS prefix, count(*) FILTER (n_children = 0) AS n_leaves, sum(own_saving) AS saved_tokens
+    FROM (SELECT prefix, n_children, own_saving, unnest(range(depth + 1)) AS up FROM told) AS x GROUP BY ALL
+)
+SELECT conv_id, CAST(depth AS BIGINT) AS depth, parent_conv_id, n_convs, n_children, n_leaves,
+       CAST(saved_tokens AS BIGINT) AS saved_tokens, sha256(ends) AS ends_sha256
+FROM told JOIN above USING (depth, prefix)
+"""
+
 ORACLES = {
     "op1_line_dedup": OP1,
     "op3_chat_format": OP3,
     "op5_decontamination": OP5,
     "op7_warc": OP7,
     "op11_url_filter": OP11,
+    "op13_prefix_trie": OP13,
 }
