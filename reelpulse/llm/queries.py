@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (chat_format, decontaminate, fingerprint, line_dedup, near_dup, packing, pii, prefix_trie, quality,
-               token_counts, url_filter, warc)
+from . import (chat_format, collocations, decontaminate, fingerprint, line_dedup, near_dup, packing, pii,
+               prefix_trie, quality, token_counts, url_filter, warc)
 from .common import read_table, scratch_path
 
 
@@ -85,6 +85,11 @@ def op11_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each language's first phrases over all whole documents."""
+    return collocations.collocations(read_table(spark, sf_dir, "documents").select("lang", "text"))
+
+
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The nodes of the prefix trie over all rebuilt conversations."""
     rows = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -103,5 +108,6 @@ QUERIES = {f.__name__: f for f in (
     op9_fingerprints,
     op10_personal_data,
     op11_url_filter,
+    op12_collocations,
     op13_prefix_trie,
 )}

@@ -199,6 +199,41 @@ SELECT page_id, host, path, rule, coalesce(does, CASE WHEN blocked THEN 'block'
 FROM urls LEFT JOIN judged USING (host) LEFT JOIN ruled USING (host, path)
 """
 
+OP12 = rf"""
+WITH pieces AS (
+    SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w
+    FROM (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), {_LETTERS}),
+                                                                             '[.,;:!?\x0A-\x0D]')) AS piece FROM documents) AS x
+), counts AS MATERIALIZED (
+    SELECT lang, m, array_to_string(list_slice(w, i, i + m - 1), ' ') AS gram, count(*) AS f
+    FROM (SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM pieces, range(1, 5) AS o(m)) AS x
+    GROUP BY ALL HAVING m = 1 OR f >= 30
+), totals AS (
+    SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM counts WHERE m = 1 GROUP BY lang
+), found AS MATERIALIZED (
+    SELECT lang, m, gram, string_split(gram, ' ') AS w, f AS a FROM counts WHERE m >= 2 AND f >= 30
+), cuts AS MATERIALIZED (
+    SELECT lang, gram, a, k, array_to_string(list_slice(w, 1, k), ' ') AS before, array_to_string(list_slice(w, k + 1, m), ' ') AS after
+    FROM (SELECT *, unnest(range(1, m)) AS k FROM found) AS c
+), scored AS (
+    SELECT c.lang, c.gram, a, k, x.f AS l, y.f AS r, (2000000::HUGEINT * a) // (x.f + y.f) AS score
+    FROM cuts AS c JOIN counts AS x ON x.lang = c.lang AND x.gram = c.before
+    JOIN counts AS y ON y.lang = c.lang AND y.gram = c.after
+), lowest AS (
+    SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, gram ORDER BY score, k) = 1
+), parts AS MATERIALIZED (
+    SELECT lang, array_to_string(list_slice(w, i, i + p - 1), ' ') AS gram, a AS longer
+    FROM (SELECT lang, w, a, p, unnest(range(1, m - p + 2)) AS i FROM found, range(2, 4) AS o(p) WHERE p < m) AS x
+), inside AS (
+    SELECT lang, gram, max(longer) AS longer FROM parts GROUP BY lang, gram
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, gram) AS rank, gram AS phrase, a, l, r, n,
+       CAST(score AS BIGINT) AS score
+FROM lowest JOIN totals USING (lang) LEFT JOIN inside USING (lang, gram)
+WHERE coalesce(longer, 0) * 100 < a * 80
+QUALIFY rank <= 2000
+"""
+
 #: CRC-32 of a text of ASCII characters, bit by bit: each byte is xor-ed in and eight steps of the polynomial follow.
 _STEP = "CASE WHEN {0} & 1 = 1 THEN xor({0} >> 1, 3988292384) ELSE {0} >> 1 END"
 _CRC32 = """xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST({0} AS VARCHAR), ''), lambda c: ord(c)::BIGINT)),
@@ -246,5 +281,6 @@ ORACLES = {
     "op5_decontamination": OP5,
     "op7_warc": OP7,
     "op11_url_filter": OP11,
+    "op12_collocations": OP12,
     "op13_prefix_trie": OP13,
 }
