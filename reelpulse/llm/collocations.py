@@ -41,7 +41,8 @@ INSIDE = 80
 #: Phrases reported per language.
 TOP = 2000
 #: Text of one language that a task counts at once.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
+CHUNK_BYTES = 1 << 20
 #: Size of the filters of frequent words and pairs; a larger corpus is faster with more.
 FILTER_BITS = 1 << 26
 
@@ -67,16 +68,30 @@ class Block:
     the next are of one piece."""
 
     def __init__(self, texts: list[bytes]):
-        data = b"\n".join(texts).translate(_TABLE)
-        words = data.split()
-        self.vocabulary = sorted(set(words))
-        number = {w: i for i, w in enumerate(self.vocabulary)}
-        self.ids = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
-        raw = np.frombuffer(data, np.uint8)
-        inside = (raw != 32) & (raw != 10)
-        inside[1:] &= ~inside[:-1]
-        piece = np.cumsum(raw == 10)[inside]
-        self.joined = piece[1:] == piece[:-1]
+        number: dict[bytes, int] = {}
+        ids, joined, held, size = [], [], [], 0
+        # A few texts at a time, so that not all words are objects at once.
+        for i, text in enumerate(texts):
+            held.append(text)
+            size += len(text) + 1
+            if i + 1 < len(texts) and size < CHUNK_BYTES:
+                continue
+            data = b"\n".join(held).translate(_TABLE) + b"\n"
+            held, size = [], 0
+            words = data.split()
+            for w in set(words):
+                number.setdefault(w, len(number))
+            ids.append(np.fromiter(map(number.__getitem__, words), np.int64, len(words)))
+            raw = np.frombuffer(data, np.uint8)
+            ends = np.flatnonzero((raw[:-1] != 32) & (raw[:-1] != 10) & ((raw[1:] == 32) | (raw[1:] == 10)))
+            piece = np.searchsorted(np.flatnonzero(raw == 10), ends)
+            joined.append(np.append(piece[1:] == piece[:-1], False)[:len(words)])
+        self.vocabulary = sorted(number)
+        place = np.empty(len(number), np.int64)
+        for i, w in enumerate(self.vocabulary):
+            place[number[w]] = i
+        self.ids = place[np.concatenate(ids)] if ids else np.empty(0, np.int64)
+        self.joined = np.concatenate(joined)[:-1] if len(self.ids) else np.empty(0, bool)
 
     def hashes(self, lang: str) -> np.ndarray:
         """One hash per vocabulary word, of language and word."""
