@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
+from .skew import heavy_keys_of, hot_key_join
 
 
 def executive_kpis(watch: DataFrame, users: DataFrame, plans: DataFrame) -> DataFrame:
@@ -102,12 +103,14 @@ def enriched_sessions(watch: DataFrame, users: DataFrame, content: DataFrame, pl
 
     users and content grow with the data, so their join strategy is left to the
     optimizer and AQE (broadcast only when their measured size allows it); the
-    plan table has four rows and is always broadcast.
+    plan table has four rows and is always broadcast.  Viewers and titles that own
+    more sessions than a partition should hold are found by one aggregate and their
+    sessions sliced over tasks (:mod:`.skew`), in any session.
     """
-    return (watch
-            .join(users, "user_id")
-            .join(content, "content_id")
-            .join(F.broadcast(plans), "subscription_type")
+    heavy = heavy_keys_of(watch, ["user_id", "content_id"])
+    rows = hot_key_join(watch, users, "user_id", spread=["session_id"], heavy=heavy["user_id"])
+    rows = hot_key_join(rows, content, "content_id", spread=["session_id"], heavy=heavy["content_id"])
+    return (rows.join(F.broadcast(plans), "subscription_type")
             .withColumn("watch_date", F.to_date("watch_time"))
             .withColumn("month", X.month_label("watch_time"))
             .withColumn("weekday", F.date_format("watch_time", "EEEE"))

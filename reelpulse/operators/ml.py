@@ -8,8 +8,10 @@ the reference's; the clustering problem is the same either way.
 
 from __future__ import annotations
 
+import math
 from concurrent.futures import ThreadPoolExecutor
 
+from pyspark.ml import PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
@@ -21,31 +23,41 @@ from pyspark.sql import types as T
 from .. import schema as S
 from ..functions import exprs as X
 from ..session import checkpoint_dir
-from . import ordered
+from . import binning, ordered
 
 
-# Partitions of model inputs: MLlib's seeded sampling depends on the layout, so it must not follow the cluster.
-MODEL_PARTITIONS = 32
+# MLlib's seeded sampling depends on the layout of its input, so the layout must follow the data alone, not the
+# cluster.  A clustering step does little per user, a forest of RF_TREES trees a hundred times more.
+CLUSTER_USERS = 20_000
+FOREST_USERS = 1_000
+#: Partitions grow a little slower than the users, so that very many of them still mean tasks worth starting.
+LAYOUT_GROWTH = 0.75
 
 
-def fixed_layout(df: DataFrame, partitions: int = MODEL_PARTITIONS) -> DataFrame:
-    """``df`` hashed by user into a fixed number of partitions and sorted in them, so that seeded fits see
-    the same rows in the same places in every run and on every cluster.  At a larger size raise
-    ``partitions`` (about 1 million users each); models are reproducible for equal values of it."""
-    return df.repartition(partitions, "user_id").sortWithinPartitions("user_id")
+def layout_partitions(users: int, users_each: int) -> int:
+    """Partitions of a model input: (users / users_each) ** LAYOUT_GROWTH, rounded up.  For a billion users that is
+    3,344 for the clustering (about 300,000 users each) and 31,623 for the forest (32,000 each)."""
+    return max(1, math.ceil((users / users_each) ** LAYOUT_GROWTH))
 
 
-def standardize(features: DataFrame, cols=S.SEGMENT_FEATURES, suffix: str = "_z",
-                partitions: int = MODEL_PARTITIONS) -> DataFrame:
+def fixed_layout(df: DataFrame, users_each: int) -> DataFrame:
+    """``df`` checkpointed in a layout that depends on its rows alone: hashed by user into
+    :func:`layout_partitions` partitions and sorted in them, so that seeded fits see the same rows in the same places
+    in every run and on every cluster.  The rows are materialized once to be counted and once in their layout."""
+    checkpoint_dir(df.sparkSession)
+    rows = df.checkpoint(eager=True)
+    return (rows.repartition(layout_partitions(rows.count(), users_each), "user_id").sortWithinPartitions("user_id")
+            .checkpoint(eager=True))
+
+
+def standardize(features: DataFrame, cols=S.SEGMENT_FEATURES, suffix: str = "_z") -> DataFrame:
     """(x - mean) / population sd per column; 0 where the sd is 0.
 
     Fit/transform, as MLlib's scalers do: the per-user features are laid out by
-    :func:`fixed_layout` and checkpointed once (reliably), one aggregate over that copy gives the 2 x len(cols)
-    statistics (a single row of numbers to the driver), and the transform is a
+    :func:`fixed_layout`, one aggregate over that copy gives the 2 x len(cols) statistics (a single row of numbers to the driver), and the transform is a
     projection with those numbers as literals.  The fact table is scanned once.
     """
-    checkpoint_dir(features.sparkSession)
-    base = fixed_layout(features, partitions).checkpoint(eager=True)
+    base = fixed_layout(features, CLUSTER_USERS)
     st = base.agg(*[F.avg(c).alias(f"m_{c}") for c in cols],
                   *[F.stddev_pop(c).alias(f"s_{c}") for c in cols]).first()
     z = []
@@ -59,7 +71,7 @@ def standardize(features: DataFrame, cols=S.SEGMENT_FEATURES, suffix: str = "_z"
 
 
 def fit_segmentation(features: DataFrame, k: int = S.KMEANS_K, restarts: int = S.KMEANS_RESTARTS,
-                     seed: int = S.SEED, max_iter: int = S.KMEANS_MAX_ITER, parallelism: int = 4):
+                     seed: int = S.SEED, max_iter: int = S.KMEANS_MAX_ITER, parallelism: int = S.KMEANS_RESTARTS):
     """P09 fit: k-means on the standardized features; the restart with the lowest cost wins.
 
     Returns ``(model, data)`` where ``data`` is the features with the assembled
@@ -68,7 +80,7 @@ def fit_segmentation(features: DataFrame, k: int = S.KMEANS_K, restarts: int = S
     restarts; a lost block is recomputed from the checkpoint, not from the fact
     table).
     Restarts are independent Spark jobs submitted concurrently, ``parallelism``
-    at a time.
+    at a time (all of them by default: a job has only as many tasks as the users fill).
     """
     scaled = standardize(features)
     vec = VectorAssembler(inputCols=[c + "_z" for c in S.SEGMENT_FEATURES], outputCol="_features")
@@ -158,13 +170,20 @@ def stratified_split(data: DataFrame, test_fraction: float = S.TEST_FRACTION, se
 
 
 def train_churn_model(train: DataFrame, seed: int = S.SEED):
-    """Random forest, 160 trees, depth 10, at least 12 rows per leaf."""
-    vec = VectorAssembler(inputCols=S.CHURN_FEATURES, outputCol="_features")
+    """Random forest, 160 trees, depth 10, at least 12 rows per leaf.
+
+    Split candidates are the quantile edges of all training rows (:mod:`.binning`): the forest sees the bin numbers,
+    of which MLlib takes every one as a candidate.  Returns (steps from features to the vector of bins, forest).
+    """
+    edges = binning.edges_of(binning.quantile_summary(train, S.CHURN_FEATURES), S.RF_MAX_BINS)
+    bins = binning.binner(edges, S.CHURN_FEATURES, "_bin")
+    vec = VectorAssembler(inputCols=[c + "_bin" for c in S.CHURN_FEATURES], outputCol="_features")
     rf = RandomForestClassifier(numTrees=S.RF_TREES, maxDepth=S.RF_MAX_DEPTH,
                                 minInstancesPerNode=S.RF_MIN_LEAF, featureSubsetStrategy="sqrt",
-                                maxBins=S.RF_MAX_BINS,
+                                maxBins=S.RF_MAX_BINS + 1,
                                 seed=seed, featuresCol="_features", labelCol="label")
-    return vec, rf.fit(vec.transform(train))
+    steps = PipelineModel(stages=[bins, vec])
+    return steps, rf.fit(steps.transform(train))
 
 
 def score(vec, model, data: DataFrame) -> DataFrame:
@@ -191,10 +210,9 @@ def roc_auc(scored: DataFrame) -> DataFrame:
     return sums.select(auc.alias("roc_auc"))
 
 
-def churn_pipeline(features: DataFrame, seed: int = S.SEED, partitions: int = MODEL_PARTITIONS):
+def churn_pipeline(features: DataFrame, seed: int = S.SEED):
     """Dataset, split, fit and test scores; :func:`roc_auc` of the scores is P14."""
-    checkpoint_dir(features.sparkSession)
-    data = fixed_layout(stratified_split(churn_dataset(features), seed=seed), partitions).checkpoint(eager=True)
+    data = fixed_layout(stratified_split(churn_dataset(features), seed=seed), FOREST_USERS)
     vec, model = train_churn_model(data.filter(~F.col("is_test")), seed)
     return data, (vec, model), score(vec, model, data.filter(F.col("is_test")))
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Slices that a key filling one mean partition gets.
@@ -19,6 +19,18 @@ SLICES = 4
 MOST_HEAVY = 1024
 
 
+def _fullest(counts: DataFrame, partitions: int, kinds: int = 1) -> tuple[int, list]:
+    """(rows, the counts of at least rows / partitions): the counts are kept while both are asked, so that what they
+    come from is read once, and computed again if an executor that keeps some is lost."""
+    held = counts.persist()
+    try:
+        total = (held.agg(F.sum("n")).first()[0] or 0) // kinds
+        top = held.filter(F.col("n") * partitions >= total).orderBy(F.desc("n")).limit(partitions * kinds).collect()
+    finally:
+        held.unpersist()
+    return total, top if total else []
+
+
 def heavy_keys(left: DataFrame, keys: Sequence[str], counts: DataFrame | None = None,
                partitions: int | None = None) -> list[tuple]:
     """``(*key, slices)`` of every key with at least 1/partitions of the rows.  ``counts`` (keys, ``n``) spares the
@@ -26,11 +38,23 @@ def heavy_keys(left: DataFrame, keys: Sequence[str], counts: DataFrame | None =
     spark = left.sparkSession
     partitions = min(partitions or int(spark.conf.get("spark.sql.shuffle.partitions")), MOST_HEAVY)
     counts = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")) if counts is None else counts.select(*keys, "n")
-    seen = Observation()
-    top = (counts.observe(seen, F.sum("n").alias("total")).orderBy(F.desc("n")).limit(partitions).collect())
-    total = seen.get.get("total") or 0
-    return [(*r[:-1], -(-SLICES * r[-1] * partitions // total)) for r in top
-            if r[-1] * partitions >= total and None not in r[:-1]] if partitions > 1 else []
+    if partitions < 2:
+        return []
+    total, top = _fullest(counts, partitions)
+    return [(*r[:-1], -(-SLICES * r[-1] * partitions // total)) for r in top if None not in r[:-1]]
+
+
+def heavy_keys_of(left: DataFrame, keys: Sequence[str], partitions: int | None = None) -> dict[str, list[tuple]]:
+    """:func:`heavy_keys` of several single-column keys, from one pass over ``left``."""
+    spark = left.sparkSession
+    partitions = min(partitions or int(spark.conf.get("spark.sql.shuffle.partitions")), MOST_HEAVY)
+    if partitions < 2:
+        return {k: [] for k in keys}
+    pairs = F.array(*[F.struct(F.lit(k).alias("name"), F.col(k).cast("string").alias("value")) for k in keys])
+    counts = left.select(F.inline(pairs)).groupBy("name", "value").agg(F.count(F.lit(1)).alias("n"))
+    total, top = _fullest(counts, partitions, len(keys))
+    return {k: [(r["value"], -(-SLICES * r["n"] * partitions // total)) for r in top
+                if r["name"] == k and r["value"] is not None] for k in keys}
 
 
 def _relation(left: DataFrame, keys: Sequence[str], heavy: list[tuple]) -> DataFrame:
@@ -43,15 +67,15 @@ def _relation(left: DataFrame, keys: Sequence[str], heavy: list[tuple]) -> DataF
 
 def hot_key_join(left: DataFrame, right: DataFrame, keys: str | Sequence[str], how: str = "inner",
                  spread: Sequence[str] | None = None, counts: DataFrame | None = None,
-                 partitions: int | None = None) -> DataFrame:
+                 partitions: int | None = None, heavy: list[tuple] | None = None) -> DataFrame:
     """``left.join(right, keys, how)`` (inner, left, left_semi or left_anti) with hot keys of the left side sliced.
 
     ``spread``: left columns whose hash deals the rows of a key over its slices (default: all other columns); rows
     that agree in all of them stay together.  Rows with a null key cannot match and are dealt likewise, so that a
-    left or anti join does not gather them in one task.
+    left or anti join does not gather them in one task.  ``heavy``: the heavy keys, where they are known already.
     """
     keys = [keys] if isinstance(keys, str) else list(keys)
-    heavy = heavy_keys(left, keys, counts, partitions)
+    heavy = heavy_keys(left, keys, counts, partitions) if heavy is None else heavy
     absent = F.lit(False)
     for k in keys:
         absent = absent | F.col(k).isNull()

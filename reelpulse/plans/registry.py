@@ -22,6 +22,7 @@ from ..operators import kpi as K
 from ..operators import ml as ML
 from ..operators import pairs as PR
 from ..operators import recommend as RC
+from ..operators import viewer_sets as VS
 from ..functions import measures as MS
 from ..sources.bindings import Star, device_observations, load_star
 from . import oracle_sql
@@ -156,6 +157,24 @@ register("m09_completion_retention_rate")(lambda t: C.completion_retention_by_ge
 register("m10_weekend_watch_share", "E")(lambda t: t.watch.groupBy("device_type")
                                          .agg(MS.weekend_watch_share().alias("weekend_watch_share")))
 
+
+# Any filter context from the same partials (distinct viewers as mergeable sets).
+def _session_partials(t: Star) -> DataFrame:
+    return t._get("session_partials", lambda: VS.session_partials(t.watch, t.users, t.content))
+
+
+def _user_partials(t: Star) -> DataFrame:
+    return t._get("user_partials", lambda: VS.user_partials(t.users, t.plans))
+
+
+register("mx_sessions_by_genre_device")(lambda t: VS.session_measures(
+    _session_partials(t), ["genre", "device_type"], F.col("known_title")))
+register("mx_sessions_by_country_plan")(lambda t: VS.session_measures(
+    _session_partials(t), ["country", "subscription_type"], F.col("known_viewer")))
+register("mx_sessions_by_day")(lambda t: VS.session_measures(_session_partials(t), ["watch_date"]))
+register("mx_users_by_country")(lambda t: VS.user_measures(_user_partials(t), ["country"]))
+register("mx_users_by_plan_age")(lambda t: VS.user_measures(_user_partials(t), ["subscription_type", "age"]))
+
 # ---------------------------------------------------------------------------
 # Marts and models P01-P19
 # ---------------------------------------------------------------------------

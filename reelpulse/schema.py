@@ -136,9 +136,7 @@ SEED = 42
 KMEANS_K = 5
 KMEANS_RESTARTS = 10
 KMEANS_MAX_ITER = 300
-# Split candidates per continuous feature of the forest.  Candidates come from quantiles of a row
-# sample that MLlib draws, of max(RF_MAX_BINS^2, 10000) rows: the bound on what the fit looks at for
-# candidate thresholds; the trees themselves see every row.
+# Bins per feature of the forest, from quantiles of all training rows.
 RF_MAX_BINS = 32
 FORECAST_MONTHS = 6
 
