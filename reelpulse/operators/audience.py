@@ -136,13 +136,16 @@ def engagement_drop(watch: DataFrame, factor=S.ENGAGEMENT_DROP_FACTOR) -> DataFr
 
 def frequency_quintiles(watch: DataFrame, tiles: int = 5) -> DataFrame:
     """Q25: per-viewer sessions/hours/completion with NTILE(5) over sessions and over hours
-    (ties broken by viewer id), computed by range-partitioned positions."""
+    (ties broken by viewer id).  Tiles come from counts per value; only viewers of the values in
+    which a tile starts are ordered (:func:`ordered.tiles_by_value`).  The per-viewer rows are
+    checkpointed once, as both tiles read them several times."""
     f = watch.groupBy("user_id").agg(
         F.count(F.lit(1)).alias("sessions"),
         X.hours("watch_duration").alias("hours"),
         X.mean("completion_rate").alias("completion"))
-    f = ordered.ntile(f, ["sessions", "user_id"], tiles, "frequency_quintile")
-    return ordered.ntile(f, [F.col("hours").asc_nulls_last(), "user_id"], tiles, "watch_time_quintile")
+    checkpoint_dir(watch.sparkSession)
+    f = ordered.tiles_by_value(f.checkpoint(eager=True), "sessions", ["user_id"], tiles, "frequency_quintile")
+    return ordered.tiles_by_value(f, "hours", ["user_id"], tiles, "watch_time_quintile")
 
 
 def last_genre_before_churn(watch: DataFrame, users: DataFrame, content: DataFrame) -> DataFrame:

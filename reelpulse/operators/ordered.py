@@ -140,3 +140,51 @@ def exclusive_prefix_sum(df: DataFrame, order: Sequence[Column | str], weight: s
     ranged, offsets = _ranged_sums(df, order, weight, num_partitions)
     out = _with_running(ranged.join(F.broadcast(offsets.select("_pid", "_off")), "_pid"), order, weight, name)
     return out.drop("_pid", "_off")
+
+
+def tiles_by_value(df: DataFrame, value: str, key: Sequence[str], tiles: int, name: str,
+                   num_partitions: int | None = None) -> DataFrame:
+    """``NTILE(tiles) OVER (ORDER BY value NULLS LAST, key)`` that orders only the rows of the boundary values.
+
+    Counts per distinct value and their prefix sums tell in which value each tile starts; these at most ``tiles - 1``
+    (value, offset) pairs go to the driver.  A row of any other value gets its tile by comparing values; only rows of
+    a value in whose midst a tile starts are ordered by ``key`` (unique within a value).  ``df`` is read three times:
+    pass a checkpointed one.
+    """
+    counts = df.groupBy(value).agg(F.count(F.lit(1)).alias("_cnt"))
+    placed = exclusive_prefix_sum(counts, [F.col(value).asc_nulls_last()], "_cnt", "_before", num_partitions)
+    n = df.count()
+    starts = [t * (n // tiles) + min(t, n % tiles) for t in range(1, tiles)]
+    starts = [p for p in starts if p < n]
+    held = F.lit(False)
+    for p in set(starts):
+        held = held | ((F.col("_before") <= p) & (F.lit(p) < F.col("_before") + F.col("_cnt")))
+    found = sorted(placed.filter(held).select(value, "_before", "_cnt").collect(), key=lambda r: r["_before"])
+    kind = df.schema[value].dataType
+
+    def same(v) -> Column:
+        return F.col(value).eqNullSafe(F.lit(v).cast(kind))
+
+    def above(v) -> Column:                       # nulls last: above every value, nothing above them
+        return F.lit(False) if v is None else F.coalesce(F.col(value) > F.lit(v).cast(kind), F.lit(True))
+
+    def tile(index: Column) -> Column:
+        at = F.lit(1)
+        for p in starts:
+            r = next(r for r in found if r["_before"] <= p < r["_before"] + r["_cnt"])
+            here = F.lit(True) if p == r["_before"] else index >= p - r["_before"]
+            at = at + (above(r[value]) | (same(r[value]) & here)).cast("bigint")
+        return at.cast("bigint")
+
+    cut = [r for r in found if any(r["_before"] < p < r["_before"] + r["_cnt"] for p in starts)]
+    inside = F.lit(False)
+    first, passed = F.lit(0), 0                   # rows of the cut values before each of them
+    for r in cut:
+        inside = inside | same(r[value])
+        first = F.when(same(r[value]), F.lit(passed)).otherwise(first)
+        passed += r["_cnt"]
+    plain = df.filter(~inside).withColumn(name, tile(F.lit(0)))
+    if not cut:
+        return plain
+    ranged = with_position(df.filter(inside), [F.col(value).asc_nulls_last(), *key], "_pos", num_partitions=num_partitions)
+    return plain.unionByName(ranged.withColumn(name, tile(F.col("_pos") - first)).drop("_pos"))

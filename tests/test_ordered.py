@@ -24,6 +24,33 @@ def test_ntile_equals_sql(spark, n, tiles, parts):
     assert got["t"].tolist() == want["t"].tolist()
 
 
+@pytest.mark.parametrize("n,tiles,spread", [(23, 5, 4), (4, 5, 2), (100, 5, 1), (1, 5, 1), (57, 4, 100), (200, 7, 9), (0, 5, 1)])
+def test_tiles_by_value_equal_ntile(spark, n, tiles, spread):
+    rng = np.random.default_rng(n)
+    rows = [(int(k), None if rng.random() < 0.1 else float(rng.integers(0, spread))) for k in rng.permutation(n)]
+    df = spark.createDataFrame(rows, "k bigint, x double")
+    got = {r.k: r.t for r in ordered.tiles_by_value(df, "x", ["k"], tiles, "t", num_partitions=3).collect()}
+    con = duckdb.connect()
+    con.register("rows", df.toArrow())
+    assert got == dict(con.execute(f"SELECT k, NTILE({tiles}) OVER (ORDER BY x NULLS LAST, k) FROM rows").fetchall())
+
+
+def test_tiles_by_value_order_only_boundary_values(spark, monkeypatch):
+    """Of 1,000 rows in 100 values only those of the cut values are positioned."""
+    sorted_rows, plain = [], ordered.with_position
+
+    def counted(df, *args, **kw):
+        sorted_rows.append(df.count())
+        return plain(df, *args, **kw)
+
+    monkeypatch.setattr(ordered, "with_position", counted)
+    df = spark.range(1000).selectExpr("id as k", "cast(id div 10 as double) as x")
+    assert ordered.tiles_by_value(df, "x", ["k"], 5, "t").groupBy("t").count().filter("count = 200").count() == 5
+    assert sorted_rows == []                         # every tile starts with a value
+    assert ordered.tiles_by_value(df, "x", ["k"], 3, "t").count() == 1000
+    assert sorted_rows == [20]                       # 334 and 667 start within a value
+
+
 @settings(max_examples=15, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(st.integers(-5, 5), min_size=1, max_size=60), st.integers(1, 9))
 def test_position_is_a_permutation_in_order(spark, values, parts):
