@@ -16,9 +16,8 @@ those, at most 2 * TABLE of them remain after their counts are added, and these
 *Candidates.*  Equal texts are one node.  First every member of a bucket is compared with the bucket's
 smallest node.  Then, in buckets of up to SMALL nodes, all pairs that are not yet in one class are compared.
 In larger buckets one node per class is compared: all pairs of up to SMALL classes, else each class with three
-heads; this is repeated, with other nodes and heads, in those buckets of which a round has joined classes,
-until none is left.  These rounds only shrink the work: at last every large bucket that still has several
-classes is settled exactly.  A text's prefix is its leading shingles, in one order for all texts, until what is
+heads.  These two passes only shrink the work: at last every large bucket that still has several classes is
+settled exactly.  A text's prefix is its leading shingles, in one order for all texts, until what is
 left weighs less than the threshold's share of it; two texts as similar as the threshold have their first common
 shingle in both prefixes.  All pairs of different classes with a common prefix shingle are compared, except
 those for which the weights from that shingle on cannot reach the threshold.  Rare shingles come first in the
@@ -293,9 +292,20 @@ def _across(nodes: DataFrame, texts: DataFrame, sent: Broadcast, similarity: flo
             .select(F.col("key").alias("a"), F.col("key_2").alias("b")).distinct())
 
 
-def _merged(labels: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(labels with the links ``new`` (a, b) added, (label, to) of the labels that they changed).  Only classes
-    that the links touch change: their graph is small."""
+def _split(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """(bucket, key, n, label) of the members of the buckets that hold several classes; a key without a label is
+    a class of its own."""
+    told = (members.select("bucket", "key", "n").join(labels.hint("merge"), "key", "left")
+            .withColumn("label", F.coalesce("label", "key")))
+    several = told.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x != y")
+    return saved(told.join(several.select("bucket").hint("merge"), "bucket", "left_semi"))
+
+
+def _merged(labels: DataFrame, new: DataFrame) -> DataFrame:
+    """``labels`` with the links ``new`` (a, b) added.  Only classes that the links touch change: their graph is
+    small."""
+    if new.isEmpty():
+        return labels
     of_a, of_b = (labels.select(F.col("key").alias(x), F.col("label").alias(f"l{x}")).hint("merge") for x in "ab")
     joined = (new.join(of_a, "a", "left").join(of_b, "b", "left")
               .select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b")).filter("a != b"))
@@ -303,7 +313,7 @@ def _merged(labels: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
     ends = new.select(F.col("a").alias("key")).union(new.select("b")).distinct()
     fresh = ends.join(labels.hint("merge"), "key", "left_anti").withColumn("label", F.col("key"))
     return saved(labels.union(fresh).join(merged.hint("merge"), "label", "left")
-                 .select("key", F.coalesce("to", "label").alias("label"))), merged
+                 .select("key", F.coalesce("to", "label").alias("label")))
 
 
 def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -331,38 +341,25 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
 
     links = saved(verified(_ordered(members, "key", "head"), texts, sent, similarity))
     labels = components(links)
-    large, again = members.filter(F.col("n") > SMALL).select("bucket", "key"), 0
-    while True:
-        told = members.drop("head").join(labels.hint("merge"), "key", "left").withColumn("label", F.coalesce("label", "key"))
-        split = told.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x != y")
-        told = saved(told.join(split.select("bucket").hint("merge"), "bucket", "left_semi"))
-        few = told.filter(F.col("n") <= SMALL)
-        chosen = (told.filter(F.col("n") > SMALL).groupBy("bucket", "label")
-                  .agg(F.min(F.struct(F.xxhash64(F.lit(again), "key"), "key")).alias("one"))
-                  .select("bucket", "label", F.col("one.key").alias("key")))
-        counted = chosen.groupBy("bucket").agg(F.count(F.lit(1)).alias("m"))
-        chosen = chosen.join(counted.hint("merge"), "bucket")
-        some = chosen.filter(F.col("m") <= SMALL).drop("m")
-        pairwise = some if again else few.select("bucket", "label", "key").union(some)
-        other = pairwise.select("bucket", F.col("label").alias("label_2"), F.col("key").alias("key_2"))
-        pairs = (pairwise.join(other.hint("merge"), "bucket").filter((F.col("label") != F.col("label_2")) & (F.col("key") < F.col("key_2")))
-                 .select(F.col("key").alias("a"), F.col("key_2").alias("b")))
-        pairs = pairs.union(_ordered(_heads(chosen.filter(F.col("m") > SMALL), again), "key", "head")).distinct()
-        new = saved(verified(pairs, texts, sent, similarity))
-        again += 1
-        if new.isEmpty():
-            break
-        labels, merged = _merged(labels, new)
-        # Small buckets are done; of the larger ones, only those with joined classes are looked at again.
-        touched = told.join(merged.select("label").hint("merge"), "label", "left_semi").select("bucket").distinct()
-        members = saved(members.filter(F.col("n") > SMALL).join(touched.hint("merge"), "bucket", "left_semi"))
-    told = large.join(labels.hint("merge"), "key", "left").withColumn("label", F.coalesce("label", "key"))
-    split = told.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x != y")
-    nodes = saved(told.join(split.select("bucket").hint("merge"), "bucket", "left_semi").select("key", "label").distinct())
+    told = _split(members, labels)
+    few = told.filter(F.col("n") <= SMALL).select("bucket", "label", "key")
+    chosen = (told.filter(F.col("n") > SMALL).groupBy("bucket", "label")
+              .agg(F.min(F.struct(F.xxhash64(F.lit(0), "key"), "key")).alias("one"))
+              .select("bucket", "label", F.col("one.key").alias("key")))
+    counted = chosen.groupBy("bucket").agg(F.count(F.lit(1)).alias("m"))
+    chosen = chosen.join(counted.hint("merge"), "bucket")
+    pairwise = few.union(chosen.filter(F.col("m") <= SMALL).drop("m"))
+    other = pairwise.select("bucket", F.col("label").alias("label_2"), F.col("key").alias("key_2"))
+    pairs = (pairwise.join(other.hint("merge"), "bucket")
+             .filter((F.col("label") != F.col("label_2")) & (F.col("key") < F.col("key_2")))
+             .select(F.col("key").alias("a"), F.col("key_2").alias("b")))
+    pairs = pairs.union(_ordered(_heads(chosen.filter(F.col("m") > SMALL), 0), "key", "head")).distinct()
+    labels = _merged(labels, saved(verified(pairs, texts, sent, similarity)))
+    # Small buckets are done.
+    large = told.filter(F.col("n") > SMALL).drop("label")
+    nodes = saved(_split(large, labels).select("key", "label").distinct())
     if not nodes.isEmpty():
-        new = saved(verified(_across(nodes, texts, sent, similarity), texts, sent, similarity))
-        if not new.isEmpty():
-            labels, _ = _merged(labels, new)
+        labels = _merged(labels, saved(verified(_across(nodes, texts, sent, similarity), texts, sent, similarity)))
     placed = signed.select("doc_id", "key").join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
     ids = placed.groupBy("label").agg(F.min("doc_id").alias("class_id"))
     return placed.join(ids, "label").select("doc_id", "key", "class_id")
