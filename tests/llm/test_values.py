@@ -192,7 +192,6 @@ def test_warc_reader_refuses_damage():
 
 def test_packing_ids_and_places(spark, docs):
     made = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    made.encode_special_tokens = True
     rows = QUERIES["op8_packing"](spark, SF).collect()
     want = {}
     for i, t in docs.items():
@@ -225,12 +224,12 @@ def test_fullest_is_optimal():
 def test_ids_are_the_tokenizers():
     path = public_tokenizers.path("byte_bpe_50k.json")
     made, plain = tokens.Encoder(path), Tokenizer.from_file(path)
-    plain.encode_special_tokens = True
     rng = random.Random(7)
     parts = ["a", "b", "é", "\n", " ", "  ", ".", "'", "'s", "!!", "1", "日", "\t", "-", "word", "x.\ny", "<|endoftext|>"]
     texts = ["".join(rng.choices(parts, k=rng.randint(0, 14))) for _ in range(3000)]
     for text, got in zip(texts, made.encode(texts)):
         assert np.frombuffer(got, "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids, text
+    assert np.frombuffer(made.encode(["a<|endoftext|>b"])[0], "<u4").tolist()[1] == plain.token_to_id("<|endoftext|>")
 
 
 def test_fingerprints(spark, docs):
