@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -58,6 +60,23 @@ def rows_of(batches: Iterable[pa.RecordBatch], most_bytes: int = 4 << 20) -> Ite
             yield batch.slice(start, step)
 
 
+def trimmed(run: Callable[[Iterable], Iterator]) -> Callable[[Iterable], Iterator]:
+    """``run`` of a mapInArrow, giving what a task has freed back to the system at its end: Python workers are
+    reused, and idle ones would keep it beside the working ones."""
+
+    def whole(batches):
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)       # where the C library has it
+            if trim is not None:
+                trim(0)
+
+    return whole
+
+
 def map_text(df: DataFrame, text: str, work: Callable[[], Callable[[list], list[list]]], added: list[tuple]) -> DataFrame:
     """``df`` with columns computed from one text column.  ``work()`` runs once per task and returns a function
     from a list of texts (null as None) to one list per added column.  ``added``: (name, Spark type, Arrow
@@ -75,4 +94,4 @@ def map_text(df: DataFrame, text: str, work: Callable[[], Callable[[list], list[
             arrays += [pa.array(c, kind) for c, (_, _, kind) in zip(columns, added)]
             yield pa.RecordBatch.from_arrays(arrays, names=[f.name for f in schema.fields])
 
-    return held.mapInArrow(run, schema)
+    return held.mapInArrow(trimmed(run), schema)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import rows_of
+from .common import rows_of, trimmed
 from .words import word_spans, words
 
 WINDOW = 10
@@ -136,7 +136,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", kee
                        F.array().cast("array<string>").alias("_items"), empty.alias("_spans"))
     found = list(blocks(benchmark, block_chars)) or [[]]
     for i, block in enumerate(found):
-        rows = rows.mapInArrow(_scan(block, window, i == len(found) - 1), rows.schema)
+        rows = rows.mapInArrow(trimmed(_scan(block, window, i == len(found) - 1)), rows.schema)
     n_hit = F.aggregate("_hit", F.lit(0).cast("long"), lambda n, r: n + r["end"] - r["start"])
     return rows.select(*(F.col(f"k_{c}").alias(c) for c in keep), F.col("_n").alias("n_words"),
                        n_hit.alias("n_hit"), F.col("_items").alias("items"), F.col("_spans").alias("spans"),

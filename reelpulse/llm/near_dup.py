@@ -33,7 +33,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import content_key, rows_of, saved, scratch_path, text_of
+from .common import content_key, rows_of, saved, scratch_path, text_of, trimmed
 from .components import components
 from .shingles import Hasher, mix
 
@@ -148,7 +148,7 @@ def _block_counts(texts: DataFrame, wanted: np.ndarray | None) -> DataFrame:
         if held:
             yield from reports(held)
 
-    return texts.mapInArrow(run, "hash bigint, n bigint")
+    return texts.mapInArrow(trimmed(run), "hash bigint, n bigint")
 
 
 def _table(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -189,7 +189,7 @@ def signatures(docs: DataFrame, sent: Broadcast) -> DataFrame:
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(out, pa.list_(pa.int64()))],
                                              names=["doc_id", "key", "bands"])
 
-    return docs.select("doc_id", "key", "text").mapInArrow(run, "doc_id bigint, key binary, bands array<bigint>")
+    return docs.select("doc_id", "key", "text").mapInArrow(trimmed(run), "doc_id bigint, key binary, bands array<bigint>")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, sent: Broadcast, similarity: float) -> DataFrame:
@@ -216,7 +216,7 @@ def verified(pairs: DataFrame, texts: DataFrame, sent: Broadcast, similarity: fl
             yield part.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
 
     rows = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "text_a", "text_b")
-    return rows.mapInArrow(run, "a binary, b binary")
+    return rows.mapInArrow(trimmed(run), "a binary, b binary")
 
 
 def _ordered(df: DataFrame, x: str, y: str) -> DataFrame:
@@ -245,7 +245,7 @@ def _slot_counts(texts: DataFrame) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(at[i:i + 100_000]), pa.array(total[at[i:i + 100_000]])],
                                              names=["slot", "n"])
 
-    got = texts.mapInArrow(run, "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    got = texts.mapInArrow(trimmed(run), "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros(SLOTS, np.int64)
     counts[got.column("slot").to_numpy()] = got.column("n").to_numpy()
     return counts
@@ -281,7 +281,7 @@ def _across(nodes: DataFrame, texts: DataFrame, sent: Broadcast, similarity: flo
                  pa.array(np.concatenate(left)), pa.array(np.concatenate(whole))],
                 names=["shingle", "key", "label", "rest", "whole"])
 
-    rows = held.mapInArrow(run, "shingle bigint, key binary, label binary, rest double, whole double")
+    rows = held.mapInArrow(trimmed(run), "shingle bigint, key binary, label binary, rest double, whole double")
     several = rows.groupBy("shingle").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x != y")
     rows = saved(rows.join(several.select("shingle").hint("merge"), "shingle", "left_semi"))
     other = rows.select("shingle", *(F.col(c).alias(f"{c}_2") for c in ("key", "label", "rest", "whole")))

@@ -16,8 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import rows_of, saved, text_of
-from .tokens import encoder
+from .common import rows_of, saved, text_of, trimmed
+from .tokens import Encoder
 
 CAPACITY = 1024
 END_ID = 2
@@ -77,7 +77,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, with_ids:
                         ("ids_crc32", pa.int64()), ("ids", pa.binary())][:5 + with_ids])
 
     def cut(batches):
-        encode = encoder(tokenizer).encode
+        encode = Encoder(tokenizer).encode
         for part in (p for b in batches for p in rows_of([b])):
             out = []
             for doc_id, ids in zip(part.column(0).to_pylist(), encode(part.column(1).to_pylist())):
@@ -92,7 +92,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, with_ids:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), schema.types)], schema=schema)
 
     ddl = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids binary" * with_ids
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).mapInArrow(cut, ddl)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).mapInArrow(trimmed(cut), ddl)
 
 
 def places(spark: SparkSession, histogram: dict[int, int], capacity: int = CAPACITY) -> DataFrame:

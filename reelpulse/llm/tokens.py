@@ -25,7 +25,6 @@ from tokenizers import Tokenizer  # noqa: E402
 _PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
 _ALPHABET = {b: b for b in _PRINTABLE} | {b: 256 + n for n, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
 _BYTES = {chr(c): b for b, c in _ALPHABET.items()}
-_ENCODERS: dict[str, "Encoder"] = {}
 
 
 class Encoder:
@@ -44,10 +43,3 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(self.tokenizer.encode(t, add_special_tokens=False).ids if self.others.search(t)
                            else self.ranked.encode_ordinary(t), "<u4").tobytes() for t in texts]
-
-
-def encoder(path: str) -> Encoder:
-    """The encoder of a vocabulary file, one per worker process."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
