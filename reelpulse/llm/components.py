@@ -18,18 +18,17 @@ def components(edges: DataFrame) -> DataFrame:
     """
 
     def step(labels: DataFrame) -> DataFrame:
-        near = (both.join(labels.withColumnRenamed("key", "b").hint("merge"), "b").groupBy("a")
+        near = (both.join(labels.select(F.col("key").alias("b"), "label").hint("merge"), "b").groupBy("a")
                 .agg(F.min("label").alias("near")).withColumnRenamed("a", "key"))
-        lower = labels.join(near.hint("merge"), "key").select("key", F.least("label", "near").alias("label"))
+        lower = labels.join(near.hint("merge"), "key").select("key", "old", F.least("label", "near").alias("label"))
         jump = labels.select(F.col("key").alias("label"), F.col("label").alias("further"))
         return lower.join(jump.hint("merge"), "label", "left").select(
-            "key", F.least("label", F.coalesce("further", "label")).alias("label"))
+            "key", "old", F.least("label", F.coalesce("further", "label")).alias("label"))
 
     both = saved(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).distinct())
-    labels = saved(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")).withColumnRenamed("a", "key"))
+    labels = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")).withColumnRenamed("a", "key")
     while True:
-        old = labels.withColumnRenamed("label", "old")
-        moved = saved(step(step(labels)).join(old.hint("merge"), "key"))
-        labels = moved.select("key", "label")
-        if moved.filter(F.col("label") != F.col("old")).isEmpty():
-            return labels
+        labels = saved(step(step(labels.withColumn("old", F.col("label")))))
+        if labels.filter(F.col("label") != F.col("old")).isEmpty():
+            return labels.select("key", "label")
+        labels = labels.select("key", "label")

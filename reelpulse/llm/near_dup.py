@@ -302,18 +302,11 @@ def _split(members: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def _merged(labels: DataFrame, new: DataFrame) -> DataFrame:
-    """``labels`` with the links ``new`` (a, b) added.  Only classes that the links touch change: their graph is
-    small."""
+    """``labels`` with the links ``new`` (a, b) added.  A class is a star around its label, so its chains are short."""
     if new.isEmpty():
         return labels
-    of_a, of_b = (labels.select(F.col("key").alias(x), F.col("label").alias(f"l{x}")).hint("merge") for x in "ab")
-    joined = (new.join(of_a, "a", "left").join(of_b, "b", "left")
-              .select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b")).filter("a != b"))
-    merged = components(joined).select(F.col("key").alias("label"), F.col("label").alias("to"))
-    ends = new.select(F.col("a").alias("key")).union(new.select("b")).distinct()
-    fresh = ends.join(labels.hint("merge"), "key", "left_anti").withColumn("label", F.col("key"))
-    return saved(labels.union(fresh).join(merged.hint("merge"), "label", "left")
-                 .select("key", F.coalesce("to", "label").alias("label")))
+    star = labels.filter("key != label").select(F.col("key").alias("a"), F.col("label").alias("b"))
+    return components(star.union(new.select("a", "b")))
 
 
 def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
