@@ -40,7 +40,7 @@ from .shingles import Hasher, mix
 SIMILARITY = 0.8
 BANDS, ROWS = 8, 3
 TABLE = 250_000
-BLOCK_DOCS = 8192
+BLOCK_DOCS = 65_536
 BLOCK_SHINGLES = 8_000_000
 BLOCK_BYTES = 32 << 20
 SMALL = 32
@@ -160,7 +160,7 @@ def document_frequencies(texts: DataFrame) -> Weights:
     """The weights of a corpus; ``texts`` has one column, one row per document."""
     size = texts.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length(texts.columns[0])).alias("bytes")).first()
     n_docs = size["n"]
-    # Partitions that fill a block, by documents or by bytes: in a small one every shingle has more than the
+    # Partitions that fill a block by bytes, also of short texts: in a small one every shingle has more than the
     # floor's share.
     texts = texts.coalesce(max(1, n_docs // BLOCK_DOCS, (size["bytes"] or 0) // BLOCK_BYTES))
     first = saved(_block_counts(texts, None).groupBy("hash").agg(F.sum("n").alias("n")))
