@@ -1,6 +1,8 @@
 """Token counts without tokens: a count-only Viterbi search over a unigram vocabulary.
 
-A text is cut before each space (written as U+2581; one is put in front).  Within a cut an Aho-Corasick
+Spaces are written as U+2581; one is put in front of a text that begins with another character.  A text is cut
+before each run of spaces, if no vocabulary entry can cross such a cut, which is looked up in the vocabulary;
+otherwise the whole text is one cut.  Within a cut an Aho-Corasick
 automaton lists all vocabulary entries that end at each character, and a dynamic program keeps, for every
 character, the best score of a segmentation that ends there and its number of pieces.  Ties follow the
 tokenizer: a candidate replaces another only if its score is strictly higher and candidates are tried from
@@ -11,6 +13,8 @@ Cuts repeat a lot; their counts are remembered, at most ``most`` of them per wor
 
 from __future__ import annotations
 
+import re
+
 import ahocorasick
 import pyarrow as pa
 import sentencepiece
@@ -20,6 +24,8 @@ from .common import map_text
 
 SPACE = "▁"
 UNKNOWN_PENALTY = 10.0
+_CUT = re.compile(f"{SPACE}+[^{SPACE}]*")
+_CROSSES = re.compile(f"[^{SPACE}]{SPACE}")
 _COUNTERS: dict[str, "Counter"] = {}
 
 
@@ -38,6 +44,7 @@ class Counter:
             if piece:
                 self.found.add_word(piece, (len(piece), score))
         self.found.make_automaton()
+        self.cuts = not any(_CROSSES.search(piece) for piece, _ in entries)
         self.unknown = min(score for _, score in entries) - UNKNOWN_PENALTY
         self.known: dict[str, int] = {}
         self.most = most
@@ -73,7 +80,13 @@ class Counter:
         if not text:
             return 0
         marked = text.replace(" ", SPACE)
-        words = marked.removeprefix(SPACE).split(SPACE)
+        if not self.cuts:
+            return self.pieces(SPACE + marked.removeprefix(SPACE))
+        if SPACE + SPACE in marked:                   # cuts without their first space
+            marked = marked if marked.startswith(SPACE) else SPACE + marked
+            words = [cut[1:] for cut in _CUT.findall(marked)]
+        else:
+            words = marked.removeprefix(SPACE).split(SPACE)
         try:
             return sum(map(self.known.__getitem__, words))
         except KeyError:

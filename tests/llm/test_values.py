@@ -38,7 +38,7 @@ def test_sql(spark, con, name):
 
 def unigram(entries):
     made = Tokenizer(models.Unigram(entries, unk_id=0, byte_fallback=True))
-    made.pre_tokenizer = pre_tokenizers.Metaspace(replacement=token_counts.SPACE, prepend_scheme="always", split=True)
+    made.pre_tokenizer = pre_tokenizers.Metaspace(replacement=token_counts.SPACE, prepend_scheme="always", split=False)
     return made
 
 
@@ -48,6 +48,18 @@ def test_token_counts_are_the_tokenizers(spark, docs):
     assert {r.doc_id: r.n_tokens for r in QUERIES["op2_token_counts"](spark, SF).collect()} == want
 
 
+def test_token_counts_of_runs_of_spaces():
+    """Entries of several spaces match; the tokenizer here reads the whole text without cuts."""
+    entries = token_counts.vocabulary(public_tokenizers.path("piece_bpe_32k.model"))
+    made, counter = unigram(entries), token_counts.Counter(entries)
+    assert counter.cuts and any(set(p) == {token_counts.SPACE} and len(p) > 8 for p, _ in entries)
+    rng = random.Random(4)
+    texts = ["def f(x):\n" + " " * 16 + "return x", "  lead", "trail   ", " " * 40, "a  b   c    d\n\n      e",
+             *("".join(rng.choices(["  ", " ", "    ", "\n", "the", "word", "x9", "é"], k=30)) for _ in range(60))]
+    for text in texts:
+        assert counter.count(text) == len(made.encode(text, add_special_tokens=False).ids), text
+
+
 def test_token_count_ties():
     rng = random.Random(1)
     for _ in range(60):
