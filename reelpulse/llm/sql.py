@@ -13,22 +13,25 @@ lines_of AS (
     FROM lines_of WHERE len(plain) >= 3
 ), leaves AS (
     SELECT DISTINCT [CAST(len(tokens) AS VARCHAR)] || tokens[:3] AS leaf, tokens FROM tokened
-), leaf_size AS (
-    SELECT leaf, count(*) AS n FROM leaves GROUP BY leaf
-), constants AS (
-    SELECT leaf, at_pos, token FROM (
-        SELECT leaf, unnest(range(1, len(tokens) + 1)) AS at_pos, unnest(tokens) AS token FROM leaves) AS x
-    JOIN leaf_size USING (leaf) GROUP BY leaf, at_pos, token, n HAVING count(*) * 2 > n
+), places AS (
+    SELECT leaf, tokens, unnest(range(1, len(tokens) + 1)) AS at_pos, unnest(tokens) AS token FROM leaves
+), supports AS (
+    SELECT leaf, at_pos, token, count(*) AS k FROM places GROUP BY leaf, at_pos, token
+), met AS (
+    SELECT leaf, tokens, list(k ORDER BY at_pos) AS ks
+    FROM places JOIN supports USING (leaf, at_pos, token) GROUP BY leaf, tokens
+), levels AS (
+    SELECT leaf, tokens, ks, list_reverse_sort(ks)[CAST(ceil(len(tokens) * 0.8) AS INT)] AS level FROM met
 ), fitting AS (
-    SELECT l.leaf, l.tokens
-    FROM (SELECT leaf, tokens, unnest(range(1, len(tokens) + 1)) AS at_pos, unnest(tokens) AS token FROM leaves) AS l
-    JOIN constants USING (leaf, at_pos, token)
-    GROUP BY l.leaf, l.tokens HAVING count(*) >= len(l.tokens) * 0.8
+    SELECT tokens, list_transform(tokens, lambda t, i: CASE WHEN ks[i] * 2 > level THEN [t] ELSE [] END) AS constants
+    FROM levels WHERE level > 1
 ), placed AS (
-    SELECT t.doc_id, t.pos, CASE WHEN f.tokens IS NULL THEN ['own'] || t.tokens ELSE ['leaf'] || f.leaf END AS template
+    SELECT t.doc_id, t.pos, len(t.tokens) AS size,
+           CASE WHEN f.tokens IS NULL THEN list_transform(['own'] || t.tokens, lambda x: [x]) ELSE f.constants END AS template
     FROM tokened AS t LEFT JOIN fitting AS f ON f.tokens = t.tokens
 ), recurring AS (
-    SELECT template, min(doc_id) AS first_doc FROM placed GROUP BY template HAVING count(DISTINCT doc_id) >= 3
+    SELECT template, min(doc_id) AS first_doc FROM placed GROUP BY template
+    HAVING count(DISTINCT doc_id) >= CASE WHEN min(size) >= 50 THEN 2 ELSE 3 END
 ), line_drops AS (
     SELECT doc_id, pos FROM (
         SELECT doc_id, pos, row_number() OVER (PARTITION BY template ORDER BY doc_id, pos) AS nth

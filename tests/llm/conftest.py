@@ -4,7 +4,8 @@ import pytest
 
 DOC_SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 #: Columns whose names the operators use themselves.
-CLASHES = "score double, n_tokens bigint, n_lines bigint, pos int, line string, key string, bands string, spans string"
+CLASHES = ("score double, n_tokens bigint, n_lines bigint, pos int, line string, key string, bands string, spans string, "
+           "dropped string, _text string, _h string, _id string, size string, `group` string")
 
 
 @pytest.fixture(scope="session")
@@ -30,6 +31,6 @@ def odd_rows():
 
 @pytest.fixture(scope="session")
 def odd_docs(spark, odd_rows):
-    rows = [(i, t, None, "s" if n % 2 else None, None, 0.5, 7, 1, 2, "l", "k", "b", "s")
+    rows = [(i, t, None, "s" if n % 2 else None, None, 0.5, 7, 1, 2, "l", "k", "b", "s", "d", "t", "h", "i", "z", "g")
             for n, (i, t) in enumerate(odd_rows)]
     return spark.createDataFrame(rows, f"{DOC_SCHEMA}, {CLASHES}").repartition(3)

@@ -1,6 +1,7 @@
 """Every operator on nulls, empty, odd and very long texts, repeated rows, clashing columns and empty tables."""
 
 import hashlib
+import re
 
 import public_tokenizers
 import pytest
@@ -50,6 +51,34 @@ def test_line_dedup_generalises_variable_words(spark):
     assert got == {0: texts[0], 1: "", 2: "", 3: "", 4: texts[4], 5: texts[5]}
 
 
+def test_line_dedup_several_templates_in_a_leaf(spark):
+    """Two templates of one leaf lose what each would lose alone, also beside unlike lines of the leaf."""
+    name = lambda i: "".join(chr(97 + int(c)) for c in str(i))
+    one = [f"the known user {name(i)} logged in at the main gate today" for i in range(100)]
+    two = [f"the known user {name(i)} was removed from every list last night" for i in range(100)]
+    other = [" ".join(["the known user", *(f"{c}{name(i)}" for c in "abcdefgh")]) for i in range(50)]
+    for texts, want in ((one, 99), (two, 99), (one + two, 198), (one + two + other, 198)):
+        docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+        assert line_dedup.drop_recurring_lines(docs).agg({"n_dropped": "sum"}).first()[0] == want
+
+
+def test_line_dedup_long_lines_recur_in_two_documents(spark):
+    name = lambda i: "".join(chr(97 + int(c)) for c in str(i))
+    long, short = (" ".join(name(i) for i in range(n)) for n in (60, 49))
+    docs = spark.createDataFrame([(1, f"{long}\n{short}"), (2, f"x\n{long}\n{short}")], "doc_id bigint, text string")
+    got = {r.doc_id: r.text for r in line_dedup.drop_recurring_lines(docs).collect()}
+    assert got == {1: f"{long}\n{short}", 2: f"x\n{short}"}
+
+
+def test_masked_lines(spark):
+    lines = ["", " \t ", "a1b  c\td\r", "12 x 3", "no digits  here ", "x" * 5000 + " 7", "٣ ½ é1"]
+    rows = spark.createDataFrame([(x,) for x in lines], "line string")
+    got = [r[0] for r in rows.select(line_dedup.masked(rows["line"])).collect()]
+    want = [" ".join("<*>" if any(c in "0123456789" for c in t) else t for t in re.split("[ \t\r]+", x.strip(" \t\r")))
+            for x in lines]
+    assert got == want
+
+
 def test_token_counts(odd_docs, odd_rows):
     got = token_counts.token_counts(odd_docs, VOCABULARY)
     assert got.columns[-1] == "n_tokens" and got.columns.count("n_tokens") == 1
