@@ -37,26 +37,32 @@ def _short(text: Column) -> Column:
     return F.unhex(F.md5(text.cast("binary")))
 
 
-def masked(line: Column) -> Column:
-    """A line's tokens, those with a digit as FIELD, joined by single spaces (a token holds none)."""
-    single = F.regexp_replace(F.btrim(line, F.lit(BLANKS)), f"[{BLANKS}]+", " ")
-    digits = F.regexp_replace(single, "(?<![^ ])[^ 0-9]*+[0-9][^ ]*+", FIELD)       # starts at starts of tokens only
-    return F.when(line.rlike("[0-9]"), digits).otherwise(single)
+def masked(text: Column) -> Column:
+    """A text with the tokens of each line joined by single spaces, those with a digit as FIELD; a line may keep one
+    space at either end."""
+    uneven = F.lit(False)
+    for blanks in ("  ", *BLANKS.strip(" ")):
+        uneven = uneven | text.contains(blanks)
+    single = F.when(uneven, F.regexp_replace(text, f"[{BLANKS}]{{2,}}|[{BLANKS.strip(' ')}]", " ")).otherwise(text)
+    fields = F.regexp_replace(single, "(?<![^ \\n])[^ \\n0-9]*+[0-9][^ \\n]*+", FIELD)    # from starts of tokens only
+    return F.when(text.rlike("[0-9]"), fields).otherwise(single)
 
 
 def _lines(docs: DataFrame, depth: int, min_tokens: int) -> DataFrame:
     """(doc_id, h, pos, size, leaf, line, template) of every line with enough tokens; ``line`` is masked."""
-    split = docs.select("doc_id", F.xxhash64("_text").alias("h"), F.posexplode(F.split("_text", "\n")).alias("pos", "line"))
-    rows = split.select("doc_id", "h", "pos", masked(F.col("line")).alias("line"))
-    blanks = F.length("line") - F.length(F.replace(F.col("line"), F.lit(" "), F.lit("")))
+    whole = docs.select("doc_id", F.xxhash64("_text").alias("h"), masked(F.col("_text")).alias("whole"))
+    rows = whole.select("doc_id", "h", F.posexplode(F.split("whole", "\n")).alias("pos", "line"))
+    rows = rows.withColumn("line", F.btrim("line"))
+    blanks = F.octet_length("line") - F.octet_length(F.replace(F.col("line"), F.lit(" "), F.lit("")))
     rows = rows.withColumn("size", blanks + 1).filter(F.col("size") >= min_tokens)
     leaf = F.xxhash64("size", F.substring_index("line", " ", depth))
     return rows.select("doc_id", "h", "pos", "size", leaf.alias("leaf"), "line", _short(F.col("line")).alias("template"))
 
 
 def _generalised(lines: DataFrame, wide: DataFrame, similarity: float) -> DataFrame:
-    """(template, group) of the lines of the ``wide`` leaves whose level is more than 1."""
-    distinct = (lines.join(wide.select("leaf"), "leaf", "left_semi")
+    """(template, group) of the lines of the ``wide`` leaves (leaf, n) whose level is more than 1."""
+    distinct = (hot_key_join(lines.select("leaf", "template", "size", "line"), wide.select("leaf"), "leaf", "left_semi",
+                             spread=["template"], counts=wide)
                 .groupBy("leaf", "template").agg(F.first("size").alias("size"), F.first("line").alias("line")))
     distinct = written(distinct, "lines")
     tokens = (distinct.select("leaf", "template", "size", F.posexplode(F.split("line", " ")).alias("at", "token"))
@@ -82,12 +88,13 @@ def recurring_lines(docs: DataFrame, depth: int = DEPTH, similarity: float = SIM
     ``docs`` has doc_id and ``_text`` (not null); ``h`` is the text's hash.  Rows equal in both are one
     document.  The first occurrence is the smallest (doc_id, h, line number), a null id first.
     """
-    lines = _lines(docs, depth, min_tokens)
+    lines = written(_lines(docs, depth, min_tokens), "lines-of-all", "zstd")      # parsed once; most steps leave ``line``
     enough = F.when(F.col("size") >= long_tokens, long_docs).otherwise(min_docs)
-    keys = written(lines.drop("line"), "line-keys")
+    keys = lines.drop("line")
     wide = (keys.groupBy("leaf").agg(F.min("template").alias("a"), F.max("template").alias("b"),
                                      F.min("size").alias("size"), F.count(F.lit(1)).alias("n"))
             .filter((F.col("a") != F.col("b")) & (F.col("n") >= enough)))
+    wide = written(wide.select("leaf", "n"), "line-leaves")
     grouped = (keys.join(_generalised(lines, wide, similarity), "template", "left")
                .select("doc_id", "h", "pos", "size", F.coalesce("group", "template").alias("group")))
     grouped = written(grouped, "line-groups")
