@@ -31,6 +31,13 @@ def saved(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def swept(df: DataFrame) -> DataFrame:
+    """``df``, after the driver has collected its garbage.  Spark frees the shuffle files of tables that nothing
+    refers to any more only then, and operators of many small steps leave many before the driver's heap is full."""
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return df
+
+
 def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """``df`` written to a new table in the shared folder and read back: smaller than a checkpoint for rows
     that repeat values, and likewise safe when executors are lost."""

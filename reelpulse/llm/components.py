@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import saved, swept
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -28,7 +28,7 @@ def components(edges: DataFrame) -> DataFrame:
     both = saved(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).distinct())
     labels = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")).withColumnRenamed("a", "key")
     while True:
-        labels = saved(step(step(labels.withColumn("old", F.col("label")))))
+        labels = swept(saved(step(step(labels.withColumn("old", F.col("label"))))))
         if labels.filter(F.col("label") != F.col("old")).isEmpty():
             return labels.select("key", "label")
         labels = labels.select("key", "label")

@@ -33,7 +33,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import content_key, rows_of, saved, scratch_path, text_of, trimmed
+from .common import content_key, rows_of, saved, scratch_path, swept, text_of, trimmed
 from .components import components
 from .shingles import Hasher, mix
 
@@ -283,7 +283,7 @@ def _across(nodes: DataFrame, texts: DataFrame, sent: Broadcast, similarity: flo
 
     rows = held.mapInArrow(trimmed(run), "shingle bigint, key binary, label binary, rest double, whole double")
     several = rows.groupBy("shingle").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x != y")
-    rows = saved(rows.join(several.select("shingle").hint("merge"), "shingle", "left_semi"))
+    rows = swept(saved(rows.join(several.select("shingle").hint("merge"), "shingle", "left_semi")))
     other = rows.select("shingle", *(F.col(c).alias(f"{c}_2") for c in ("key", "label", "rest", "whole")))
     enough = (F.least("rest", "rest_2") * F.lit(1 + similarity)
               >= (F.col("whole") + F.col("whole_2")) * F.lit(similarity * (1 - 1e-9)))
@@ -298,7 +298,7 @@ def _split(members: DataFrame, labels: DataFrame) -> DataFrame:
     told = (members.select("bucket", "key", "n").join(labels.hint("merge"), "key", "left")
             .withColumn("label", F.coalesce("label", "key")))
     several = told.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x != y")
-    return saved(told.join(several.select("bucket").hint("merge"), "bucket", "left_semi"))
+    return swept(saved(told.join(several.select("bucket").hint("merge"), "bucket", "left_semi")))
 
 
 def _merged(labels: DataFrame, new: DataFrame) -> DataFrame:
@@ -326,13 +326,13 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     buckets = nodes.select("key", F.posexplode("bands").alias("band", "value")).select(
         F.xxhash64("band", "value").alias("bucket"), "key")
     sizes = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("head")).filter("n > 1")
-    members = saved(buckets.join(sizes, "bucket"))
+    members = swept(saved(buckets.join(sizes, "bucket")))
     path = scratch_path(spark, "texts")
     (rows.join(members.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.first("text").alias("text"))
      .write.parquet(path))
     texts = spark.read.parquet(path)
 
-    links = saved(verified(_ordered(members, "key", "head"), texts, sent, similarity))
+    links = swept(saved(verified(_ordered(members, "key", "head"), texts, sent, similarity)))
     labels = components(links)
     told = _split(members, labels)
     few = told.filter(F.col("n") <= SMALL).select("bucket", "label", "key")
@@ -347,12 +347,12 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
              .filter((F.col("label") != F.col("label_2")) & (F.col("key") < F.col("key_2")))
              .select(F.col("key").alias("a"), F.col("key_2").alias("b")))
     pairs = pairs.union(_ordered(_heads(chosen.filter(F.col("m") > SMALL), 0), "key", "head")).distinct()
-    labels = _merged(labels, saved(verified(pairs, texts, sent, similarity)))
+    labels = _merged(labels, swept(saved(verified(pairs, texts, sent, similarity))))
     # Small buckets are done.
     large = told.filter(F.col("n") > SMALL).drop("label")
     nodes = saved(_split(large, labels).select("key", "label").distinct())
     if not nodes.isEmpty():
-        labels = _merged(labels, saved(verified(_across(nodes, texts, sent, similarity), texts, sent, similarity)))
+        labels = _merged(labels, swept(saved(verified(_across(nodes, texts, sent, similarity), texts, sent, similarity))))
     placed = signed.select("doc_id", "key").join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
     ids = placed.groupBy("label").agg(F.min("doc_id").alias("class_id"))
     return placed.join(ids, "label").select("doc_id", "key", "class_id")
