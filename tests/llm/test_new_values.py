@@ -119,6 +119,20 @@ def test_url_filter_equals_sql_with_blocked_hosts(spark):
     assert {r[1] for r in want if r[4] == "block"} == {"bad.spam.org", "m.good0.org"}  # all of its pages are toxic
 
 
+def test_url_filter_compares_whole_texts(spark):
+    same = "one two three four five six seven eight"
+    docs = [(1, f"{same} good ending"), (2, f"{same}, Bad ending"), (3, f"{same} bad")]
+    labels = [(1, 1, 0), (2, 0, 0), (3, 1, 0)]
+    pages = [("equal.org", f"<b>{same}</b> good ending"), ("longer.org", f"{same} bad ending and more"), ("short.org", f"{same} bad end"),
+             ("none.org", same), ("none.org", f"{same} goodending"), ("none.org", None)]
+    pages = [(i, f"http://{host}/", html) for i, (host, html) in enumerate(pages)]
+    got = url_filter.host_outcomes(spark.createDataFrame(pages, "page_id bigint, url string, html string"),
+                                   spark.createDataFrame(docs, "doc_id bigint, text string"),
+                                   spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int"))
+    assert {(r.host, r.n, r.bad) for r in got.collect()} == {
+        ("equal.org", 1, 0), ("longer.org", 1, 1), ("short.org", 1, 0), ("none.org", 0, 0)}
+
+
 def test_url_filter_empty_tables(spark):
     pages, docs, labels = (t.limit(0) for t in url_tables(spark))
     assert url_filter.judge(pages, url_filter.reputation(url_filter.host_outcomes(pages, docs, labels))).count() == 0
