@@ -133,23 +133,32 @@ def monthly_kpis(enriched: DataFrame) -> DataFrame:
         X.mean("completion_rate").alias("avg_completion"))
 
 
+def priced_viewers(users: DataFrame, plans: DataFrame) -> DataFrame:
+    """(user_id, _k, _price): one row per viewer with a known plan, the rows and the prices that users x plans has."""
+    return (users.select("user_id", "subscription_type")
+            .join(F.broadcast(plans.select("subscription_type", "monthly_price_usd")), "subscription_type")
+            .groupBy("user_id").agg(F.count(F.lit(1)).alias("_k"), F.sum("monthly_price_usd").alias("_price")))
+
+
 def monthly_kpis_direct(watch: DataFrame, users: DataFrame, content: DataFrame, plans: DataFrame) -> DataFrame:
     """P04 from the star schema: sessions of known titles are reduced to one row per
     (viewer, month) before the users and plans joins, then rolled up by month
-    exactly as :func:`monthly_kpis` sums the mart rows (revenue = price x sessions)."""
+    exactly as :func:`monthly_kpis` sums the mart rows (revenue = price x sessions).
+    Viewers are one row each at the join, so its rows are distinct (viewer, month)
+    pairs and distinct viewers a plain count, without further tables of pairs in a task."""
     per = (watch.join(content.select("content_id"), "content_id")
            .groupBy("user_id", X.month_label("watch_time").alias("month")).agg(
                F.count("session_id").alias("_n"), F.count(F.lit(1)).alias("_rows"),
                F.sum("watch_duration").alias("_min"), F.sum("completion_rate").alias("_comp"),
                F.count("completion_rate").alias("_comp_n")))
-    j = (per.join(users.select("user_id", "subscription_type"), "user_id")
-         .join(F.broadcast(plans.select("subscription_type", "monthly_price_usd")), "subscription_type"))
+    j = per.join(priced_viewers(users, plans), "user_id")
     return j.groupBy("month").agg(
-        X.rolled_hours().alias("watch_hours"),
-        F.sum("_n").alias("sessions"),
-        F.count_distinct("user_id").alias("active_users"),
-        (F.sum(F.col("monthly_price_usd") * F.col("_rows")).cast("double") / 30.0).alias("revenue_usd"),
-        X.rolled_completion().alias("avg_completion"))
+        (F.sum(F.col("_min") * F.col("_k")).cast("double") / 60.0).alias("watch_hours"),
+        F.sum(F.col("_n") * F.col("_k")).alias("sessions"),
+        F.count(F.lit(1)).alias("active_users"),
+        (F.sum(F.col("_price") * F.col("_rows")).cast("double") / 30.0).alias("revenue_usd"),
+        F.try_divide(F.sum(F.col("_comp") * F.col("_k")).cast("double"), F.sum(F.col("_comp_n") * F.col("_k")))
+        .alias("avg_completion"))
 
 
 def monthly_growth_mart(monthly: DataFrame) -> DataFrame:
