@@ -76,25 +76,26 @@ def fit_segmentation(features: DataFrame, k: int = S.KMEANS_K, restarts: int = S
 
     Returns ``(model, data)`` where ``data`` is the features with the assembled
     vector.  The features are checkpointed by :func:`standardize`, so the
-    restarts and the final assignment read one materialized copy (cached for the
-    restarts; a lost block is recomputed from the checkpoint, not from the fact
-    table).
-    Restarts are independent Spark jobs submitted concurrently, ``parallelism``
-    at a time (all of them by default: a job has only as many tasks as the users fill).
+    restarts and the final assignment read one materialized copy.  It is not
+    cached: then each fit keeps its own vectors, ready for the steps, while over
+    a cached table it would decode every row again in each step.
+    Restarts are independent Spark jobs submitted concurrently, up to ``parallelism``
+    at a time, but no more than fill the cluster twice, or two: a step of few users has few tasks,
+    and with many users no more than two fits keep their vectors at a time.
     """
     scaled = standardize(features)
     vec = VectorAssembler(inputCols=[c + "_z" for c in S.SEGMENT_FEATURES], outputCol="_features")
-    data = vec.transform(scaled).drop(*[c + "_z" for c in S.SEGMENT_FEATURES]).cache()
+    data = vec.transform(scaled).drop(*[c + "_z" for c in S.SEGMENT_FEATURES])
+    tasks = data.rdd.getNumPartitions()
+    parallelism = min(parallelism, restarts, max(2, math.ceil(2 * data.sparkSession.sparkContext.defaultParallelism / max(1, tasks))))
 
     def fit(i):
         model = KMeans(k=k, seed=seed + i, maxIter=max_iter, featuresCol="_features",
                        predictionCol="viewer_segment_id").fit(data)
         return model.summary.trainingCost, i, model
 
-    with ThreadPoolExecutor(max_workers=max(1, min(parallelism, restarts))) as pool:
+    with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
         fits = list(pool.map(fit, range(restarts)))
-    # The restarts are done; later reads project the checkpointed features again.
-    data.unpersist()
     return min(fits, key=lambda x: (x[0], x[1]))[2], data
 
 
