@@ -9,6 +9,7 @@ from .. import schema as S
 from ..functions import exprs as X
 from ..session import checkpoint_dir
 from . import ordered
+from .kpi import priced_viewers
 
 
 def _by_minutes():
@@ -214,7 +215,8 @@ def genre_performance(enriched: DataFrame) -> DataFrame:
 
 def genre_performance_direct(watch: DataFrame, users: DataFrame, content: DataFrame, plans: DataFrame) -> DataFrame:
     """P06 from the star schema: sessions are reduced to one row per (viewer, title) before any join, then to
-    (viewer, genre), and meet users and plans last.  Sums over these rows are those over the mart's rows."""
+    (viewer, genre), and meet users and plans last, one row per viewer, so that distinct viewers are a plain count.
+    Sums over these rows are those over the mart's rows."""
     per = watch.groupBy("user_id", "content_id").agg(
         F.count("session_id").alias("_ids"), F.count(F.lit(1)).alias("_n"), F.sum("watch_duration").alias("_min"),
         F.sum("completion_rate").alias("_comp"), F.count("completion_rate").alias("_comp_n"))
@@ -225,15 +227,15 @@ def genre_performance_direct(watch: DataFrame, users: DataFrame, content: DataFr
                     F.sum("_comp").alias("_comp"), F.sum("_comp_n").alias("_comp_n"),
                     F.sum(F.col("imdb_rating") * F.col("_n")).alias("_imdb"),
                     F.sum(F.when(rated, F.col("_n"))).alias("_imdb_n")))
-    g = (by_genre.join(users.select("user_id", "subscription_type"), "user_id")
-         .join(F.broadcast(plans.select("subscription_type", "monthly_price_usd")), "subscription_type")
+    k = F.col("_k")
+    g = (by_genre.join(priced_viewers(users, plans), "user_id")
          .groupBy("genre").agg(
-             X.rolled_hours().alias("watch_hours"),
-             F.sum("_ids").alias("sessions"),
-             F.count_distinct("user_id").alias("active_users"),
-             X.rolled_completion().alias("avg_completion"),
-             (F.sum(F.col("monthly_price_usd") * F.col("_n")).cast("double") / 30.0).alias("revenue_usd"),
-             F.try_divide(F.sum("_imdb").cast("double"), F.sum("_imdb_n")).alias("avg_imdb")))
+             (F.sum(F.col("_min") * k).cast("double") / 60.0).alias("watch_hours"),
+             F.sum(F.col("_ids") * k).alias("sessions"),
+             F.count(F.lit(1)).alias("active_users"),
+             F.try_divide(F.sum(F.col("_comp") * k).cast("double"), F.sum(F.col("_comp_n") * k)).alias("avg_completion"),
+             (F.sum(F.col("_price") * F.col("_n")).cast("double") / 30.0).alias("revenue_usd"),
+             F.try_divide(F.sum(F.col("_imdb") * k).cast("double"), F.sum(F.col("_imdb_n") * k)).alias("avg_imdb")))
     return g.withColumn("engagement_score", X.engagement_score(
         "watch_hours", "active_users", "avg_completion", S.ENGAGEMENT_MART_WEIGHTS))
 

@@ -11,9 +11,9 @@ from helpers import same, spark_rows
 from reelpulse import schema as S
 from reelpulse.operators import audience as A
 from reelpulse.operators import content as C
-from reelpulse.operators import ordered
+from reelpulse.operators import kpi, ml, ordered
 from reelpulse.operators import pairs as PR
-from reelpulse.sources.bindings import load_star
+from reelpulse.sources.bindings import load_star, subscription_plans
 
 
 def plan(df):
@@ -186,3 +186,41 @@ def test_hot_viewer_join_is_sliced(spark):
     assert {k: v[0] for k, v in got.items()} == {k: len(v) for k, v in want.items()}
     assert sum(v[1] for v in got.values()) == 30000 == sum(counts.values())
     assert got["C0"][1] == counts["C0"] >= 10000
+
+
+def _star_with_repeated_viewers(spark):
+    def table(rows, schema):
+        return spark.createDataFrame(rows, schema)
+
+    watch = table([(f"s{i}", i % 5 if i % 7 else None, i % 4, f"2024-0{1 + i % 3}-1{i % 9} 10:00:00", i, i % 10) for i in range(60)],
+                  "session_id string, user_id bigint, content_id bigint, t string, d int, c int").select(
+        "session_id", "user_id", "content_id", F.col("t").cast("timestamp_ntz").alias("watch_time"), F.lit("Mobile").alias("device_type"),
+        F.col("d").cast("decimal(18,2)").alias("watch_duration"),
+        F.when(F.col("c") > 0, F.col("c") / 10).cast("decimal(4,2)").alias("completion_rate"))
+    users = table([(0, "Basic"), (1, "Premium"), (1, "Premium"), (1, "Mobile"), (2, "none"), (3, "Standard"), (None, "Basic")],
+                  "user_id bigint, subscription_type string")
+    content = table([(0, "a", 4.5), (1, "a", None), (1, "b", 3.0), (2, "b", 5.5)], "content_id bigint, genre string, x double").select(
+        "content_id", "genre", F.col("x").cast("decimal(3,1)").alias("imdb_rating"))
+    return watch, users, content, subscription_plans(spark)
+
+
+@pytest.mark.parametrize("direct, plain", [(kpi.monthly_kpis_direct, kpi.monthly_kpis),
+                                           (C.genre_performance_direct, C.genre_performance)])
+def test_rollups_count_viewers_without_a_distinct(spark, direct, plain):
+    """One row per viewer at the join: no second and third table of (group, viewer) pairs in a task."""
+    star = _star_with_repeated_viewers(spark)
+    got, want = direct(*star), plain(kpi.enriched_sessions(*star))
+    assert "distinct" not in plan(got)
+    rows = lambda df: sorted(map(tuple, df.select(sorted(df.columns)).collect()), key=str)
+    assert rows(got) == rows(want)
+
+
+def test_segmentation_fits_keep_their_own_vectors(spark, monkeypatch):
+    """Over a cached table each step of a fit would decode every row again."""
+    levels, fit = [], ml.KMeans.fit
+    monkeypatch.setattr(ml.KMeans, "fit", lambda self, data: (levels.append(data.storageLevel), fit(self, data))[1])
+    cols = ml.S.SEGMENT_FEATURES
+    data = spark.range(40).select(F.col("id").alias("user_id"), *[((F.col("id") * (i + 3)) % 17).cast("double").alias(c)
+                                                                  for i, c in enumerate(cols)])
+    ml.fit_segmentation(data, restarts=2)
+    assert len(levels) == 2 and not any(x.useMemory or x.useDisk for x in levels)
