@@ -133,6 +133,36 @@ def test_url_filter_compares_whole_texts(spark):
         ("equal.org", 1, 0), ("longer.org", 1, 1), ("short.org", 1, 0), ("none.org", 0, 0)}
 
 
+def test_url_filter_texts_that_only_open_alike_do_not_meet(spark, monkeypatch):
+    same = [f"s{i}" for i in range(9)]
+    texts = [same + [f"d{i}w{j}" for j in range(i % 40 + 4)] for i in range(120)]
+    docs = [(i, " ".join(t)) for i, t in enumerate(texts)] + [(120, " ".join(same)), (121, " ".join(texts[7][:-2]))]
+    labels = [(i, i % 2, 0) for i in range(len(docs))]
+    pages = [same + [f"p{i}w{j}" for j in range(50)] for i in range(60)]
+    pages += [texts[7] + ["and", "more"], texts[7][:-1], texts[8], same[:8], same[:8] + ["x"]]
+    met, begun = [], url_filter._begun
+    monkeypatch.setattr(url_filter, "_begun", lambda t: met.extend(begun(t).collect()) or begun(t))
+    got = url_filter.host_outcomes(
+        spark.createDataFrame([(i, f"http://h{i}.org/", " ".join(p)) for i, p in enumerate(pages)], "page_id bigint, url string, html string"),
+        spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int"))
+    outcome = {tuple(t.split()): 1 - i % 2 for i, t in docs}
+    want = set()
+    for i, p in enumerate(pages):
+        fits = [n for n in range(1, len(p) + 1) if tuple(p[:n]) in outcome and (n == len(p) or n >= url_filter.OPENING)]
+        want.add((f"h{i}.org", len(fits[-1:]), outcome[tuple(p[:fits[-1]])] if fits else 0))
+    assert {(r.host, r.n, r.bad) for r in got.collect()} == want
+    # A page meets few lengths besides those of texts that share its anchor; all with its opening are over 40 a page.
+    assert len(met) <= 5 * len(pages)
+
+
+def test_url_filter_anchors():
+    for n in range(url_filter.OPENING, 600):
+        assert url_filter.anchor_length(n) in url_filter.anchor_lengths(n + 1)
+        assert n / 1.5 < url_filter.anchor_length(n) <= n
+    joined = b"a bc d  e".replace(b"  ", b" ")
+    assert url_filter.first_words(joined, [1, 3, 4]) == [hashlib.md5(x).digest() for x in (b"a", b"a bc d", joined)]
+
+
 def test_url_filter_empty_tables(spark):
     pages, docs, labels = (t.limit(0) for t in url_tables(spark))
     assert url_filter.judge(pages, url_filter.reputation(url_filter.host_outcomes(pages, docs, labels))).count() == 0
