@@ -22,7 +22,8 @@ left weighs less than the threshold's share of it; two texts as similar as the t
 shingle in both prefixes.  All pairs of different classes with a common prefix shingle are compared, except
 those for which the weights from that shingle on cannot reach the threshold.  Rare shingles come first in the
 order, so that few texts share one; the order is by counts in SLOTS hashed slots, which changes the work and
-never the result.
+never the result.  Slots whose shingles lie in texts of one class only come before all others, and their shingles
+are never looked up: no text of another class has one.  So the members of one large class bring few rows.
 """
 
 from __future__ import annotations
@@ -233,19 +234,27 @@ def _heads(members: DataFrame, salt: int) -> DataFrame:
 
 
 def _slot_counts(texts: DataFrame) -> np.ndarray:
-    """About how many rows of (key, text) have the shingles of each of SLOTS hashed slots."""
+    """About how many rows of (key, text, label) have the shingles of each of SLOTS hashed slots; 0 for a slot whose
+    rows have all the same label."""
 
     def run(batches):
         hasher, total = Hasher(), np.zeros(SLOTS, np.int64)
+        low, high = np.full(SLOTS, np.iinfo(np.int64).max), np.full(SLOTS, np.iinfo(np.int64).min)
         for part in rows_of(batches):
-            for text in part.column(1).to_pylist():
-                total += np.bincount((hasher.shingles(text)[0] % _U(SLOTS)).astype(np.int64), minlength=SLOTS)
+            for text, label in zip(part.column(1).to_pylist(), part.column(2).to_pylist()):
+                at = (hasher.shingles(text)[0] % _U(SLOTS)).astype(np.int64)
+                total += np.bincount(at, minlength=SLOTS)
+                number = int.from_bytes(label[:8], "little", signed=True)
+                low[at], high[at] = np.minimum(low[at], number), np.maximum(high[at], number)
         at = np.flatnonzero(total)
         for i in range(0, len(at), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(at[i:i + 100_000]), pa.array(total[at[i:i + 100_000]])],
-                                             names=["slot", "n"])
+            some = at[i:i + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (some, total[some], low[some], high[some])],
+                                             names=["slot", "n", "low", "high"])
 
-    got = texts.mapInArrow(trimmed(run), "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    got = (texts.mapInArrow(trimmed(run), "slot bigint, n bigint, low bigint, high bigint").groupBy("slot")
+           .agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
+           .filter("low != high").select("slot", "n").toArrow())
     counts = np.zeros(SLOTS, np.int64)
     counts[got.column("slot").to_numpy()] = got.column("n").to_numpy()
     return counts
@@ -259,10 +268,10 @@ def prefix(hashes: np.ndarray, weights: np.ndarray, counts: np.ndarray, similari
     return hashes[order[:size]], rest[:size]
 
 
-def _across(nodes: DataFrame, texts: DataFrame, sent: Broadcast, similarity: float) -> DataFrame:
-    """The pairs (a, b) of nodes (key, label) of different labels that can be as similar as ``similarity``."""
-    held = nodes.join(texts.hint("merge"), "key").select("key", "text", "label")
-    order = nodes.sparkSession.sparkContext.broadcast(_slot_counts(held.select("key", "text")))     # SLOTS numbers
+def _leading(held: DataFrame, sent: Broadcast, similarity: float) -> DataFrame:
+    """(shingle, key, label, rest, whole): the prefix of every row of (key, text, label), without shingles that only
+    one label has for certain; ``rest`` is the weight from the shingle on."""
+    order = held.sparkSession.sparkContext.broadcast(_slot_counts(held))                            # SLOTS numbers
 
     def run(batches):
         hasher, weigh, counts = Hasher(), sent.value.of, order.value
@@ -271,17 +280,25 @@ def _across(nodes: DataFrame, texts: DataFrame, sent: Broadcast, similarity: flo
             for i, text in enumerate(part.column(1).to_pylist()):
                 h, n = hasher.shingles(text)
                 first, rest = prefix(h, weigh(h, n), counts, similarity)
-                found.append(first)
-                left.append(rest)
-                row.append(np.full(len(first), i))
-                whole.append(np.full(len(first), rest[0] if len(rest) else 0.0))
+                shared = counts[(first % _U(SLOTS)).astype(np.int64)] > 0
+                found.append(first[shared])
+                left.append(rest[shared])
+                row.append(np.full(int(shared.sum()), i))
+                whole.append(np.full(int(shared.sum()), rest[0] if len(rest) else 0.0))
             at = pa.array(np.concatenate(row))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.concatenate(found).view(np.int64)), part.column(0).take(at), part.column(2).take(at),
                  pa.array(np.concatenate(left)), pa.array(np.concatenate(whole))],
                 names=["shingle", "key", "label", "rest", "whole"])
 
-    rows = held.mapInArrow(trimmed(run), "shingle bigint, key binary, label binary, rest double, whole double")
+    return held.select("key", "text", "label").mapInArrow(
+        trimmed(run), "shingle bigint, key binary, label binary, rest double, whole double")
+
+
+def _across(nodes: DataFrame, texts: DataFrame, sent: Broadcast, similarity: float) -> DataFrame:
+    """The pairs (a, b) of nodes (key, label) of different labels that can be as similar as ``similarity``."""
+    held = nodes.join(texts.hint("merge"), "key").select("key", "text", "label")
+    rows = _leading(held, sent, similarity)
     several = rows.groupBy("shingle").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x != y")
     rows = swept(saved(rows.join(several.select("shingle").hint("merge"), "shingle", "left_semi")))
     other = rows.select("shingle", *(F.col(c).alias(f"{c}_2") for c in ("key", "label", "rest", "whole")))

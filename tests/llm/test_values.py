@@ -104,6 +104,28 @@ def test_marginals_are_exact():
     assert np.allclose(got, want) and np.allclose(expected, seen)
 
 
+def test_near_dup_looks_up_no_shingles_of_one_class(spark):
+    rng = random.Random(3)
+    base = [f"b{i}" for i in range(100)]
+    texts = []
+    for i in range(60):                                 # one class, each member with its own edits
+        t = list(base)
+        for j in rng.sample(range(100), 3):
+            t[j] = f"e{i}x{j}"
+        texts.append((" ".join(t), "one"))
+    tail = [f"o{i}" for i in range(95)]
+    texts += [(" ".join(base[:5] + tail), "two"), (" ".join(tail), "three"), ("", "four")]
+    rows = [(bytearray(i.to_bytes(16, "big")), t, bytearray(hashlib.md5(c.encode()).digest())) for i, (t, c) in enumerate(texts)]
+    held = spark.createDataFrame(rows, "key binary, text string, label binary").repartition(3)
+    sent = spark.sparkContext.broadcast(near_dup.Weights(np.empty(0, np.uint64), np.empty(0), len(texts), 1.0))
+    got = near_dup._leading(held, sent, 0.8).collect()
+    # Texts two and three share nearly all, the class of sixty one shingle with one of them, but for collisions of slots.
+    assert {bytes(r.key)[-1] for r in got} >= {60, 61}
+    assert len(got) < 2 * 60
+    pairs = near_dup._across(held.select("key", "label"), held.select("key", "text"), sent, 0.8).collect()
+    assert {(bytes(r.a)[-1], bytes(r.b)[-1]) for r in pairs} == {(60, 61)}
+
+
 def test_near_dup_classes(spark, docs):
     """Classes from all pairs of texts that share a shingle."""
     hasher, ids = near_dup.Hasher(), sorted(docs)
