@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import exprs as X
 from ..session import checkpoint_dir
 from .kpi import enriched_sessions
+from .skew import heavy_keys_of, hot_key_join
 
 DEFAULT_COUNTRIES = 6
 DEFAULT_GENRES = 8
@@ -67,19 +68,24 @@ def filtered_sessions(watch: DataFrame, users: DataFrame, content: DataFrame, pl
 
     Explicit lists become ``isin`` filters on users and content, ahead of the session
     joins.  Omitted country and genre lists default to the first values, in sorted
-    order, that occur in the session mart: the distinct (country, genre) pairs of
-    (viewer, title) ids, a table bounded by the two domains, which is checkpointed so
-    that both lists read it.  The lists (at most 6 and 8 rows) filter the dimensions
+    order, that occur in the session mart: the distinct (country, genre) pairs of the
+    sessions' ids, a table bounded by the two domains, which is checkpointed so
+    that both lists read it.  Nearly all (viewer, title) ids differ, so they are not made
+    distinct first, which would shuffle them once more; heavy ones are found once, for
+    these joins and those of the mart.  The lists (at most 6 and 8 rows) filter the dimensions
     before they meet the sessions.  With explicit lists the sessions are read once.
     """
+    heavy = None
     if subscription_types is not None:
         users = users.filter(F.col("subscription_type").isin(list(subscription_types)))
     if countries is None or genres is None:
         known = users.join(F.broadcast(plans.select("subscription_type")), "subscription_type", "left_semi")
         checkpoint_dir(watch.sparkSession)
-        pairs = (watch.select("user_id", "content_id").distinct()
-                 .join(known.select("user_id", "country"), "user_id")
-                 .join(content.select("content_id", "genre"), "content_id")
+        heavy = heavy_keys_of(watch, ["user_id", "content_id"])
+        ids = hot_key_join(watch.select("user_id", "content_id"), known.select("user_id", "country"), "user_id",
+                           spread=["content_id"], heavy=heavy["user_id"])
+        pairs = (hot_key_join(ids, content.select("content_id", "genre"), "content_id", spread=["user_id"],
+                              heavy=heavy["content_id"])
                  .select("country", "genre").distinct().checkpoint(eager=True))
 
     def chosen(df: DataFrame, column: str, given: Sequence[str] | None, most: int) -> DataFrame:
@@ -89,7 +95,7 @@ def filtered_sessions(watch: DataFrame, users: DataFrame, content: DataFrame, pl
         return df.join(F.broadcast(first), column, "left_semi")
 
     return enriched_sessions(watch, chosen(users, "country", countries, DEFAULT_COUNTRIES),
-                             chosen(content, "genre", genres, DEFAULT_GENRES), plans)
+                             chosen(content, "genre", genres, DEFAULT_GENRES), plans, heavy)
 
 
 def filtered_kpis(filtered: DataFrame) -> DataFrame:

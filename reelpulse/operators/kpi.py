@@ -97,7 +97,8 @@ def calendar_features(watch: DataFrame) -> DataFrame:
         X.is_weekend("watch_time").alias("is_weekend"))
 
 
-def enriched_sessions(watch: DataFrame, users: DataFrame, content: DataFrame, plans: DataFrame) -> DataFrame:
+def enriched_sessions(watch: DataFrame, users: DataFrame, content: DataFrame, plans: DataFrame,
+                      heavy: dict[str, list[tuple]] | None = None) -> DataFrame:
     """P02+P03: sessions joined to viewer, title and plan (inner joins), with calendar
     columns and the session revenue (monthly price / 30).
 
@@ -105,9 +106,9 @@ def enriched_sessions(watch: DataFrame, users: DataFrame, content: DataFrame, pl
     optimizer and AQE (broadcast only when their measured size allows it); the
     plan table has four rows and is always broadcast.  Viewers and titles that own
     more sessions than a partition should hold are found by one aggregate and their
-    sessions sliced over tasks (:mod:`.skew`), in any session.
+    sessions sliced over tasks (:mod:`.skew`), in any session.  ``heavy``: these keys, where they are known already.
     """
-    heavy = heavy_keys_of(watch, ["user_id", "content_id"])
+    heavy = heavy_keys_of(watch, ["user_id", "content_id"]) if heavy is None else heavy
     rows = hot_key_join(watch, users, "user_id", spread=["session_id"], heavy=heavy["user_id"])
     rows = hot_key_join(rows, content, "content_id", spread=["session_id"], heavy=heavy["content_id"])
     return (rows.join(F.broadcast(plans), "subscription_type")

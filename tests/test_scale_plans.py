@@ -224,3 +224,14 @@ def test_segmentation_fits_keep_their_own_vectors(spark, monkeypatch):
                                                                   for i, c in enumerate(cols)])
     ml.fit_segmentation(data, restarts=2)
     assert len(levels) == 2 and not any(x.useMemory or x.useDisk for x in levels)
+
+
+def test_filter_lists_shuffle_sessions_once_less(spark, monkeypatch):
+    """The (viewer, title) ids of the sessions nearly all differ: the default lists come without making them distinct."""
+    from reelpulse.operators import feeds
+    made, join = [], feeds.hot_key_join
+    monkeypatch.setattr(feeds, "hot_key_join", lambda left, *a, **kw: made.append(left) or join(left, *a, **kw))
+    t = load_star(spark, SF_SMALL)
+    feeds.filtered_sessions(t.watch, t.users, t.content, t.plans)
+    assert len(made) == 2
+    assert "Aggregate" not in made[0]._jdf.queryExecution().optimizedPlan().toString()
