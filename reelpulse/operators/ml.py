@@ -32,22 +32,31 @@ CLUSTER_USERS = 20_000
 FOREST_USERS = 1_000
 #: Partitions grow a little slower than the users, so that very many of them still mean tasks worth starting.
 LAYOUT_GROWTH = 0.75
+#: In each level of a forest every partition sends the statistics of all its nodes, some 80,000 of 2 to 3 KB for RF_TREES
+#: trees of RF_MAX_DEPTH, however few users it has.  So the partitions stop growing at FOREST_FEW until each holds
+#: FOREST_FULL users, whose own work is about that of the statistics, and then follow the users.
+FOREST_FEW = 24
+FOREST_FULL = 65_536
 
 
-def layout_partitions(users: int, users_each: int) -> int:
-    """Partitions of a model input: (users / users_each) ** LAYOUT_GROWTH, rounded up.  For a billion users that is
-    3,344 for the clustering (about 300,000 users each) and 31,623 for the forest (32,000 each)."""
-    return max(1, math.ceil((users / users_each) ** LAYOUT_GROWTH))
+def layout_partitions(users: int, users_each: int, few: int | None = None, full: int | None = None) -> int:
+    """Partitions of a model input: (users / users_each) ** LAYOUT_GROWTH, rounded up; with ``few`` and ``full`` no more
+    than ``few`` before each holds ``full`` users.  For a billion users that is 3,344 for the clustering (about 300,000
+    users each) and 15,259 for the forest (65,536 each)."""
+    grown = math.ceil((users / users_each) ** LAYOUT_GROWTH)
+    if few and full:
+        grown = max(min(grown, few), math.ceil(users / full))
+    return max(1, grown)
 
 
-def fixed_layout(df: DataFrame, users_each: int) -> DataFrame:
+def fixed_layout(df: DataFrame, users_each: int, few: int | None = None, full: int | None = None) -> DataFrame:
     """``df`` checkpointed in a layout that depends on its rows alone: hashed by user into
     :func:`layout_partitions` partitions and sorted in them, so that seeded fits see the same rows in the same places
     in every run and on every cluster.  The rows are materialized once to be counted and once in their layout."""
     checkpoint_dir(df.sparkSession)
     rows = df.checkpoint(eager=True)
-    return (rows.repartition(layout_partitions(rows.count(), users_each), "user_id").sortWithinPartitions("user_id")
-            .checkpoint(eager=True))
+    return (rows.repartition(layout_partitions(rows.count(), users_each, few, full), "user_id")
+            .sortWithinPartitions("user_id").checkpoint(eager=True))
 
 
 def standardize(features: DataFrame, cols=S.SEGMENT_FEATURES, suffix: str = "_z") -> DataFrame:
@@ -161,7 +170,8 @@ def stratified_split(data: DataFrame, test_fraction: float = S.TEST_FRACTION, se
     integer_ids = not isinstance(data.schema["user_id"].dataType, T.StringType)
     keyed = data.withColumn("_h", seeded_order("user_id", seed, integer_ids))
     pos = ordered.with_position(keyed, ["label", "_h", "user_id"], "_pos")
-    per_label = data.groupBy("label").agg(F.count(F.lit(1)).alias("_n"))
+    # Counted over the positions, which are checkpointed: ``data`` is computed once.
+    per_label = pos.groupBy("label").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.orderBy("label").rowsBetween(Window.unboundedPreceding, -1)
     bounds = per_label.select("label", "_n", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
     # One row per label value: a fixed, tiny table.
@@ -174,14 +184,15 @@ def train_churn_model(train: DataFrame, seed: int = S.SEED):
     """Random forest, 160 trees, depth 10, at least 12 rows per leaf.
 
     Split candidates are the quantile edges of all training rows (:mod:`.binning`): the forest sees the bin numbers,
-    of which MLlib takes every one as a candidate.  Returns (steps from features to the vector of bins, forest).
+    of which MLlib takes every one as a candidate.  Each row's node in every tree is kept between levels, not sought
+    again from the root: the same trees.  Returns (steps from features to the vector of bins, forest).
     """
     edges = binning.edges_of(binning.quantile_summary(train, S.CHURN_FEATURES), S.RF_MAX_BINS)
     bins = binning.binner(edges, S.CHURN_FEATURES, "_bin")
     vec = VectorAssembler(inputCols=[c + "_bin" for c in S.CHURN_FEATURES], outputCol="_features")
     rf = RandomForestClassifier(numTrees=S.RF_TREES, maxDepth=S.RF_MAX_DEPTH,
                                 minInstancesPerNode=S.RF_MIN_LEAF, featureSubsetStrategy="sqrt",
-                                maxBins=S.RF_MAX_BINS + 1,
+                                maxBins=S.RF_MAX_BINS + 1, cacheNodeIds=True,
                                 seed=seed, featuresCol="_features", labelCol="label")
     steps = PipelineModel(stages=[bins, vec])
     return steps, rf.fit(steps.transform(train))
@@ -213,7 +224,7 @@ def roc_auc(scored: DataFrame) -> DataFrame:
 
 def churn_pipeline(features: DataFrame, seed: int = S.SEED):
     """Dataset, split, fit and test scores; :func:`roc_auc` of the scores is P14."""
-    data = fixed_layout(stratified_split(churn_dataset(features), seed=seed), FOREST_USERS)
+    data = fixed_layout(stratified_split(churn_dataset(features), seed=seed), FOREST_USERS, FOREST_FEW, FOREST_FULL)
     vec, model = train_churn_model(data.filter(~F.col("is_test")), seed)
     return data, (vec, model), score(vec, model, data.filter(F.col("is_test")))
 

@@ -99,6 +99,41 @@ def test_layout_partitions_follow_users_alone(spark):
                                 .withColumn("p", F.spark_partition_id()).collect())
 
 
+def test_forest_partitions_wait_for_full_ones(spark, monkeypatch):
+    """Every partition sends all node statistics of a level: few of them until each has users enough, then by users."""
+    def parts(n):
+        return ml.layout_partitions(n, ml.FOREST_USERS, ml.FOREST_FEW, ml.FOREST_FULL)
+
+    assert [parts(n) for n in (0, 1_000, 10_000)] == [ml.layout_partitions(n, ml.FOREST_USERS) for n in (0, 1_000, 10_000)]
+    assert parts(100_000) == parts(1_000_000) == ml.FOREST_FEW
+    assert parts(10**8) == -(-10**8 // ml.FOREST_FULL) < ml.layout_partitions(10**8, ml.FOREST_USERS)
+    monkeypatch.setattr(ml, "FOREST_FEW", 2)
+    users = spark.range(6000).selectExpr("id as user_id", *[f"cast(id % {7 + i} as double) as {c}"
+                                                            for i, c in enumerate(S.SEGMENT_FEATURES)],
+                                         "cast(id % 60 as int) as age", "'Basic' as subscription_type",
+                                         "if(id % 3 = 0, 'Churned', 'Active') as churn_status")
+    monkeypatch.setattr(S, "RF_TREES", 2)
+    data, (_, forest), scores = ml.churn_pipeline(users)
+    assert data.rdd.getNumPartitions() == 2 and data.count() == 6000 and scores.count() == 1500
+    assert forest.getOrDefault("cacheNodeIds")
+
+
+def test_split_computes_its_input_once(spark):
+    """What the split returns reads the checkpointed positions alone, not its input again for the counts."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def noted(rows):
+        for r in rows:
+            seen.add(1)
+            yield r
+
+    data = spark.createDataFrame(spark.range(400).selectExpr("id as user_id", "cast(id % 4 = 0 as int) as label")
+                                 .rdd.mapPartitions(noted), "user_id bigint, label int").repartition(3, "user_id")
+    split = ml.stratified_split(data)
+    built = seen.value
+    assert split.filter("is_test").count() == 100 and seen.value == built
+
+
 def test_quantile_edges_equal_for_any_layout_and_merge(spark):
     rng = random.Random(3)
     rows = [(rng.gauss(0, 50), float(rng.randrange(4)), rng.random() ** 6, 5.0) for _ in range(4000)]
