@@ -53,6 +53,28 @@ def test_heavy_keys_are_few_and_hot(plain):
     assert skew.heavy_keys(left.limit(0), ["k"]) == [] and skew.heavy_keys_of(left.limit(0), ["k"]) == {"k": []}
 
 
+def test_heavy_keys_of_shuffles_no_counts(plain):
+    """The same keys and slices as from exact counts, among more other values than a summary keeps, from one record a
+    task: nulls are no key, and a key just at a mean partition is found."""
+    n = 40_000
+    left = plain.range(n).selectExpr("if(id % 3 = 0, 7, if(id % 11 = 0, null, id)) as k", "concat('U', id % 16 * (id % 5)) as t",
+                                     f"if(id < {n // 16}, -5, id) as c").repartition(3).persist()
+    got = skew.heavy_keys_of(left, ["k", "t", "c"])
+    for key in got:
+        assert sorted(got[key]) == sorted((str(k), slices) for k, slices in skew.heavy_keys(left, [key])), key
+    assert [k for k, _ in got["k"]] == ["7"] and [k for k, _ in got["c"]] == ["-5"]
+    ran = []
+    frame = type(left)
+    first = frame.first
+    try:
+        frame.first = lambda self: ran.append(self._jdf.queryExecution().executedPlan().toString()) or first(self)
+        skew.heavy_keys_of(left, ["k", "c"])
+    finally:
+        frame.first = first
+    left.unpersist()
+    assert len(ran) == 1 and "hashpartitioning" not in ran[0]
+
+
 def test_hot_key_join_spreads_the_hot_key(plain):
     """A key with a third of the rows: the largest task of a plain join has them all, of a sliced one far fewer."""
     left, right = hot_side(plain), plain.range(500).withColumnRenamed("id", "k")
