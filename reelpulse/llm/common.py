@@ -87,17 +87,23 @@ def trimmed(run: Callable[[Iterable], Iterator]) -> Callable[[Iterable], Iterato
 def map_text(df: DataFrame, text: str, work: Callable[[], Callable[[list], list[list]]], added: list[tuple]) -> DataFrame:
     """``df`` with columns computed from one text column.  ``work()`` runs once per task and returns a function
     from a list of texts (null as None) to one list per added column.  ``added``: (name, Spark type, Arrow
-    type); columns of the same name are replaced.  Rows are neither dropped nor moved."""
+    type); columns of the same name are replaced.  Rows are neither dropped nor moved.
+
+    A string column that stays is read where it is: a second copy of the texts would double what Spark and the
+    workers buffer of them."""
     names = [n for n, *_ in added]
-    held = df.select(*(F.col(c) for c in df.columns if c not in names), F.col(text).cast("string").alias("_llm_text"))
-    schema = T.StructType([*(T.StructField(f.name, f.dataType) for f in held.schema.fields[:-1]),
+    kept = [c for c in df.columns if c not in names]
+    own = kept.count(text) == 1 and df.schema[text].dataType == T.StringType()
+    held = df.select(*(F.col(c) for c in kept), *([] if own else [F.col(text).cast("string").alias("_llm_text")]))
+    at = kept.index(text) if own else len(kept)
+    schema = T.StructType([*(T.StructField(f.name, f.dataType) for f in held.schema.fields[:len(kept)]),
                            *(T.StructField(n, T._parse_datatype_string(kind)) for n, kind, _ in added)])
 
     def run(batches):
         compute = work()
         for part in rows_of(batches):
-            columns = compute(part.column(part.num_columns - 1).to_pylist())
-            arrays = [part.column(i) for i in range(part.num_columns - 1)]
+            columns = compute(part.column(at).to_pylist())
+            arrays = [part.column(i) for i in range(len(kept))]
             arrays += [pa.array(c, kind) for c, (_, _, kind) in zip(columns, added)]
             yield pa.RecordBatch.from_arrays(arrays, names=[f.name for f in schema.fields])
 

@@ -97,15 +97,15 @@ def merged(ranges) -> list[tuple[int, int]]:
     return out
 
 
-def _scan(block: list[tuple[str, str]], size: int, spans: bool):
+def _scan(block: list[tuple[str, str]], size: int, spans: bool, column: str):
     """A pass over record batches with one block's automaton; adds to hit_words and items, and on the last
-    pass the spans."""
+    pass the spans.  ``column`` has the texts."""
     def run(batches):
         found = automaton(block, size)
         for batch in (part for b in batches for part in rows_of([b])):
             columns = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
             n_words, hit, items, where = [], [], [], []
-            for text, before, ids in zip(columns["_text"].to_pylist(), columns["_hit"].to_pylist(),
+            for text, before, ids in zip(columns[column].to_pylist(), columns["_hit"].to_pylist(),
                                          columns["_items"].to_pylist()):
                 n, ranges, owners = matches(found, text)
                 ranges = merged([(r["start"], r["end"]) for r in before] + ranges) if before else ranges
@@ -131,12 +131,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", kee
     empty side need no rule: an empty test set leaves every document clean.
     """
     empty = F.array().cast(_RANGES)
-    rows = docs.select(*(F.col(c).alias(f"k_{c}") for c in keep), F.col(text).alias("_text"),
+    column = f"k_{text}" if text in keep else "_text"      # a kept text crosses to the workers and back once
+    rows = docs.select(*(F.col(c).alias(f"k_{c}") for c in keep), *([] if text in keep else [F.col(text).alias("_text")]),
                        F.lit(0).cast("long").alias("_n"), empty.alias("_hit"),
                        F.array().cast("array<string>").alias("_items"), empty.alias("_spans"))
     found = list(blocks(benchmark, block_chars)) or [[]]
     for i, block in enumerate(found):
-        rows = rows.mapInArrow(trimmed(_scan(block, window, i == len(found) - 1)), rows.schema)
+        rows = rows.mapInArrow(trimmed(_scan(block, window, i == len(found) - 1, column)), rows.schema)
     n_hit = F.aggregate("_hit", F.lit(0).cast("long"), lambda n, r: n + r["end"] - r["start"])
     return rows.select(*(F.col(f"k_{c}").alias(c) for c in keep), F.col("_n").alias("n_words"),
                        n_hit.alias("n_hit"), F.col("_items").alias("items"), F.col("_spans").alias("spans"),

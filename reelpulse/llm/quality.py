@@ -178,5 +178,7 @@ def score(docs: DataFrame, model: LineField) -> DataFrame:
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents whose score is THRESHOLD or more, unchanged."""
-    held = docs.withColumn("_llm_row", F.struct(*(F.col(f"`{c}`") for c in docs.columns))).select("_llm_row", "text")
-    return score(held, fit(docs, labels)).filter(F.col("score") >= THRESHOLD).select("_llm_row.*")
+    names = {c: "text" if c == "text" else f"_llm_{i}" for i, c in enumerate(docs.columns)}   # any name may be theirs
+    held = docs.select(*(F.col(f"`{c}`").alias(name) for c, name in names.items()))
+    kept = score(held, fit(docs, labels)).filter(F.col("score") >= THRESHOLD)
+    return kept.select(*(F.col(name).alias(c) for c, name in names.items()))

@@ -141,6 +141,41 @@ def test_quality(spark, odd_docs, odd_rows):
     assert kept.columns == odd_docs.columns and kept.schema == odd_docs.schema
 
 
+def sent_to_python(monkeypatch, df):
+    """Schemas of the tables that go through mapInArrow from now on."""
+    seen, plain = [], type(df).mapInArrow
+    monkeypatch.setattr(type(df), "mapInArrow", lambda self, *a, **b: seen.append(self.schema) or plain(self, *a, **b))
+    return seen
+
+
+def strings(kind):
+    """String values of a row, those of its structs included."""
+    return sum(strings(f.dataType) if f.dataType.typeName() == "struct" else f.dataType.typeName() == "string"
+               for f in kind.fields)
+
+
+def test_quality_sends_texts_once(spark, odd_docs, monkeypatch):
+    known, seen = labels(spark, [(5, 1, 0), (9, 0, 0), (11, 1, 0)]), sent_to_python(monkeypatch, odd_docs)
+    named = odd_docs.withColumn("score", F.lit("own")).withColumn("a.b", F.lit(1))
+    kept = quality.keep_good(named, known)
+    assert [strings(x) for x in seen] == [1, strings(named.schema)]       # to fit, to score
+    assert kept.columns == named.columns
+    model = quality.fit(odd_docs, known)
+    want = [r.doc_id for r in quality.score(odd_docs, model).collect() if r.score >= quality.THRESHOLD]
+    got = kept.select("doc_id", "score", "`a.b`").collect()
+    assert sorted(map(repr, (r.doc_id for r in got))) == sorted(map(repr, want)) and {tuple(r)[1:] for r in got} <= {("own", 1)}
+
+
+def test_decontamination_sends_texts_once(spark, odd_docs, monkeypatch):
+    items, seen = bench(spark, [(1, "a b c", 1, True)]), sent_to_python(monkeypatch, odd_docs)
+    docs = odd_docs.select("doc_id", "text", "lang", "n_chars")
+    both = decontaminate.contamination(docs, items, keep=tuple(docs.columns))
+    plain = decontaminate.contamination(docs, items)
+    assert [strings(x) for x in seen] == [2, 1]       # text and lang, text
+    cols = ["doc_id", "n_words", "n_hit", "items", "spans", "contaminated"]
+    assert sorted(map(repr, both.select(cols).collect())) == sorted(map(repr, plain.select(cols).collect()))
+
+
 def test_quality_without_labels(spark, odd_docs):
     model = quality.fit(odd_docs, labels(spark, []))
     assert {r.score for r in quality.score(odd_docs, model).collect()} == {0.5}
